@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sqlbase
@@ -30,13 +29,11 @@ def query(name: str, sql: str | None = None, cut: str = ""):
 
 
 def r4(c) -> F.Column:
-    return F.floor(c * 1e4 + 0.5) / 1e4
+    """Four decimals by plain arithmetic. The offset is irrational, so means and ratios of whole
+    numbers never sit on the cut, where the last bit would decide."""
+    return F.floor(c * 1e4 + sqlbase.OFFSET) / 1e4
 
 
 def money(c) -> F.Column:
     """Exact decimal sum of a money column, as double."""
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-
-
-def drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])

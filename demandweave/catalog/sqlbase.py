@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+OFFSET = 2 ** 0.5 - 1
+
 # name -> SQL text; names used inside a text are resolved recursively by `sql`
 CTES: dict[str, str] = {
     "lines": """
@@ -107,7 +109,7 @@ def sql(body: str) -> str:
 def rounded(body: str, columns: str) -> str:
     """The query with the named double columns cut to four decimals by plain arithmetic, as the
     Spark side does (built-in rounding differs between engines at ties)."""
-    cut = ", ".join(f"floor({c} * 1e4 + 0.5) / 1e4 AS {c}" for c in columns.split())
+    cut = ", ".join(f"floor({c} * 1e4 + {OFFSET}) / 1e4 AS {c}" for c in columns.split())
     return f"SELECT * REPLACE ({cut}) FROM (\n{body.strip()}\n) AS q"
 
 
