@@ -8,8 +8,8 @@ from .. import schemas as S
 from ..operators import backtest as BT
 from ..operators import features, quality, series
 from ..operators import forecast as FC
-from ..operators.quality import union_all
 from ..operators.warehouse import _tie_order, first_per_key
+from ..session import cut_lineage
 from . import views as V
 from .etl import dim_date, fact_line
 from .registry import query
@@ -50,13 +50,19 @@ LEFT JOIN daily_{g} AS d ON c.MDCODE = d.MDCODE AND c.INVDT = d.INVDT""")
 
 def invoice_heads(spark, sf):
     head = V.invoice_header(spark, sf).select("INVNO", "SOURCE_MONTH", "INVDT", "CANCEL_ID")
-    return first_per_key(head, ["SOURCE_MONTH", "INVNO"], _tie_order(head, ["SOURCE_MONTH", "INVNO"]))
+    return first_per_key(head, ["INVNO", "SOURCE_MONTH"], _tie_order(head, ["INVNO", "SOURCE_MONTH"]))
 
 
 def daily(spark, sf, grain="sup"):
     return series.prepare_demand(fact_line(spark, sf), invoice_heads(spark, sf), GRAINS[grain])
 
 
+def stored_daily(spark, sf, grain="sup"):
+    """Daily demand written once for queries that read it several times, as the monthly cycle does:
+    the joins and the line dedupe behind it then run once."""
+    return cut_lineage(daily(spark, sf, grain))
+
+
 query("daily_demand", "SELECT * FROM daily_brand")(lambda s, sf: daily(s, sf, "brand"))
 query("daily_demand_part", "SELECT * FROM daily_part")(lambda s, sf: daily(s, sf, "part"))
 query("unmatched_line_keys", """
@@ -97,7 +103,7 @@ query("series_quality_supplier", "SELECT * FROM quality_sup", cut=QUALITY_CUT)(
 SELECT MDCODE, INVDT, Demand_Qty FROM daily_sup
 WHERE MDCODE IN (SELECT MDCODE FROM quality_sup WHERE forecast_candidate)""")
 def forecast_candidates(spark, sf):
-    d = daily(spark, sf)
+    d = stored_daily(spark, sf)
     return series.candidates_only(d, series.series_quality(d))
 
 
@@ -105,7 +111,7 @@ query("dense_daily", "SELECT * FROM dense_brand")(
     lambda s, sf: series.fill_calendar(daily(s, sf, "brand"), "MDCODE", "INVDT", "Demand_Qty"))
 query("forecasting_series", """
 SELECT * FROM dense_sup WHERE MDCODE IN (SELECT MDCODE FROM quality_sup WHERE forecast_candidate)""")(
-    lambda s, sf: series.forecasting_series(daily(s, sf)))
+    lambda s, sf: series.forecasting_series(stored_daily(s, sf)))
 
 define("month_sup", """
 SELECT c.Medicine_ID, c.Month, coalesce(t.q, CAST(0 AS DOUBLE)) AS Actual
@@ -132,7 +138,7 @@ FULL JOIN (SELECT Medicine_ID AS MDCODE, sum(Actual) AS monthly_total FROM month
   ON d.MDCODE = m.MDCODE
 WHERE abs(coalesce(daily_total, 0) - coalesce(monthly_total, 0)) > 1e-8""")
 def conservation_check(spark, sf):
-    d = daily(spark, sf)
+    d = stored_daily(spark, sf)
     return quality.conservation_check(d, series.monthly_demand(d))
 
 
@@ -503,11 +509,10 @@ def monthly(spark, sf):
     return series.monthly_experiment(daily(spark, sf))
 
 
-def monthly_results(spark, sf):
+def monthly_results(spark, sf, demand=None):
     """Classical and quantile rows together, with split."""
-    m = monthly(spark, sf)
-    rows = union_all([BT.monthly_backtest(m, MONTH_CUTOFFS),
-                      BT.monthly_backtest(m, MONTH_CUTOFFS, CONTEXT_MONTHS)])
+    m = monthly(spark, sf) if demand is None else series.monthly_experiment(demand)
+    rows = BT.monthly_backtest(m, MONTH_CUTOFFS, CONTEXT_MONTHS, "both")
     return BT.add_split(rows, MONTH_VALIDATION, MONTH_HOLDOUT)
 
 
@@ -515,7 +520,7 @@ ROW_CUT = "Predicted Absolute_Error"
 query("bt_monthly", "SELECT * FROM month_rows_classic", cut=ROW_CUT)(
     lambda s, sf: BT.monthly_backtest(monthly(s, sf), MONTH_CUTOFFS))
 query("bt_monthly_quantile", "SELECT * FROM month_rows_quant", cut=ROW_CUT)(
-    lambda s, sf: BT.monthly_backtest(monthly(s, sf), MONTH_CUTOFFS, CONTEXT_MONTHS))
+    lambda s, sf: BT.monthly_backtest(monthly(s, sf), MONTH_CUTOFFS, CONTEXT_MONTHS, "quantile"))
 define("month_summary", """
 SELECT Model, Cutoff_Date, Split, count(DISTINCT Medicine_ID) AS Medicines, sum(Actual) AS Actual,
   sum(Predicted) AS Predicted, sum(Absolute_Error) AS Absolute_Error, avg(Absolute_Error) AS MAE,

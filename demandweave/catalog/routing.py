@@ -9,8 +9,9 @@ from ..operators import backtest as BT
 from ..operators import forecast as FC
 from ..operators import quality, series, serving
 from ..operators import routing as R
+from ..session import cut_lineage
 from . import views as V
-from .demand import QCOLS, daily, monthly_results
+from .demand import QCOLS, daily, monthly_results, stored_daily
 from .registry import query
 from .sqlbase import define
 
@@ -40,7 +41,7 @@ WHERE r.Split IN ('validation', 'holdout')""")
 
 
 def challenger_rows(spark, sf):
-    return monthly_results(spark, sf).where(F.col("Model") == C)
+    return cut_lineage(monthly_results(spark, sf).where(F.col("Model") == C))
 
 
 query("calibration_factors", "SELECT * FROM cal_factors",
@@ -72,8 +73,14 @@ CMP_CUT = ("Challenger_Predicted Challenger_AE Baseline_Predicted Baseline_AE Er
            "Challenger_WAPE Baseline_WAPE ADI CV2")
 
 
-def comparison(spark, sf):
-    return R.build_comparison(monthly_results(spark, sf), series.demand_regimes(daily(spark, sf)))
+def comparison(spark, sf, demand=None):
+    d = stored_daily(spark, sf) if demand is None else demand
+    return R.build_comparison(monthly_results(spark, sf, d), series.demand_regimes(d))
+
+
+def stored_comparison(spark, sf):
+    """For studies that read the comparison several times (one row per split and item)."""
+    return cut_lineage(comparison(spark, sf))
 
 
 query("model_errors", f"""
@@ -105,7 +112,7 @@ query("ensemble_summary", """
 SELECT Split, Model, count(DISTINCT Medicine_ID) AS Medicines, sum(Actual) AS Actual, sum(p) AS Predicted,
   sum(abs(Actual - p)) AS Absolute_Error, sum(abs(Actual - p)) / sum(abs(Actual)) * 100 AS WAPE
 FROM ens_rows GROUP BY 1, 2""", cut="Predicted Absolute_Error WAPE")(
-    lambda s, sf: FC.ensemble_summary(comparison(s, sf)))
+    lambda s, sf: FC.ensemble_summary(stored_comparison(s, sf)))
 query("ensemble_by_item", """
 SELECT *, adaptive_ensemble_ae < challenger_ae AS adaptive_beats_challenger,
   adaptive_ensemble_ae < baseline_ae AS adaptive_beats_baseline,
@@ -114,7 +121,7 @@ FROM (SELECT *, """ + ", ".join(f"abs(Actual - {m}_predicted) AS {m}_ae" for m i
   FROM (SELECT Medicine_ID, Actual, """ + ", ".join(f"{e} AS {m}_predicted" for m, e in BLENDS.items())
       + " FROM cmp, ens_best WHERE Split = 'holdout') AS a) AS b",
       cut=" ".join(f"{m}_predicted {m}_ae" for m in BLENDS))(
-    lambda s, sf: FC.ensemble_by_item(comparison(s, sf)))
+    lambda s, sf: FC.ensemble_by_item(stored_comparison(s, sf)))
 
 # ================================================================ stability
 MEAS = ["Challenger_WAPE", "Baseline_WAPE", "Challenger_AE", "Baseline_AE", "Winner"]
@@ -136,6 +143,10 @@ def stability(spark, sf):
     return R.stability_table(comparison(spark, sf))
 
 
+def stored_stability(spark, sf):
+    return cut_lineage(stability(spark, sf))
+
+
 query("stability", "SELECT * FROM stab", cut=STAB_CUT)(stability)
 STABLE = """count(*) AS Medicines, count(*) FILTER (WHERE Winner_Stable) AS Stable,
   count(*) FILTER (WHERE Winner_Stable) * 100.0::DOUBLE / count(*) AS Stability_Percentage"""
@@ -148,7 +159,7 @@ FROM stab, (SELECT quantile_cont(Total_Demand, 0.25) AS e1, quantile_cont(Total_
   quantile_cont(Total_Demand, 0.75) AS e3 FROM stab) AS e""")
 query("stability_by_volume", f"""
 SELECT Demand_Bucket, {STABLE}, avg(Total_Demand) AS Avg_Demand FROM stab_bucket GROUP BY 1""",
-      cut="Stability_Percentage Avg_Demand")(lambda s, sf: R.stability_by_volume(stability(s, sf)))
+      cut="Stability_Percentage Avg_Demand")(lambda s, sf: R.stability_by_volume(stored_stability(s, sf)))
 query("transitions", """
 SELECT Transition, count(*) AS Medicines, avg(Validation_Advantage) AS Mean_Validation_Advantage,
   avg(Holdout_Advantage) AS Mean_Holdout_Advantage FROM stab GROUP BY 1""",
@@ -166,8 +177,8 @@ FROM (SELECT Medicine_ID, Challenger_AE AS Validation_Challenger_AE, Baseline_AE
 ROUTE_CUT = "Validation_Challenger_AE Validation_Baseline_AE Validation_Advantage_Pct"
 
 
-def routing_table(spark, sf):
-    return R.build_routing_table(comparison(spark, sf))
+def routing_table(spark, sf, demand=None):
+    return R.build_routing_table(comparison(spark, sf, demand))
 
 
 query("routing_table", "SELECT * FROM routes", cut=ROUTE_CUT)(routing_table)
@@ -214,7 +225,7 @@ query("routed_overall", " UNION ALL ".join(
         C: "Challenger_AE", B: "Baseline_AE",
         "routed_hybrid": f"CASE WHEN sel = '{C}' THEN Challenger_AE ELSE Baseline_AE END"}.items()),
       cut="Absolute_Error WAPE")(lambda s, sf: (
-          lambda c: R.routed_overall(c, R.regime_rules(c)))(comparison(s, sf)))
+          lambda c: R.routed_overall(c, R.regime_rules(c)))(stored_comparison(s, sf)))
 define("exp_rows", f"""
 SELECT c.Split, c.Medicine_ID, c.Actual, c.Predicted AS pc, b.Predicted AS pb,
   coalesce(r.Selected_Model, '{B}') AS sel
@@ -229,8 +240,8 @@ query("regime_experiment", " UNION ALL ".join(
     f"FROM exp_rows GROUP BY Split" for m, e in {
         C: "pc", B: "pb", "routed_hybrid": f"CASE WHEN sel = '{C}' THEN pc ELSE pb END"}.items()),
       cut="Predicted Absolute_Error WAPE_Pct Ratio MBE MAE")(
-    lambda s, sf: R.regime_routing_experiment(
-        monthly_results(s, sf), series.demand_regimes(daily(s, sf))))
+    lambda s, sf: (lambda d: R.regime_routing_experiment(
+        cut_lineage(monthly_results(s, sf, d)), series.demand_regimes(d)))(stored_daily(s, sf)))
 
 # ================================================================ frozen rule
 define("frozen", f"""
@@ -294,7 +305,7 @@ FROM (SELECT count(*) AS Holdout_Medicines, {WAPES3}, {COUNTS},
       cut="Routing_WAPE Challenger_WAPE Baseline_WAPE Ensemble_WAPE Challenger_Selection_Pct "
           "Baseline_Selection_Pct Routing_Improvement_vs_Baseline Routing_Improvement_vs_Challenger "
           "Routing_Improvement_vs_Ensemble")(lambda s, sf: (
-              lambda c: R.frozen_rule_summary(c, R.frozen_rule_holdout(c)))(comparison(s, sf)))
+              lambda c: R.frozen_rule_summary(c, R.frozen_rule_holdout(c)))(stored_comparison(s, sf)))
 
 # ================================================================ rule grid
 define("demand_cuts", """
@@ -337,10 +348,10 @@ GROUP BY Rule) AS g"""
 
 define("grid", _grid_sql())
 GRID_CUT = "Holdout_WAPE Challenger_WAPE Baseline_WAPE Improvement_vs_Baseline"
-query("rule_grid", "SELECT * FROM grid", cut=GRID_CUT)(lambda s, sf: R.rule_grid(comparison(s, sf)))
+query("rule_grid", "SELECT * FROM grid", cut=GRID_CUT)(lambda s, sf: R.rule_grid(stored_comparison(s, sf)))
 query("best_rule", """
 SELECT * FROM grid ORDER BY floor(Holdout_WAPE * 1e9), Rule LIMIT 1""", cut=GRID_CUT)(
-    lambda s, sf: R.rule_grid(comparison(s, sf)).orderBy(
+    lambda s, sf: R.rule_grid(stored_comparison(s, sf)).orderBy(
         F.floor(F.col("Holdout_WAPE") * 1e9), "Rule").limit(1))
 
 # ================================================================ confidence, rolling, value
@@ -399,7 +410,7 @@ define("val", f"""
 SELECT * EXCLUDE (e1, e2, e3), CASE WHEN Winner_Stable THEN Holdout_Winner ELSE 'unstable' END AS Stable_Winner,
   CASE WHEN Winner_Stable THEN Holdout_Winner ELSE '{B}' END AS Production_Candidate FROM stab_bucket""")
 query("model_value", "SELECT * FROM val", cut=STAB_CUT)(
-    lambda s, sf: R.model_value(stability(s, sf)))
+    lambda s, sf: R.model_value(stored_stability(s, sf)))
 query("model_value_summary", " UNION ALL ".join(f"""
 SELECT '{a}' AS Analysis, {g} AS "Group", count(*) AS Medicines,
   count(*) FILTER (WHERE Winner_Stable) AS Stable_Medicines, avg(Total_Demand) AS Avg_Demand,
@@ -409,12 +420,11 @@ SELECT '{a}' AS Analysis, {g} AS "Group", count(*) AS Medicines,
 FROM val WHERE {g} IS NOT NULL GROUP BY 2""" for a, g in (
     ("regime", "Regime"), ("demand_volume", "Demand_Bucket"))),
       cut="Avg_Demand Mean_Validation_Advantage Mean_Holdout_Advantage Stability_Percentage")(
-    lambda s, sf: R.model_value_summary(R.model_value(stability(s, sf))))
+    lambda s, sf: R.model_value_summary(R.model_value(stored_stability(s, sf))))
 query("high_value_items", "SELECT * FROM val ORDER BY Total_Demand DESC, Medicine_ID LIMIT 20",
-      cut=STAB_CUT)(lambda s, sf: R.high_value_items(R.model_value(stability(s, sf))))
+      cut=STAB_CUT)(lambda s, sf: R.high_value_items(R.model_value(stored_stability(s, sf))))
 
 # ================================================================ production forecasts
-STAMP = F.lit("2001-08-01 00:00:00").cast("timestamp")
 define("service_rows", f"""
 SELECT t.MDCODE AS Medicine_ID, CAST(t.cutoff + CAST(h AS INTEGER) AS DATE) AS Forecast_Date,
   coalesce(r.Selected_Model, '{B}') AS Selected_Model, CASE WHEN t.k = 0 THEN 0 ELSE t.p * t.z END AS tsb_point,
@@ -426,7 +436,12 @@ define("route_reason", f"""
 SELECT Medicine_ID, 'Validation advantage ' || printf('%.2f', Validation_Advantage_Pct) || '% '
   || CASE WHEN Validation_Advantage_Pct >= 30 THEN '>=' ELSE '<' END || ' 30% threshold' AS reason
 FROM routes""")
-R2 = "floor(({}) * 100 + 0.5) / 100"
+
+
+def routed(spark, sf, form):
+    """Routed production forecast from one stored demand table and a stored routing table."""
+    d = stored_daily(spark, sf)
+    return serving.forecast_batch(d, cut_lineage(routing_table(spark, sf, d)), form)[0]
 
 
 @query("forecast_service", f"""
@@ -439,8 +454,7 @@ SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
 FROM service_rows s LEFT JOIN route_reason x ON s.Medicine_ID = x.Medicine_ID""",
        cut="P10 P50 P90 Routing_Advantage_Pct")
 def forecast_service(spark, sf):
-    out, _ = serving.forecast_batch(daily(spark, sf), routing_table(spark, sf), generated_at=STAMP)
-    return out.drop("Generated_At")
+    return routed(spark, sf, "service").drop("Generated_At")
 
 
 @query("forecast_router", f"""
@@ -454,9 +468,7 @@ SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
 FROM service_rows s JOIN route_reason x ON s.Medicine_ID = x.Medicine_ID""",
        cut="Validation_Advantage_Pct")
 def forecast_router(spark, sf):
-    out, _ = serving.forecast_batch(daily(spark, sf), routing_table(spark, sf), "router",
-                                    generated_at=STAMP)
-    return out.drop("Generated_At")
+    return routed(spark, sf, "router").drop("Generated_At")
 
 
 for _name, _cols in (("forecast_service", ["Predicted_Demand"]),
@@ -480,7 +492,7 @@ for _form in ("service", "router"):
             "quantile_order", "quantile_presence", "median_off_point"))
           + " FROM (SELECT count(*) AS n FROM service_rows) AS s")(
         lambda s, sf, form=_form: quality.check_forecast(
-            serving.forecast_batch(daily(s, sf), routing_table(s, sf), form)[0].withColumns(
+            routed(s, sf, form).withColumns(
                 {} if form == "router" else {
                     c: F.lit(None).cast("double") for c in QCOLS if c not in ("P10", "P50", "P90")}),
             [C, B], [C], form=form))
@@ -496,8 +508,8 @@ SELECT s.MDCODE AS Medicine_ID, CAST(s.cutoff + CAST(h AS INTEGER) AS DATE) AS F
 FROM (SELECT *, len(y) AS n FROM hist_end_sup) AS s, ahead30""")
 
 
-def snapshot(spark, sf):
-    d = daily(spark, sf)
+def snapshot(spark, sf, demand=None):
+    d = stored_daily(spark, sf) if demand is None else demand
     points = FC.forecast_daily(d, ["seasonal_naive"]).select(
         "Medicine_ID", "Forecast_Date", F.col("Predicted").alias("Predicted_Demand"))
     q = FC.window_quantiles(FC.history_rows(d), [90]).select(
@@ -587,7 +599,7 @@ UNION ALL SELECT NULL, true, count(DISTINCT Medicine_ID), {_EV} FROM eval_pairs"
        cut="Total_Predicted Total_Absolute_Error WAPE_Pct MAE sMAPE_Pct MBE P10_P90_Coverage_Pct")
 def eval_metrics(spark, sf):
     """TSB with quantile bounds, forecast from 2001-05-31, against the days that followed."""
-    d = daily(spark, sf, "brand")
+    d = stored_daily(spark, sf, "brand")
     cut = ["2001-05-31"]
     state = FC.smoothing_state(FC.history_rows(d, cut)).where(
         (F.col("n") >= 730) & (F.datediff("last", "cutoff") >= 30))
@@ -614,7 +626,8 @@ JOIN (SELECT d.MDCODE, sum(Demand_Qty) AS t FROM daily_sup d JOIN (
 
 
 def audit(spark, sf):
-    d, routes = daily(spark, sf), routing_table(spark, sf)
+    d = stored_daily(spark, sf)
+    routes = cut_lineage(routing_table(spark, sf, d))
     routed = R.apply_routing(d.withColumnRenamed("MDCODE", "Medicine_ID"), routes).withColumnRenamed(
         "Medicine_ID", "MDCODE")
     pick = lambda m: routed.where(F.col("Selected_Model") == m).select("MDCODE", "INVDT", "Demand_Qty")
@@ -631,7 +644,7 @@ query("scale_audit_summary", " UNION ALL ".join(f"""
 SELECT Selected_Model, '{m}' AS Measure, count({m}) AS "count", avg({m}) AS mean, min({m}) AS "min",
   max({m}) AS "max", quantile_cont({m}, 0.5) AS median FROM audit_rows GROUP BY 1""" for m in (
     "Recent_90D_Daily_Mean", "Forecast_Daily_Mean", "Forecast_to_Recent_Ratio")),
-      cut="mean min max median")(lambda s, sf: BT.scale_audit_summary(audit(s, sf)))
+      cut="mean min max median")(lambda s, sf: BT.scale_audit_summary(cut_lineage(audit(s, sf))))
 
 define("stock_sup", """
 SELECT CAST(l_suppkey AS VARCHAR) AS id, sum(l_quantity) / 40 AS s FROM lineitem WHERE l_returnflag = 'A'
@@ -653,18 +666,23 @@ WHERE total > 10 AND p90 - p10 > 2.5 * total""")
 
 
 def alerts(spark, sf):
-    d = daily(spark, sf)
+    d = stored_daily(spark, sf)
     stock = V.table(spark, sf, "lineitem").where("l_returnflag = 'A'").groupBy(
         F.col("l_suppkey").cast("string").alias("Medicine_ID")).agg(
         (F.sum("l_quantity") / 40).alias("Stock_On_Hand"))
     dense = series.fill_calendar(d, "MDCODE", "INVDT", "Demand_Qty")
-    return serving.scan_alerts(snapshot(spark, sf), dense, stock, decimals=None)
+    return cut_lineage(serving.scan_alerts(
+        snapshot(spark, sf, d), dense, stock, decimals=None, numbered=False))
+
+
+def numbered_alerts(spark, sf):
+    return serving.number_alerts(alerts(spark, sf))
 
 
 query("alerts", """
 SELECT *, 'ALT-' || lpad(CAST(row_number() OVER (ORDER BY Medicine_ID, rule) AS VARCHAR), 4, '0') AS id
 FROM alert_rows""", cut="metric_value")(
-    lambda s, sf: alerts(s, sf).drop("title", "description", "recommended_action"))
+    lambda s, sf: numbered_alerts(s, sf).drop("title", "description", "recommended_action"))
 query("alert_summary", """
 SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count,
   count(*) FILTER (WHERE severity = 'WARNING') AS warning_count,

@@ -19,8 +19,9 @@ def global_row_number(df: DataFrame, text_key: str, order: list[str], name: str
     coded = df.withColumn("__code", code.cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
     splits = coded.agg(F.percentile_approx("__code", probs, 10000)).scalar()
-    bucketed = coded.withColumn(
-        "__bucket", F.coalesce(F.size(F.filter(splits, lambda s: s < F.col("__code"))), F.lit(0)))
+    below = F.size(F.filter("__splits", lambda s: s < F.col("__code")))
+    bucketed = coded.withColumn("__splits", splits).withColumn(
+        "__bucket", F.when(F.col("__splits").isNull(), 0).otherwise(below)).drop("__splits")
     counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))

@@ -38,9 +38,10 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: str | No
     ).alias("s")
     if by:
         vals = vals.join(F.broadcast(vals.groupBy("g").agg(summary)), "g")
-        sketch = F.col("s")
     else:
-        sketch = vals.agg(summary).scalar()
+        # attached once as a column: every mention of a subquery would copy its whole plan
+        vals = vals.withColumn("s", vals.agg(summary).scalar())
+    sketch = F.col("s")
 
     # below `accuracy` rows a bracket may miss the neighbouring rank, and the whole column is small
     tiny = sketch["n"] * slack < 2
@@ -83,19 +84,16 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: str | No
     return picked.select(*([F.col("g").alias(by)] if by else []), "prob", value.alias("value"))
 
 
-def quartile_edges(df: DataFrame, column: str, probs=(0.0, 0.25, 0.5, 0.75, 1.0)) -> Column:
-    """Sorted distinct quantile edges as an array-valued scalar, for equal-count bucketing."""
-    edges = exact_quantiles(df, column, list(probs)).agg(
-        F.array_sort(F.collect_set("value")).alias("edges")
-    )
-    return edges.scalar()
+def quantile_map(df: DataFrame, column: str, probs: list[float]) -> Column:
+    """Scalar map prob -> exact quantile; attach it to a frame once and read it from there."""
+    return exact_quantiles(df, column, probs).agg(
+        F.map_from_entries(F.collect_list(F.struct("prob", "value"))).alias("m")).scalar()
 
 
-def quantile_bucket(c: Column, edges: Column, labels: list[str]) -> Column:
-    """Label of the right-closed bucket; the lowest edge belongs to the first bucket."""
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    index = F.size(F.filter(inner, lambda e: c > e))
-    return F.when(
-        (c >= F.element_at(edges, 1)) & (c <= F.element_at(edges, -1)),
-        F.element_at(F.array(*[F.lit(x) for x in labels]), index + 1),
-    )
+def quartile_bucket(df: DataFrame, column: str, labels: list[str], name: str) -> DataFrame:
+    """Label of the right-closed quartile; the lowest value belongs to the first one."""
+    inner = [0.25, 0.5, 0.75]
+    cuts = df.withColumn("__cuts", quantile_map(df, column, inner))
+    above = sum(((F.col(column) > F.element_at("__cuts", F.lit(p))).cast("int") for p in inner), F.lit(1))
+    label = F.element_at(F.array(*[F.lit(x) for x in labels]), above)
+    return cuts.withColumn(name, label).drop("__cuts")

@@ -57,41 +57,60 @@ def _window_metrics(rows: DataFrame, decimals: int | None, interval: bool) -> Da
         *accuracy_aggregates("Actual", "Predicted", *p, decimals=decimals))
 
 
+def _scored(state: DataFrame, horizon: int, min_history: int) -> DataFrame:
+    """Horizon rows, with actuals, of the windows that have enough history and future."""
+    enough = (F.col("n") >= min_history) & (F.datediff("last", "cutoff") >= horizon)
+    return FC.over_horizon(state.where(enough), horizon).withColumn("Actual", _future(F.col("h")))
+
+
+def _classical(rows: DataFrame, models, decimals) -> DataFrame:
+    chosen = {m: c for m, c in FC.daily_models(F.col("h")).items() if m in (models or CLASSICAL)}
+    return _window_metrics(rows.select(
+        F.col("MDCODE").alias("Medicine_ID"), F.col("cutoff").alias("Cutoff_Date"), "Actual",
+        FC.model_rows(chosen)), decimals, interval=False)
+
+
+def _quantile(rows: DataFrame, decimals) -> DataFrame:
+    levels = {f"quantile-{c}": F.col(c) for c in S.QUANTILE_COLUMNS}
+    return rows.select(
+        F.col("MDCODE").alias("Medicine_ID"), F.col("cutoff").alias("Cutoff_Date"),
+        F.col("context").alias("Context_Length"), "P10", "P90", "Actual", FC.model_rows(levels),
+    ).groupBy("Context_Length", "Model", "Cutoff_Date", "Medicine_ID").agg(
+        *accuracy_aggregates("Actual", "Predicted", "P10", "P90", decimals=decimals))
+
+
 def daily_backtest(series: DataFrame, cutoffs: list[str], horizon: int = S.HORIZON,
                    min_history: int = MIN_HISTORY, models: list[str] | None = None,
                    decimals: int | None = None) -> DataFrame:
     """One metric row per (model, cutoff, item) for the classical models."""
-    rows = FC.history_rows(series, cutoffs, horizon)
-    state = FC.smoothing_state(rows, horizon=horizon).where(
-        (F.col("n") >= min_history) & (F.datediff("last", "cutoff") >= horizon))
-    chosen = {m: c for m, c in FC.daily_models(F.col("h")).items() if m in (models or CLASSICAL)}
-    long = FC.over_horizon(state, horizon).select(
-        F.col("MDCODE").alias("Medicine_ID"), F.col("cutoff").alias("Cutoff_Date"),
-        _future(F.col("h")).alias("Actual"), FC.model_rows(chosen))
-    return _window_metrics(long, decimals, interval=False)
+    state = FC.smoothing_state(FC.history_rows(series, cutoffs, horizon), horizon=horizon)
+    return _classical(_scored(state, horizon, min_history), models, decimals)
 
 
 def quantile_backtest(series: DataFrame, cutoffs: list[str], contexts: list[int],
                       horizon: int = S.HORIZON, min_history: int = MIN_HISTORY,
                       decimals: int | None = None) -> DataFrame:
     """Metric rows of the trailing-window quantile challenger, one model per level and context."""
-    rows = FC.history_rows(series, cutoffs, horizon)
-    q = FC.window_quantiles(rows, contexts, horizon=horizon).where(
-        (F.col("n") >= min_history) & (F.datediff("last", "cutoff") >= horizon))
-    levels = {f"quantile-{c}": F.col(c) for c in S.QUANTILE_COLUMNS}
-    long = FC.over_horizon(q, horizon).select(
-        F.col("MDCODE").alias("Medicine_ID"), F.col("cutoff").alias("Cutoff_Date"),
-        F.col("context").alias("Context_Length"), "P10", "P90",
-        _future(F.col("h")).alias("Actual"), FC.model_rows(levels))
-    return long.groupBy("Context_Length", "Model", "Cutoff_Date", "Medicine_ID").agg(
-        *accuracy_aggregates("Actual", "Predicted", "P10", "P90", decimals=decimals))
+    q = FC.window_quantiles(FC.history_rows(series, cutoffs, horizon), contexts, horizon=horizon)
+    return _quantile(_scored(q, horizon, min_history), decimals)
 
 
 def run_backtest(series: DataFrame, cutoffs: list[str], context: int = S.CONTEXT_LENGTH,
-                 horizon: int = S.HORIZON, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Classical models and the quantile challenger together."""
-    return daily_backtest(series, cutoffs, horizon, min_history).unionByName(
-        quantile_backtest(series, cutoffs, [context], horizon, min_history).drop("Context_Length"))
+                 horizon: int = S.HORIZON, min_history: int = MIN_HISTORY,
+                 decimals: int | None = None) -> DataFrame:
+    """Classical models and the quantile challenger, from one state per (item, cutoff)."""
+    state = FC.quantile_levels(FC.smoothing_state(
+        FC.history_rows(series, cutoffs, horizon), horizon=horizon, recent=context), [context])
+    rows = _scored(state, horizon, min_history)
+    models = {**FC.daily_models(F.col("h")),
+              **{f"quantile-{c}": F.col(c) for c in S.QUANTILE_COLUMNS}}
+    long = rows.select(
+        F.col("MDCODE").alias("Medicine_ID"), F.col("cutoff").alias("Cutoff_Date"), "Actual",
+        "P10", "P90", FC.model_rows(models))
+    # the point models carry no interval, so their coverage is 0
+    covered = F.col("Model").startswith("quantile-")
+    bound = {c: F.when(covered, F.col(c)) for c in ("P10", "P90")}
+    return _window_metrics(long.withColumns(bound), decimals, interval=True)
 
 
 def backtest_summary(windows: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -122,17 +141,23 @@ def best_context(sweep: DataFrame, model: str = "quantile-P50") -> DataFrame:
 
 # ---------------------------------------------------------------- monthly
 
-def monthly_backtest(monthly: DataFrame, cutoffs: list[str], challenger_context: int | None = None,
-                     min_months: int = MIN_MONTHS) -> DataFrame:
-    """One-step monthly forecasts (classical models, or quantile levels when a context is given)."""
+def monthly_backtest(monthly: DataFrame, cutoffs: list[str], context: int | None = None,
+                     which: str = "classical", min_months: int = MIN_MONTHS) -> DataFrame:
+    """One-step monthly forecasts of the ``classical`` models, the ``quantile`` levels over the last
+    ``context`` months, or ``both`` from one state per (item, cutoff)."""
     rows = FC.history_rows(monthly, cutoffs, 1, "month", "Medicine_ID", "Month", "Actual")
-    if challenger_context is None:
-        state = FC.smoothing_state(rows, step="month", item="Medicine_ID", tail=12, horizon=1)
+    levels = {f"quantile-{c}": F.col(c) for c in S.QUANTILE_COLUMNS}
+    if which == "quantile":
+        state, models = FC.window_quantiles(rows, [context], step="month", item="Medicine_ID",
+                                            horizon=1), levels
+    elif which in ("classical", "both"):
+        state = FC.smoothing_state(rows, step="month", item="Medicine_ID", tail=12, horizon=1,
+                                   recent=context if which == "both" else 0)
         models = FC.monthly_models()
+        if which == "both":
+            state, models = FC.quantile_levels(state, [context]), {**models, **levels}
     else:
-        state = FC.window_quantiles(rows, [challenger_context], step="month", item="Medicine_ID",
-                                    horizon=1)
-        models = {f"quantile-{c}": F.col(c) for c in S.QUANTILE_COLUMNS}
+        raise ValueError(f"unknown model family {which}")
     target = F.add_months("cutoff", 1)
     long = state.where((F.col("n") >= min_months) & (target <= F.col("last"))).select(
         F.col("cutoff").alias("Cutoff_Date"), target.alias("Forecast_Month"), "Medicine_ID",
@@ -182,8 +207,8 @@ def best_on_validation(split_rows: DataFrame) -> DataFrame:
 
 def evaluate_forecast(actuals: DataFrame, forecast: DataFrame,
                       decimals: int | None = 2) -> DataFrame:
-    """Per item and overall (Medicine_ID null, Is_Overall true) in one pass; no overlap gives the
-    overall row with zeros."""
+    """Per item and overall (Medicine_ID null, Is_Overall true); no overlap gives the overall row
+    with zeros."""
     a = S.canonicalise(actuals).select(
         F.col("Medicine_ID").cast("string").alias("Medicine_ID"),
         F.to_date("Forecast_Date").alias("Forecast_Date"), F.col("Demand_Qty").alias("Actual"))
@@ -194,9 +219,13 @@ def evaluate_forecast(actuals: DataFrame, forecast: DataFrame,
     both = f.join(a, ["Medicine_ID", "Forecast_Date"])
     aggs = accuracy_aggregates("Actual", "Predicted_Demand", *(("P10", "P90") if has else (None, None)),
                                decimals=decimals)
-    return both.groupingSets([["Medicine_ID"], []], "Medicine_ID").agg(
-        F.grouping("Medicine_ID").cast("boolean").alias("Is_Overall"),
-        F.count_distinct("Medicine_ID").alias("Medicines"), *aggs)
+    # a grouping set gives no overall row on empty input, a plain aggregate does
+    label = lambda overall: F.lit(overall).alias("Is_Overall")
+    per_item = both.groupBy("Medicine_ID").agg(
+        F.lit(1).cast("bigint").alias("Medicines"), *aggs).select("*", label(False))
+    overall = both.agg(F.count_distinct("Medicine_ID").alias("Medicines"), *aggs).select(
+        F.lit(None).cast("string").alias("Medicine_ID"), "*", label(True))
+    return per_item.unionByName(overall)
 
 
 def pooled_by_model(results: DataFrame, keys=("Model",)) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.metrics import wape
+from ..session import ship_by_value
 
 ALPHA = 0.1
 BETA = 0.1
@@ -60,12 +61,14 @@ def history_rows(series: DataFrame, cutoffs: list[str] | None = None, horizon: i
 
 
 def smoothing_state(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA, step: str = "day",
-                    item="MDCODE", tail: int = PERIOD, horizon: int = 0) -> DataFrame:
+                    item="MDCODE", tail: int = PERIOD, horizon: int = 0,
+                    recent: int = 0) -> DataFrame:
     """Sufficient statistics of every smoothing model, one row per (item, cutoff).
 
     n periods, k positive periods, f position of the first, z smoothed size, occ the recursive part
     of the occurrence probability, gap_part the recursive part of the interval, tail the last
-    ``tail`` values (oldest first), and ahead: age -> quantity for periods after the cutoff.
+    ``tail`` values (oldest first), ahead: quantities of the ``horizon`` periods after the cutoff, and
+    recent: the positive values of the last ``recent`` periods, for the quantile challenger.
     """
     keys = [item, "cutoff"]
     past = F.col("age") >= 0
@@ -73,7 +76,7 @@ def smoothing_state(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA, s
     newest_first = W.partitionBy(*keys).orderBy("age")
     later = F.coalesce(
         F.sum(hit.cast("int")).over(newest_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    df = rows.withColumns({"hit": hit, "later": later, "past": past})
+    df = rows.withColumns({"hit": hit, "later": later})
     v = F.when(F.col("hit"), F.col("qty"))
     age = F.when(F.col("hit"), F.col("age"))
     n = _gap(step, F.first("cutoff"), F.first("first")) + 1
@@ -97,11 +100,7 @@ def smoothing_state(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA, s
         F.array(*[total(F.when(F.col("age") == a, F.greatest("qty", F.lit(0.0))))
                   for a in range(tail - 1, -1, -1)]).alias("tail"),
     ]
-    if horizon:
-        # at most `horizon` entries per group
-        aggs.append(F.map_from_entries(F.collect_list(F.when(
-            ~F.col("past"), F.struct((-F.col("age")).alias("h"), F.col("qty").alias("q"))))
-        ).alias("ahead"))
+    aggs += _lists(recent, horizon)
     df = df.groupBy(*keys).agg(*aggs)
     k = F.col("k")
     keep = lambda rate, m: F.pow(F.lit(1 - rate), m)
@@ -119,6 +118,18 @@ def smoothing_state(rows: DataFrame, alpha: float = ALPHA, beta: float = BETA, s
     }).drop("size_sum", "gap_sum", "gap", "first")
 
 
+def _lists(recent: int, horizon: int) -> list[Column]:
+    """Collected per (item, cutoff): at most ``recent`` past values and ``horizon`` future ones."""
+    age, qty, out = F.col("age"), F.col("qty"), []
+    if recent:
+        out.append(F.collect_list(F.when(
+            age.between(0, recent - 1) & (qty > 0), F.struct("age", "qty"))).alias("recent"))
+    if horizon:
+        out.append(F.map_from_entries(F.collect_list(F.when(
+            age < 0, F.struct((-age).alias("h"), qty.alias("q"))))).alias("ahead"))
+    return out
+
+
 # ---------------------------------------------------------------- models over the state
 
 def croston() -> Column:
@@ -231,36 +242,31 @@ def _sorted_value(rank: Column, zeros: Column, values: Column) -> Column:
         F.get(values, (rank - zeros).cast("int")))
 
 
-def window_quantiles(rows: DataFrame, contexts: list[int], levels=S.QUANTILE_LEVELS, step="day",
-                     item="MDCODE", horizon: int = 0, by_context: bool = True) -> DataFrame:
-    """Empirical quantiles of the last ``context`` periods, zero periods included.
-
-    Zeros are counted, not generated: a window keeps only its positive values (at most ``context``).
-    """
-    keys = [item, "cutoff"]
-    grid = F.array(*[F.lit(c) for c in contexts])
-    first = _gap(step, F.col("cutoff"), F.col("first")) + 1
-    rows = rows.withColumn("context", F.explode(F.filter(
-        grid, lambda c: F.col("age") < c)))
-    used = F.col("age").between(0, F.col("context") - 1) & (F.col("qty") > 0)
-    aggs = [
-        F.first("last").alias("last"), F.first(first).alias("n"),
-        F.array_sort(F.collect_list(F.when(used, F.col("qty")))).alias("values"),
-    ]
-    if horizon:
-        aggs.append(F.map_from_entries(F.collect_list(F.when(
-            F.col("age") < 0, F.struct((-F.col("age")).alias("h"), F.col("qty").alias("q"))))
-        ).alias("ahead"))
-    df = rows.groupBy(*keys, "context").agg(*aggs)
-    length = F.least("n", "context")
-    df = df.withColumns({"length": length, "zeros": length - F.size("values")})
+def quantile_levels(state: DataFrame, contexts: list[int], levels=S.QUANTILE_LEVELS) -> DataFrame:
+    """Empirical quantiles of the last ``context`` periods of each state row, zero periods included:
+    one row per context. Zeros are counted, not generated."""
+    df = state.withColumn("context", F.explode(F.array(*[F.lit(c) for c in contexts])))
+    inside = F.filter("recent", lambda x: x["age"] < F.col("context"))
+    df = df.withColumns({
+        "values": F.array_sort(F.transform(inside, lambda x: x["qty"])),
+        "length": F.least("n", "context"),
+    })
+    zeros = F.col("length") - F.size("values")
     for level, name in zip(levels, _quantile_names(levels)):
         at = F.lit(level) * (F.col("length") - 1)
-        lo = _sorted_value(F.floor(at), F.col("zeros"), F.col("values"))
-        hi = _sorted_value(F.ceil(at), F.col("zeros"), F.col("values"))
+        lo = _sorted_value(F.floor(at), zeros, F.col("values"))
+        hi = _sorted_value(F.ceil(at), zeros, F.col("values"))
         df = df.withColumn(name, lo + (hi - lo) * (at - F.floor(at)))
-    df = df.drop("values", "zeros")
-    return df if by_context else df.drop("context")
+    return df.drop("values", "recent")
+
+
+def window_quantiles(rows: DataFrame, contexts: list[int], levels=S.QUANTILE_LEVELS, step="day",
+                     item="MDCODE", horizon: int = 0) -> DataFrame:
+    """Quantile levels per (item, cutoff, context) straight from history rows."""
+    n = _gap(step, F.first("cutoff"), F.first("first")) + 1
+    state = rows.groupBy(item, "cutoff").agg(
+        F.first("last").alias("last"), n.alias("n"), *_lists(max(contexts), horizon))
+    return quantile_levels(state, contexts, levels)
 
 
 def _quantile_names(levels) -> list[str]:
@@ -287,6 +293,7 @@ def quantile_slot(history: DataFrame, fn: Callable, horizon: int = S.HORIZON,
     import numpy as np
     import pandas as pd
 
+    ship_by_value()
     names = _quantile_names(levels)
     schema = ("Medicine_ID string, Forecast_Date date, " + ", ".join(f"{c} double" for c in names)
               + ", Context_Length_Used int, error string")
@@ -363,14 +370,15 @@ WEIGHTS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 def calibration_factors(results: DataFrame) -> DataFrame:
     """Per-item factor Actual/Predicted on validation, clipped; empty ratios take the global one."""
     v = results.where(F.col("Split") == "validation")
-    glob = v.agg(F.try_divide(F.sum("Actual"), F.sum("Predicted"))).scalar()
     per = v.groupBy("Medicine_ID").agg(
         F.sum("Actual").alias("Validation_Actual"), F.sum("Predicted").alias("Validation_Predicted"),
         F.count("Predicted").alias("Validation_Samples"))
-    raw = F.coalesce(F.try_divide("Validation_Actual", "Validation_Predicted"), glob)
+    # the global ratio comes from the per-item sums, not from another pass over the rows
+    per = per.withColumn("Global_Factor", per.agg(F.try_divide(
+        F.sum("Validation_Actual"), F.sum("Validation_Predicted"))).scalar())
+    raw = F.coalesce(F.try_divide("Validation_Actual", "Validation_Predicted"), F.col("Global_Factor"))
     lo, hi = FACTOR_RANGE
-    return per.withColumns({
-        "Raw_Factor": F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)), "Global_Factor": glob})
+    return per.withColumn("Raw_Factor", F.least(F.greatest(raw, F.lit(lo)), F.lit(hi)))
 
 
 def calibration_study(results: DataFrame, lambdas=SHRINKAGE) -> DataFrame:
@@ -378,10 +386,10 @@ def calibration_study(results: DataFrame, lambdas=SHRINKAGE) -> DataFrame:
 
     ``results`` holds one model's rows (Split, Medicine_ID, Actual, Predicted).
     """
-    glob = results.where(F.col("Split") == "validation").agg(
-        F.try_divide(F.sum("Actual"), F.sum("Predicted"))).scalar()
     factors = calibration_factors(results).select(
         "Medicine_ID", "Raw_Factor", F.col("Validation_Samples").alias("samples"))
+    glob = results.where(F.col("Split") == "validation").agg(
+        F.try_divide(F.sum("Actual"), F.sum("Predicted"))).scalar()
     df = results.where(F.col("Split").isin("validation", "holdout")).join(
         factors, "Medicine_ID", "left").withColumn("g", glob)
     n = F.coalesce(F.col("samples"), F.lit(0))
@@ -419,10 +427,13 @@ def ensemble_weights(comparison: DataFrame, weights=WEIGHTS, challenger="Challen
         "Validation_WAPE", best.alias("Selected"))
 
 
-def _blends(comparison: DataFrame, challenger: str, baseline: str, weights) -> dict[str, Column]:
-    best = ensemble_weights(comparison, weights, challenger, baseline).where("Selected").select(
-        "Challenger_Weight").scalar()
-    c, b = F.col(challenger), F.col(baseline)
+def _with_best_weight(comparison: DataFrame, challenger: str, baseline: str, weights) -> DataFrame:
+    best = ensemble_weights(comparison, weights, challenger, baseline).where("Selected")
+    return comparison.withColumn("__w", best.select("Challenger_Weight").scalar())
+
+
+def _blends(challenger: str, baseline: str) -> dict[str, Column]:
+    c, b, best = F.col(challenger), F.col(baseline), F.col("__w")
     return {"challenger": c, "baseline": b, "simple_ensemble": 0.5 * c + 0.5 * b,
             "adaptive_ensemble": best * c + (1 - best) * b}
 
@@ -430,8 +441,8 @@ def _blends(comparison: DataFrame, challenger: str, baseline: str, weights) -> d
 def ensemble_summary(comparison: DataFrame, weights=WEIGHTS, challenger="Challenger_Predicted",
                      baseline="Baseline_Predicted") -> DataFrame:
     """Both models, their mean and the validation-chosen blend, per split."""
-    models = _blends(comparison, challenger, baseline, weights)
-    df = comparison.select("Split", "Medicine_ID", "Actual", model_rows(models))
+    models = _blends(challenger, baseline)
+    df = _with_best_weight(comparison, challenger, baseline, weights).select("Split", "Medicine_ID", "Actual", model_rows(models))
     a, p = F.col("Actual"), F.col("Predicted")
     return df.groupBy("Split", "Model").agg(
         F.count_distinct("Medicine_ID").alias("Medicines"), F.sum(a).alias("Actual"),
@@ -442,8 +453,9 @@ def ensemble_summary(comparison: DataFrame, weights=WEIGHTS, challenger="Challen
 def ensemble_by_item(comparison: DataFrame, weights=WEIGHTS, challenger="Challenger_Predicted",
                      baseline="Baseline_Predicted") -> DataFrame:
     """Holdout errors per item and whether the blend beats each model."""
-    models = _blends(comparison, challenger, baseline, weights)
-    h = comparison.where(F.col("Split") == "holdout").groupBy("Medicine_ID").agg(
+    models = _blends(challenger, baseline)
+    h = _with_best_weight(comparison, challenger, baseline, weights).where(
+        F.col("Split") == "holdout").groupBy("Medicine_ID").agg(
         F.sum("Actual").alias("Actual"),
         *[F.sum(c).alias(f"{m}_predicted") for m, c in models.items()])
     h = h.withColumns({f"{m}_ae": F.abs(F.col("Actual") - F.col(f"{m}_predicted")) for m in models})

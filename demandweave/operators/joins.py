@@ -73,7 +73,8 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left", sa
         F.col(key).alias("__hot"), F.lit(True).alias("__is_hot")
     )
     hot = F.broadcast(hot)
-    spread = F.when(F.col("__is_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    # a hash of the row, not a random or running number: a retried task must salt a row as before
+    spread = F.when(F.col("__is_hot"), F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
     left = (
         fact.join(hot, F.col(key) == F.col("__hot"), "left")
         .withColumn("__salt", F.coalesce(spread, F.lit(0)).cast("int"))

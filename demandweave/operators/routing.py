@@ -7,11 +7,12 @@ aggregate over the long result table instead of two aggregates and a join.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.metrics import pooled_aggregates, wape
-from ..functions.quantiles import exact_quantiles, quantile_bucket, quartile_edges
+from ..functions.quantiles import quantile_map, quartile_bucket
 
 CHALLENGER = "quantile-P50"
 BASELINE = "tsb"
@@ -106,14 +107,13 @@ def stability_by_regime(stability: DataFrame) -> DataFrame:
     return _stability(stability, F.col("Regime"), "Regime")
 
 
-def demand_bucket(df: DataFrame) -> Column:
+def with_demand_bucket(df: DataFrame) -> DataFrame:
     """Demand quartile; edges are exact quantiles, lowest edge included."""
-    return quantile_bucket(F.col("Total_Demand"), quartile_edges(df, "Total_Demand"), QUARTERS)
+    return quartile_bucket(df, "Total_Demand", QUARTERS, "Demand_Bucket")
 
 
 def stability_by_volume(stability: DataFrame) -> DataFrame:
-    bucketed = stability.withColumn("b", demand_bucket(stability))
-    return _stability(bucketed, F.col("b"), "Demand_Bucket",
+    return _stability(with_demand_bucket(stability), F.col("Demand_Bucket"), "Demand_Bucket",
                       F.avg("Total_Demand").alias("Avg_Demand"))
 
 
@@ -203,6 +203,11 @@ def regime_rules(comparison: DataFrame, challenger=CHALLENGER, baseline=BASELINE
         "Selection_Basis": F.lit("validation_only")})
 
 
+def _view(model: str, value: Column) -> Column:
+    """One generated (Model, value) row."""
+    return F.struct(F.lit(model).alias("Model"), value.alias("value"))
+
+
 def _pick(c: str, b: str, challenger: str) -> Column:
     return F.when(F.col("Selected_Model") == challenger, F.col(c)).otherwise(F.col(b))
 
@@ -213,12 +218,11 @@ def routed_overall(comparison: DataFrame, rules: DataFrame, challenger=CHALLENGE
     There are at most five regimes, which bounds the broadcast."""
     df = comparison.join(F.broadcast(rules.select("Regime", "Selected_Model")), "Regime", "left")
     views = F.inline(F.array(
-        F.struct(F.lit(challenger).alias("Model"), F.col("Challenger_AE").alias("err")),
-        F.struct(F.lit(baseline), F.col("Baseline_AE")),
-        F.struct(F.lit("routed_hybrid"), _pick("Challenger_AE", "Baseline_AE", challenger))))
+        _view(challenger, F.col("Challenger_AE")), _view(baseline, F.col("Baseline_AE")),
+        _view("routed_hybrid", _pick("Challenger_AE", "Baseline_AE", challenger))))
     return df.select("Split", "Medicine_ID", "Actual", views).groupBy("Split", "Model").agg(
         F.count_distinct("Medicine_ID").alias("Medicines"), F.sum("Actual").alias("Actual"),
-        F.sum("err").alias("Absolute_Error"), wape(F.sum("err"), F.sum("Actual")).alias("WAPE"))
+        F.sum("value").alias("Absolute_Error"), wape(F.sum("value"), F.sum("Actual")).alias("WAPE"))
 
 
 def regime_routing_experiment(results: DataFrame, regimes: DataFrame, challenger=CHALLENGER,
@@ -237,12 +241,11 @@ def regime_routing_experiment(results: DataFrame, regimes: DataFrame, challenger
     rules = regime_rules(merged, challenger, baseline)
     df = merged.join(F.broadcast(rules.select("Regime", "Selected_Model")), "Regime", "left")
     views = F.inline(F.array(
-        F.struct(F.lit(challenger).alias("Model"), F.col("c").alias("Predicted")),
-        F.struct(F.lit(baseline), F.col("b")),
-        F.struct(F.lit("routed_hybrid"), _pick("c", "b", challenger))))
+        _view(challenger, F.col("c")), _view(baseline, F.col("b")),
+        _view("routed_hybrid", _pick("c", "b", challenger))))
     return df.where(F.col("Split").isin("validation", "holdout")).select(
         "Split", "Actual", views).groupBy("Split", "Model").agg(
-        *pooled_aggregates("Actual", "Predicted"))
+        *pooled_aggregates("Actual", "value"))
 
 
 # ---------------------------------------------------------------- frozen-rule backtest
@@ -276,21 +279,19 @@ def frozen_rule_models(holdout: DataFrame, challenger=CHALLENGER, baseline=BASEL
     """Challenger, baseline, 50/50 blend and frozen routing on holdout, with WAPE improvements."""
     blend = (F.col("Challenger_Predicted") + F.col("Baseline_Predicted")) / 2
     views = F.inline(F.array(
-        F.struct(F.lit(challenger).alias("Model"), F.col("Challenger_Predicted").alias("p")),
-        F.struct(F.lit(baseline), F.col("Baseline_Predicted")),
-        F.struct(F.lit("simple_ensemble"), blend),
-        F.struct(F.lit("frozen_routing"), F.col("Selected_Predicted"))))
-    err = F.abs(F.col("Actual") - F.col("p"))
+        _view(challenger, F.col("Challenger_Predicted")), _view(baseline, F.col("Baseline_Predicted")),
+        _view("simple_ensemble", blend), _view("frozen_routing", F.col("Selected_Predicted"))))
+    err = F.abs(F.col("Actual") - F.col("value"))
     per = holdout.select("Medicine_ID", "Actual", views).groupBy("Model").agg(
         F.count_distinct("Medicine_ID").alias("Medicines"), F.sum("Actual").alias("Actual"),
-        F.sum("p").alias("Predicted"), F.sum(err).alias("Absolute_Error"),
+        F.sum("value").alias("Predicted"), F.sum(err).alias("Absolute_Error"),
         wape(F.sum(err), F.sum("Actual")).alias("WAPE"))
-    # four rows from here on
-    wapes = per.agg(F.map_from_entries(F.collect_list(F.struct("Model", "WAPE"))).alias("m")).scalar()
+    # four rows from here on, so an unpartitioned window is fine and saves a second pass
+    of = lambda m: F.max(F.when(F.col("Model") == m, F.col("WAPE"))).over(W.partitionBy(F.lit(1)))
     return per.withColumns({
-        "Improvement_vs_Baseline": wapes[baseline] - F.col("WAPE"),
-        "Improvement_vs_Challenger": wapes[challenger] - F.col("WAPE"),
-        "Improvement_vs_Ensemble": wapes["simple_ensemble"] - F.col("WAPE"),
+        "Improvement_vs_Baseline": of(baseline) - F.col("WAPE"),
+        "Improvement_vs_Challenger": of(challenger) - F.col("WAPE"),
+        "Improvement_vs_Ensemble": of("simple_ensemble") - F.col("WAPE"),
     })
 
 
@@ -352,8 +353,9 @@ def frozen_rule_summary(comparison: DataFrame, holdout: DataFrame, challenger=CH
 
 # ---------------------------------------------------------------- rule grid
 
-def candidate_rules(comparison: DataFrame) -> dict[str, Column]:
-    """52 rules as boolean columns over a validation row: true picks the challenger."""
+def candidate_rules() -> dict[str, Column]:
+    """52 rules as boolean columns over a validation row: true picks the challenger. Demand
+    thresholds are read from the row's ``cuts`` map."""
     adi, cv2, dem = F.col("ADI"), F.col("CV2"), F.col("Total_Demand")
     c, b = F.col("Challenger_AE"), F.col("Baseline_AE")
     rules = {
@@ -365,13 +367,8 @@ def candidate_rules(comparison: DataFrame) -> dict[str, Column]:
         rules[f"Challenger_ADI_ge_{t}"], rules[f"Challenger_ADI_lt_{t}"] = adi >= t, adi < t
     for t in CV2_GRID:
         rules[f"Challenger_CV2_ge_{t}"], rules[f"Challenger_CV2_lt_{t}"] = cv2 >= t, cv2 < t
-    # thresholds come from validation items that also appear in holdout
-    held = comparison.where(F.col("Split") == "holdout").select("Medicine_ID")
-    base = comparison.where(F.col("Split") == "validation").join(held, "Medicine_ID", "left_semi")
-    cuts = exact_quantiles(base, "Total_Demand", DEMAND_PROBS).agg(
-        F.map_from_entries(F.collect_list(F.struct("prob", "value"))).alias("m")).scalar()
     for p in DEMAND_PROBS:
-        t = F.element_at(cuts, F.lit(p))
+        t = F.element_at("cuts", F.lit(p))
         rules[f"Challenger_Demand_ge_q{p}"], rules[f"Challenger_Demand_lt_q{p}"] = dem >= t, dem < t
     rules["Validation_Winner"] = c < b
     for m in MARGIN_GRID:
@@ -384,10 +381,15 @@ def candidate_rules(comparison: DataFrame) -> dict[str, Column]:
 
 def rule_grid(comparison: DataFrame, challenger=CHALLENGER) -> DataFrame:
     """Every candidate rule decided on validation and scored on holdout, in one grouping."""
-    rules = candidate_rules(comparison)
-    decided = comparison.where(F.col("Split") == "validation").select("Medicine_ID", F.array(*[
+    validation = comparison.where(F.col("Split") == "validation")
+    # demand thresholds come from validation items that also appear in holdout
+    held = comparison.where(F.col("Split") == "holdout").select("Medicine_ID")
+    base = validation.join(held, "Medicine_ID", "left_semi")
+    decided = validation.withColumn(
+        "cuts", quantile_map(base, "Total_Demand", DEMAND_PROBS)
+    ).select("Medicine_ID", F.array(*[
         F.struct(F.lit(n).alias("Rule"), F.coalesce(r, F.lit(False)).alias("use"))
-        for n, r in rules.items()]).alias("rules"))
+        for n, r in candidate_rules().items()]).alias("rules"))
     df = comparison.where(F.col("Split") == "holdout").join(decided, "Medicine_ID").select(
         "Actual", "Challenger_Predicted", "Baseline_Predicted", "Challenger_AE", "Baseline_AE",
         F.explode("rules").alias("r"))
@@ -489,8 +491,7 @@ def rolling_by_regime(rolling: DataFrame) -> DataFrame:
 def model_value(stability: DataFrame, baseline=BASELINE) -> DataFrame:
     """Per comparable item: demand quartile, stable winner and production candidate."""
     stable = F.col("Winner_Stable")
-    return stability.withColumns({
-        "Demand_Bucket": demand_bucket(stability),
+    return with_demand_bucket(stability).withColumns({
         "Stable_Winner": F.when(stable, F.col("Holdout_Winner")).otherwise("unstable"),
         "Production_Candidate": F.when(stable, F.col("Holdout_Winner")).otherwise(baseline),
     })
@@ -500,7 +501,7 @@ def model_value_summary(value: DataFrame) -> DataFrame:
     """Regime and volume summaries in one grouping, told apart by ``Analysis``."""
     groups = F.inline(F.array(
         F.struct(F.lit("regime").alias("Analysis"), F.col("Regime").alias("Group")),
-        F.struct(F.lit("demand_volume"), F.col("Demand_Bucket"))))
+        F.struct(F.lit("demand_volume").alias("Analysis"), F.col("Demand_Bucket").alias("Group"))))
     return value.select("*", groups).where(F.col("Group").isNotNull()).groupBy(
         "Analysis", "Group").agg(
         F.count("*").alias("Medicines"), F.count_if("Winner_Stable").alias("Stable_Medicines"),

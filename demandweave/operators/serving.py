@@ -294,8 +294,12 @@ def scan_alerts(forecast: DataFrame, history: DataFrame | None = None,
     )
     rows = df.select("Medicine_ID", F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("a")
                      ).select("Medicine_ID", "a.*")
-    if not numbered:
-        return rows
+    return number_alerts(rows) if numbered else rows
+
+
+def number_alerts(rows: DataFrame) -> DataFrame:
+    """Ids ALT-0001.. in (item, rule) order. Reads its input three times: store it first when it is
+    expensive."""
     rows = global_row_number(rows, "Medicine_ID", ["rule"], "__n")
     n = F.col("__n").cast("string")
     return rows.withColumn("id", F.concat(F.lit("ALT-"), F.when(

@@ -18,9 +18,8 @@ def study_routing(daily: DataFrame, validation: list[str], holdout: list[str],
     """Backtest both models by month and derive the routing table."""
     monthly = series.monthly_experiment(daily)
     cutoffs = [*validation, *holdout]
-    results = backtest.monthly_backtest(monthly, cutoffs).unionByName(
-        backtest.monthly_backtest(monthly, cutoffs, context_months))
-    results = backtest.add_split(results, validation, holdout)
+    results = backtest.add_split(
+        backtest.monthly_backtest(monthly, cutoffs, context_months, "both"), validation, holdout)
     regimes = series.demand_regimes(series.candidates_only(daily, series.series_quality(daily)))
     comparison = routing.build_comparison(results, regimes)
     return {"results": results, "regimes": regimes, "comparison": comparison,

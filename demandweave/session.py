@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def ship_by_value() -> None:
+    """Make this package's Python functions travel inside the task instead of by module name, so
+    workers need no copy of the package on their path."""
+    from pyspark.cloudpickle import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike cached or local blocks."""
     ensure_checkpoint_dir(df.sparkSession)

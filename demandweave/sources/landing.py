@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 import struct
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import ship_by_value
 
 _PATH = r"([^/]+)/([^/]+)$"
 
@@ -98,6 +100,7 @@ def read_binary_table(spark: SparkSession, root: str, table: str, schema: T.Stru
     bounded batches. A column the file lacks is null; deleted records are skipped."""
     import pandas as pd
 
+    ship_by_value()
     names = schema.fieldNames()
     out_schema = T.StructType([*schema.fields, T.StructField("SOURCE_MONTH", T.StringType())])
 
@@ -134,9 +137,12 @@ def run_extract(spark: SparkSession, root: str, tables: list[str] | None = None,
         return read_all_months(spark, root, tables, fmt, **options)
     out = {}
     for t in tables:
-        first = spark.read.format("binaryFile").load(f"{root}/*/{t}.DAT").select("path").orderBy(
-            "path").first()
-        if first is None:
-            raise FileNotFoundError(f"no landed file of {t} under {root}")
+        try:
+            first = spark.read.format("binaryFile").load(f"{root}/*/{t}.DAT").select("path").orderBy(
+                "path").first()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(f"no landed file of {t} under {root}") from e
+            raise
         out[t] = read_binary_table(spark, root, t, binary_schema(spark, first[0]), **options)
     return out

@@ -6,6 +6,7 @@ and a reader never sees a half-written forecast; a run below the gate leaves the
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ def latest_forecast(spark: SparkSession, root: str, check: bool = True) -> DataF
     """Published snapshot with repaired columns, or None before the first promotion."""
     try:
         pointer = spark.read.json(f"{root}/latest").first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     df = repair_snapshot(spark.read.parquet(pointer["path"]))
@@ -75,7 +76,7 @@ def load_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Stored documents, or an empty set where none were written yet."""
     try:
         return spark.read.schema(schema).json(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
