@@ -251,13 +251,13 @@ def quantile_levels(state: DataFrame, contexts: list[int], levels=S.QUANTILE_LEV
         "values": F.array_sort(F.transform(inside, lambda x: x["qty"])),
         "length": F.least("n", "context"),
     })
-    zeros = F.col("length") - F.size("values")
+    zeros, out = F.col("length") - F.size("values"), {}
     for level, name in zip(levels, _quantile_names(levels)):
         at = F.lit(level) * (F.col("length") - 1)
         lo = _sorted_value(F.floor(at), zeros, F.col("values"))
         hi = _sorted_value(F.ceil(at), zeros, F.col("values"))
-        df = df.withColumn(name, lo + (hi - lo) * (at - F.floor(at)))
-    return df.drop("values", "recent")
+        out[name] = lo + (hi - lo) * (at - F.floor(at))
+    return df.withColumns(out).drop("values", "recent")
 
 
 def window_quantiles(rows: DataFrame, contexts: list[int], levels=S.QUANTILE_LEVELS, step="day",

@@ -123,28 +123,33 @@ def contribution(df: DataFrame, key: str, amount: str, name: str = "Contribution
 def order_kpis(lines: DataFrame, order="INVNO", customer="CCODE", qty="QTY", amount="LINE_AMT",
                returned="RETURNED", day="INVDT") -> DataFrame:
     """Ratios of a sales table in one row: order value, items, repeat buyers, returns, per-day and
-    per-customer sales. Orders and customers are reduced in two combining aggregates."""
+    per-customer sales.
+
+    Lines combine to orders, orders to one row per customer and one per day (a two-way tag instead of
+    two passes), and those to the totals.
+    """
     orders = lines.groupBy(order).agg(
-        F.first(customer, ignorenulls=True).alias("customer"),
-        F.first(day, ignorenulls=True).alias("day"),
+        F.first(customer, ignorenulls=True).cast("string").alias("customer"),
+        F.first(day, ignorenulls=True).cast("string").alias("day"),
         F.coalesce(F.sum(qty), F.lit(0.0)).alias("qty"),
         F.coalesce(F.sum(amount), F.lit(0.0)).alias("amount"),
         F.max(F.when(F.col(returned), 1).otherwise(0)).alias("returned"),
     )
-    per_customer_day = orders.groupBy("customer", "day").agg(
+    tag = F.inline(F.array(
+        F.struct(F.lit("customer").alias("kind"), F.col("customer").alias("key")),
+        F.struct(F.lit("day").alias("kind"), F.col("day").alias("key"))))
+    keys = orders.select(order, "qty", "amount", "returned", tag).groupBy("kind", "key").agg(
         F.count(order).alias("orders"), F.sum("qty").alias("qty"),
-        F.sum("amount").alias("amount"), F.sum("returned").alias("returned"),
-    )
-    customers = per_customer_day.groupBy("customer").agg(F.sum("orders").alias("orders"))
-    buyers = customers.agg(F.struct(
-        F.count("customer").alias("n"),
-        F.count_if(F.col("customer").isNotNull() & (F.col("orders") > 1)).alias("repeat"),
-    ).alias("b")).scalar()
-    t = per_customer_day.agg(
-        F.sum("orders").alias("Total_Orders"), F.sum("qty").alias("Total_Quantity"),
-        F.sum("amount").alias("Total_Sales"), F.sum("returned").alias("Returned_Orders"),
-        F.count_distinct("day").alias("Sales_Days"),
-    ).withColumns({"Total_Customers": buyers["n"], "Repeat_Customers": buyers["repeat"]})
+        F.sum("amount").alias("amount"), F.sum("returned").alias("returned"))
+    buyer = F.col("kind") == "customer"
+    known = F.col("key").isNotNull()
+    of = lambda c: F.sum(F.when(buyer, F.col(c)))
+    t = keys.agg(
+        of("orders").alias("Total_Orders"), of("qty").alias("Total_Quantity"),
+        of("amount").alias("Total_Sales"), of("returned").alias("Returned_Orders"),
+        F.count_if(~buyer & known).alias("Sales_Days"),
+        F.count_if(buyer & known).alias("Total_Customers"),
+        F.count_if(buyer & known & (F.col("orders") > 1)).alias("Repeat_Customers"))
     ratio = lambda n, d: F.bround(F.coalesce(F.try_divide(F.col(n), F.col(d)), F.lit(0.0)), 2)
     return t.withColumns({
         "Average_Order_Value": ratio("Total_Sales", "Total_Orders"),
