@@ -11,12 +11,20 @@ def global_row_number(df: DataFrame, text_key: str, order: list[str], name: str
                       buckets: int = 64) -> DataFrame:
     """1-based row number by (text_key, order...).
 
-    Rows are spread over order-preserving buckets of the key's leading bytes (splits from a sketch),
-    numbered inside each bucket, and shifted by the rows of the earlier buckets, a table of at most
-    ``buckets`` rows.
+    Rows are spread over order-preserving buckets of the key's first seven bytes after the prefix all
+    keys share (splits from a sketch), numbered inside each bucket, and shifted by the rows of the
+    earlier buckets, a table of at most ``buckets`` rows.
     """
-    code = F.conv(F.hex(F.rpad(F.substring(F.col(text_key).cast("string"), 1, 7), 7, "\0")), 16, 10)
-    coded = df.withColumn("__code", code.cast("double"))
+    key = F.col(text_key).cast("string")
+    ends = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("e")).scalar()
+    bounded = df.withColumn("__ends", ends)
+    lo, hi = F.col("__ends.lo"), F.col("__ends.hi")
+    # every key lies between the lowest and the highest, so their common prefix is everyone's
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length(lo), F.length(hi))),
+                    lambda i: F.substr(lo, F.lit(1), i) == F.substr(hi, F.lit(1), i))
+    tail = F.hex(F.substr(key, F.size(same), F.lit(7)))
+    code = F.conv(F.substring(F.rpad(tail, 14, "0"), 1, 14), 16, 10).cast("double")
+    coded = bounded.withColumn("__code", F.coalesce(code, F.lit(0.0))).drop("__ends")
     probs = [i / buckets for i in range(1, buckets)]
     splits = coded.agg(F.percentile_approx("__code", probs, 10000)).scalar()
     below = F.size(F.filter("__splits", lambda s: s < F.col("__code")))

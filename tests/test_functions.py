@@ -106,6 +106,10 @@ def test_global_numbering_matches_one_sort(spark):
     got = {r["i"]: r["n"] for r in global_row_number(df, "k", ["i"], "n").collect()}
     for n, (k, i) in enumerate(sorted(rows), start=1):
         assert got[i] == n
+    odd = [("é", 0), ("az", 1), ("aé", 2), ("b", 3), ("", 4), ("aéééééééé", 5), ("zz", 6), ("a", 7)]
+    df = spark.createDataFrame(odd, "k string, i int")
+    got = [r["i"] for r in global_row_number(df, "k", ["i"], "n").orderBy("n").collect()]
+    assert got == [i for _, i in sorted(odd, key=lambda r: r[0].encode())]
 
 
 def test_ratios(spark):
