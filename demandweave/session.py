@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +30,37 @@ def local_session(cpus: int | str = 8, app: str = "demandweave") -> SparkSession
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for tables stored on the way: the one the cluster names in spark.checkpoint.dir, or
+    one below the warehouse where none is set. Never a folder of one machine's own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def stored(df: DataFrame, hint: str = "table") -> DataFrame:
+    """The same rows, written as Parquet in the work folder and read back: lineage ends here, columns stay
+    prunable, statistics are real, and the loss of executors costs nothing. Removed when the program ends."""
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{hint}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _stored:
+        atexit.register(remove_stored)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def remove_stored() -> None:
+    """Delete what ``stored`` has written so far in this program."""
+    while _stored:
+        spark, path = _stored.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_by_value() -> None:
@@ -45,6 +72,5 @@ def ship_by_value() -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike cached or local blocks."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A stored copy: survives the loss of executors, unlike cached or local blocks."""
+    return stored(df, "cut")
