@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import io
+import pathlib
 import sys
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,15 +47,19 @@ def stored(df: DataFrame, hint: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{hint}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _stored:
-        atexit.register(remove_stored)
-    _stored.append((spark, path))
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _stored: list[tuple[SparkSession, str]] = []
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _stored:
+        atexit.register(remove_stored)
+    _stored.append((spark, path))
+
+
 def remove_stored() -> None:
     """Delete what ``stored`` has written so far in this program."""
     while _stored:
@@ -63,6 +70,28 @@ def remove_stored() -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package: a small archive in the work folder, added once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root, packed = pathlib.Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    path = f"{work_folder(spark)}/package-{uuid.uuid4().hex}/{root.name}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _remember(spark, path.rpartition("/")[0])
+
+
+_shipped: set[str] = set()
+
+
 def ship_by_value() -> None:
     """Make this package's Python functions travel inside the task instead of by module name, so
     workers need no copy of the package on their path."""
