@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import small_batches, with_columns
+from .words import in_batches, small_batches, with_columns
 
 LONG_WORD = 96
 CACHE_WORDS = 500_000
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
             )
 
     docs = docs.drop("n_tokens", "ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")})
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
@@ -184,4 +184,4 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFra
             )
 
     encoded = encoded.drop("decoded").withColumn("decoded", F.lit(""))
-    return encoded.mapInArrow(run, encoded.schema)
+    return in_batches(encoded, run, encoded.schema)

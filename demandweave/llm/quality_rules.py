@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, byte_table, flat_words, small_batches, text_buffer, with_columns
+from .words import SPACES, byte_table, flat_words, in_batches, small_batches, text_buffer, with_columns
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 3
@@ -132,7 +132,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     names = (*COUNTS, "votes")
     docs = docs.drop(*names).withColumns({c: F.lit(0).cast("long") for c in names})
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def digits(votes: np.ndarray) -> np.ndarray:

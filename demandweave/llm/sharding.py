@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandweave.session import ship_package
+
 OVERHEAD = 16
 #: Parts in which a shard's rows are numbered; a task orders one at a time.
 BUCKETS = 256
@@ -51,6 +53,7 @@ def into_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
     were one more)."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
+    ship_package(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.withColumns(
         {

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import small_batches, with_columns
+from .words import in_batches, small_batches, with_columns
 
 BORDER = 0xFF
 #: (verdict, host rule): the host up to the first slash, then how the path begins.
@@ -135,4 +135,4 @@ def judge(pages: DataFrame, url: str = "url", rules=HOST_RULES, globs=BLOCK_GLOB
     added = {"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit("")}
     pages = pages.withColumns({f"__{k}": v for k, v in added.items()}).drop(*added)
     pages = pages.withColumnsRenamed({f"__{k}": k for k in added})
-    return pages.mapInArrow(run, pages.schema)
+    return in_batches(pages, run, pages.schema)

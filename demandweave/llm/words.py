@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+
+from demandweave.session import ship_package
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows handled together at most hold so many text bytes (one longer row still goes whole).
@@ -91,3 +94,9 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with columns set, in the place they already have."""
     return pa.RecordBatch.from_pydict({c: columns.get(c, batch.column(c)) for c in batch.schema.names})
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df`` through a function on iterators of Arrow batches; the workers get this package first."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
