@@ -27,12 +27,12 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A rule's score, the limits beyond which it votes, and on which side it votes bad. Between them it abstains.
 RULES = (
     ("symbols_per_word", 0.02, 0.15),
-    ("repeated_words", 0.05, 0.20),
+    ("repeated_words", 0.05, 0.30),
     ("repeated_lines", 0.05, 0.30),
     ("upper_share", 0.15, 0.40),
     ("exclamations_per_word", 0.05, 0.30),
     ("words_without_letter", 0.08, 0.25),
-    ("word_length_off", 1.5, 4.5),
+    ("word_length_off", 2.5, 5.0),
     ("lines_without_end", 0.60, 0.95),
 )
 TYPICAL_WORD = 6.0
