@@ -24,17 +24,20 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 3
 #: Base rules: fewer words, or a larger share (in hundredths) of words in repeated windows, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A rule's score, the limits beyond which it votes, and on which side it votes bad. Between them it abstains.
+#: A rule's score, the limits beyond which it votes (good at or below the first, bad from the second on;
+#: between them it abstains), and whether what it finds is a kind of fault of its own, or supports others.
 RULES = (
-    ("symbols_per_word", 0.02, 0.15),
-    ("repeated_words", 0.05, 0.30),
-    ("repeated_lines", 0.05, 0.30),
-    ("upper_share", 0.15, 0.40),
-    ("exclamations_per_word", 0.05, 0.30),
-    ("words_without_letter", 0.08, 0.25),
-    ("word_length_off", 2.5, 5.0),
-    ("lines_without_end", 0.60, 0.95),
+    ("symbols_per_word", 0.02, 0.15, True),
+    ("repeated_words", 0.05, 0.30, True),
+    ("repeated_lines", 0.05, 0.50, False),
+    ("upper_share", 0.15, 0.40, True),
+    ("exclamations_per_word", 0.05, 0.30, True),
+    ("words_without_letter", 0.08, 0.25, True),
+    ("word_length_off", 2.5, 5.0, False),
+    ("lines_without_end", 0.60, 0.95, False),
 )
+#: What is taken as known before any document is seen, and what share of the documents it weighs.
+PRIOR_GOOD, FALSE_ALARM, OWN_FAULT, OTHER_FAULT, PRIOR_WEIGHT = 0.8, 0.005, 0.95, 0.1, 0.1
 TYPICAL_WORD = 6.0
 
 
@@ -116,7 +119,7 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
         ]
     )
     votes = np.zeros(len(column), np.int64)
-    for score, (_, good, bad) in zip(scores, RULES, strict=True):
+    for score, (_, good, bad, _) in zip(scores, RULES, strict=True):
         votes = votes * 3 + np.where(score >= bad, 2, np.where(score <= good, 1, 0))
     return out | {"votes": votes}
 
@@ -141,26 +144,34 @@ def digits(votes: np.ndarray) -> np.ndarray:
     return votes[:, None] // 3 ** np.arange(m - 1, -1, -1)[None, :] % 3
 
 
-def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior probability of good per vote pattern; ``weight`` is the documents of each pattern."""
+def fit(votes: np.ndarray, weight: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Posterior probability of good per vote pattern; ``weight`` is the documents of each pattern.
+
+    Bad documents are bad in different ways, so there is one good class and one class per kind of fault.
+    Each class has its own probability of a bad vote per rule (an abstention tells nothing), re-estimated
+    from all documents in each round, the prior weighing as much as PRIOR_WEIGHT of them.
+    """
     cast = digits(votes)
-    one_hot = np.stack([cast == v for v in range(3)], axis=2).astype(float)
-    good, bad = (cast == 1).sum(1), (cast == 2).sum(1)
-    belief = np.where(bad == 0, 0.95, np.where(good >= 4 * bad, 0.6, 0.05))  # one clear fault weighs more
+    bad, good = (cast == 2).astype(float), (cast == 1).astype(float)
+    kinds = [r for r, rule in enumerate(RULES) if rule[3]]
+    guess = np.full((1 + len(kinds), len(RULES)), OTHER_FAULT)
+    guess[0] = FALSE_ALARM
+    guess[range(1, len(guess)), kinds] = OWN_FAULT
+    share = np.array([PRIOR_GOOD] + [(1 - PRIOR_GOOD) / len(kinds)] * len(kinds))
+    pseudo = PRIOR_WEIGHT * weight.sum() * share
+    chance, mix, belief = guess, share, None
     for _ in range(rounds):
-        mass = np.stack([weight * (1 - belief), weight * belief])
-        prior = (mass.sum(1) + [1, 1]) / (weight.sum() + 2)
-        chance = np.einsum("cp,prv->crv", mass, one_hot) + 1.0
-        # a rule is better than chance: bad votes are likelier for bad documents, good votes for good ones
-        chance /= chance.sum(2, keepdims=True)
-        worse = chance[0, :, 2] < chance[1, :, 2]
-        chance[0, worse] = chance[1, worse] = (chance[0, worse] + chance[1, worse]) / 2
-        log = np.log(prior)[:, None] + np.einsum("crv,prv->cp", np.log(chance), one_hot)
-        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
-        if np.abs(new - belief).max() < 1e-9:
-            return new
+        log = np.log(mix)[:, None] + np.log(chance) @ bad.T + np.log1p(-chance) @ good.T
+        new = np.exp(log - log.max(0))
+        new /= new.sum(0)
+        if belief is not None and np.abs(new - belief).max() < 1e-9:
+            break
         belief = new
-    return belief
+        mass = weight * belief
+        mix = (mass.sum(1) + pseudo) / (weight.sum() * (1 + PRIOR_WEIGHT))
+        told = mass @ (bad + good) + pseudo[:, None]
+        chance = np.clip((mass @ bad + pseudo[:, None] * guess) / told, 1e-6, 1 - 1e-6)
+    return belief[0]
 
 
 def judged(counted: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
