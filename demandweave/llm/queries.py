@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandweave.session import stored
 
-from . import bpe, quality_rules, sharding, url_filters
+from . import bpe, quality_rules, sharding, url_filters, warc
 
 SHARDS = 40
 
@@ -51,3 +51,57 @@ def op5_url_filters(spark, sf):
 @query
 def op6_sharding(spark, sf):
     return sharding.into_shards(table(spark, sf, "documents").select("doc_id", "text"), SHARDS)
+
+
+@query
+def op10_warc(spark, sf):
+    index = warc.archive(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+       array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path AS urlkey,
+       strftime(make_timestamp(page_id % 1000000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM f JOIN (
+  SELECT page_id,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)
+      ELSE '' END AS path
+  FROM pages) u USING (page_id)
+"""
+
+ORACLES["op5_url_filters"] = """
+WITH u AS (
+  SELECT page_id,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1)
+      ELSE '' END AS path
+  FROM pages
+), r(rule, said, h, p) AS (
+  VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
+         ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'),
+         ('com/de/', 'block', 'com', '/de/')
+), g(part) AS (
+  VALUES ('%spam%'), ('%casino%'), ('%-bets.%'), ('%.bets.%'), ('%porn%'), ('%adult-%'), ('%-pills.%'),
+         ('%ads-track%'), ('%malware%')
+), best AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(said, length(rule)) AS said
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT u.page_id, host, path, rule,
+       coalesce(said, CASE WHEN EXISTS (SELECT 1 FROM g WHERE '.' || host LIKE part) THEN 'block' ELSE 'allow' END)
+         AS verdict
+FROM u LEFT JOIN best USING (page_id)
+"""
