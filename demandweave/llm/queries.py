@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandweave.session import stored
 
-from . import bpe, quality_rules, sharding, url_filters, warc
+from . import bpe, decontaminate, quality_rules, sharding, url_filters, warc
 
 SHARDS = 40
 
@@ -53,6 +53,46 @@ def op6_sharding(spark, sf):
     return sharding.into_shards(table(spark, sf, "documents").select("doc_id", "text"), SHARDS)
 
 
+@query
+def op8_decontamination(spark, sf):
+    docs, benchmark = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    found = decontaminate.find(docs, benchmark)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op8_decontamination"] = r"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), p AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS g(i) WHERE len(w) > 0
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), h AS (
+  SELECT DISTINCT doc_id, item, i, z.n FROM d, (SELECT DISTINCT n FROM p) z, unnest(generate_series(1, len(w))) AS g(i)
+  JOIN p ON p.n = z.n AND p.phrase = array_to_string(w[i:i + z.n - 1], ' ') WHERE i + z.n - 1 <= len(w)
+), k AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(generate_series(i, i + n - 1)) AS g(j) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 @query
 def op10_warc(spark, sf):
     index = warc.archive(table(spark, sf, "pages").select("page_id", "url", "html"))
