@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandweave.session import stored
 
-from . import bpe, decontaminate, quality_rules, sharding, url_filters, warc
+from . import bpe, decontaminate, jaccard_join, quality_rules, sharding, url_filters, warc
 
 SHARDS = 40
 
@@ -36,6 +36,32 @@ def op1_bpe(spark, sf):
     )
 
 
+@query
+def op2_jaccard_join(spark, sf):
+    return jaccard_join.JaccardJoin().groups(table(spark, sf, "documents"))
+
+
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle
+  FROM d, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS g(i) WHERE len(w) > 0
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other
+)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 @query
 def op3_quality_rules(spark, sf):
     counted = quality_rules.with_counts(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
