@@ -73,6 +73,11 @@ def cell_counts(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """32 bits of each hash. Shingles that share them are frequent together; any such order is the same for all."""
+    return (mixed(shingles) >> np.uint64(32)).astype(np.uint32)
+
+
 def region_count(n: int, least: int) -> int:
     """First shingles of a set of n, of which a linked document has at least one among its own."""
     return n - (least * n + 99) // 100 + 1 if n else 0
@@ -104,45 +109,43 @@ class JaccardJoin:
         return in_batches(docs, run, "doc_id long, n_shingles long, node long, cells binary")
 
     def _frequent(self, docs: DataFrame, buckets: int) -> np.ndarray:
-        """The most frequent of the shingles that can come first: a fixed quarter of all, by hash."""
+        """Marks of the most frequent of the shingles that can come first: a fixed quarter of all, by hash."""
         size = self.size
 
         def count(batches):
             for batch in small_batches(batches, "text"):
                 sets = {node_of(s): s for s in shingle_sets(batch.column("text"), size)}
                 all_of = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
-                token, n = np.unique(all_of[all_of < np.uint64(1 << 62)], return_counts=True)
-                bucket = (token % np.uint64(buckets)).astype(np.int32)
+                mark, n = np.unique(marks(all_of[all_of < np.uint64(1 << 62)]), return_counts=True)
+                bucket = (mark % np.uint32(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                token, n = token[order], n[order].astype(np.uint32)
+                mark, n = mark[order], np.minimum(n[order], 255).astype(np.uint8)
                 ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array(np.arange(buckets, dtype=np.int32)),
-                        "a": pa.array([token[i:j].tobytes() for i, j in ends], pa.binary()),
+                        "a": pa.array([mark[i:j].tobytes() for i, j in ends], pa.binary()),
                         "b": pa.array([n[i:j].tobytes() for i, j in ends], pa.binary()),
                     }
                 )
 
         def total(batches):
-            tokens, counts = [], []
+            found, counts = [], []
             for batch in batches:
-                tokens += [np.frombuffer(x, np.uint64) for x in batch.column("a").to_pylist()]
-                counts += [np.frombuffer(x, np.uint32) for x in batch.column("b").to_pylist()]
-            if not tokens:
+                found += [np.frombuffer(x, np.uint32) for x in batch.column("a").to_pylist()]
+                counts += [np.frombuffer(x, np.uint8) for x in batch.column("b").to_pylist()]
+            if not found:
                 return
-            tokens, counts = np.concatenate(tokens), np.concatenate(counts).astype(np.int64)
-            token, back = np.unique(tokens, return_inverse=True)
-            n = np.bincount(back, counts, len(token)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"token": pa.array(token[n > FREQUENT].view(np.int64)), "n": pa.array(n[n > FREQUENT])}
-            )
+            mark, back = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.bincount(back, np.concatenate(counts), len(mark)).astype(np.int64)
+            often = n > FREQUENT
+            yield pa.RecordBatch.from_pydict({"mark": pa.array(mark[often].astype(np.int64)), "n": pa.array(n[often])})
 
         packed = in_batches(docs.select("text"), count, "bucket int, a binary, b binary").filter("length(a) > 0")
-        counted = in_batches(packed.repartition("bucket"), total, "token long, n long")
-        top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
-        return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+        counted = in_batches(packed.repartition("bucket"), total, "mark long, n long")
+        top = counted.orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).select("mark").toPandas()
+        return np.sort(top["mark"].to_numpy(np.int64).astype(np.uint32))
 
     # regions
 
@@ -159,8 +162,9 @@ class JaccardJoin:
                     if node is None:
                         continue
                     if len(last.value):
-                        at = np.minimum(np.searchsorted(last.value, own), len(last.value) - 1)
-                        late = last.value[at] == own
+                        own_marks = marks(own)
+                        at = np.minimum(np.searchsorted(last.value, own_marks), len(last.value) - 1)
+                        late = last.value[at] == own_marks
                         own = np.concatenate([own[~late], own[late]]) if late.any() else own
                     first = own[: region_count(len(own), least)]
                     tokens.append(first)
@@ -262,7 +266,8 @@ class JaccardJoin:
         return in_batches(both, run, "a long, b long")
 
     def _sets(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes in pairs, from one document each."""
+        """(node, shingles) of the nodes in pairs, from one document each. A false find of the filter brings a
+        node that no pair has, a repeated id a set twice: joins drop the one, and links are made distinct."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         needed = stored(nodes.join(classes, "node").select("node", "doc_id"), "needed")
         bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -294,15 +299,13 @@ class JaccardJoin:
                 sets = shingle_sets(batch.column("text"), size)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column("doc_id"),
                         "node": pa.array([node_of(s) for s in sets], pa.int64()),
                         "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                     }
                 )
 
-        found = in_batches(docs.filter("doc_id is not null").withColumn("bit", bit), run, "doc_id long, node long, shingles binary")
-        # ids that repeat may bring a set twice: one stays
-        return found.join(needed, ["doc_id", "node"], "left_semi").drop("doc_id").dropDuplicates(["node"])
+        found = in_batches(docs.filter("doc_id is not null").withColumn("bit", bit), run, "node long, shingles binary")
+        return found
 
     def _links(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
@@ -367,10 +370,12 @@ class JaccardJoin:
         )
         classes = stored(classes, "classes")
         found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
-        links = stored(self._links(docs, stored(self._near(found.filter("kind = 1"), classes), "near"), classes), "links")
+        # first a document and the least of its pivots; pairs whose ends are joined by that need no proof
+        near = self._near(found.filter("kind = 1"), classes)
+        first = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near")
+        links = stored(self._links(docs, first, classes), "links")
         labels = stored(components(links), "labels")
-        # pairs whose ends are joined already need no proof
-        rest = found.filter("kind = 2").select("a", "b").distinct().unionByName(self._again(found.filter("kind = 3"), labels, classes))
+        rest = found.filter("kind < 3").select("a", "b").unionByName(self._again(found.filter("kind = 3"), labels, classes))
         for side in "ab":
             rest = rest.join(labels.toDF(side, f"of_{side}"), side, "left")
         apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
