@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from demandweave.session import stored
 
-from . import bpe, decontaminate, jaccard_join, quality_rules, sharding, url_filters, warc
+from . import (
+    bpe,
+    decontaminate,
+    jaccard_join,
+    labelled,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+    toxicity,
+    url_filters,
+    warc,
+)
 
 SHARDS = 40
 
@@ -69,6 +81,22 @@ def op3_quality_rules(spark, sf):
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "quality")
 
 
+def classified(spark, sf, label, module, model, modulus, rest, least):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    known = labelled.sample(docs, table(spark, sf, "labels"), label, modulus, rest, module.PER_CLASS)
+    return labelled.scored(docs, model(known)).select(
+        "doc_id",
+        labelled.held_out("doc_id", modulus, rest).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_quality_classifier(spark, sf):
+    return classified(spark, sf, "quality", quality_classifier, quality_classifier.QualityModel, 3, 1, 0.5)
+
+
 @query
 def op5_url_filters(spark, sf):
     return url_filters.judge(table(spark, sf, "pages").select("page_id", "url")).drop("url")
@@ -79,6 +107,13 @@ def op6_sharding(spark, sf):
     return sharding.into_shards(table(spark, sf, "documents").select("doc_id", "text"), SHARDS)
 
 
+@query
+def op7_secret_scans(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    shown = F.concat(F.substring("value", 1, 4), F.lit("..."))
+    return found.withColumns({"value": shown, "value_sha256": F.sha2("value", 256)}).drop("text_hash")
+
+
 @query
 def op8_decontamination(spark, sf):
     docs, benchmark = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
@@ -119,6 +154,11 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+@query
+def op9_toxicity(spark, sf):
+    return classified(spark, sf, "toxic", toxicity, toxicity.ToxicityModel, 4, 2, 0.3)
+
+
 @query
 def op10_warc(spark, sf):
     index = warc.archive(table(spark, sf, "pages").select("page_id", "url", "html"))
