@@ -44,7 +44,7 @@ LARGE = 64
 #: A shingle in more documents than this is frequent; the most frequent MOST_FREQUENT are ordered last. That
 #: bounds a broadcast; regions of others are joined all the same.
 FREQUENT, MOST_FREQUENT = 64, 500_000
-CELLS = 64
+CELLS = 256
 #: Bits of the filter that finds the documents whose sets are needed; a fixed 4 MB. False finds cost time only.
 FILTER_BITS, FILTER_PARTS = 1 << 25, 64
 
@@ -69,8 +69,13 @@ def node_of(shingles: np.ndarray) -> int | None:
 
 def cell_counts(shingles: np.ndarray) -> bytes:
     """Shingles per cell; clipping keeps differences from growing."""
-    counts = np.bincount((mixed(shingles) >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    counts = np.bincount((mixed(shingles) >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def cell_matrix(column) -> np.ndarray:
+    """A row of counts per document."""
+    return np.stack([np.frombuffer(x, np.uint8) for x in column.to_pylist()]).astype(np.int16)
 
 
 def marks(shingles: np.ndarray) -> np.ndarray:
@@ -247,7 +252,7 @@ class JaccardJoin:
     # verification
 
     def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs that the windows on sizes and cell counts let pass."""
+        """Pairs that the windows on sizes and cell counts let pass, with the gap between their counts."""
         least = self.least
         small = classes.select("node", "n_shingles", "cells")
         both = pairs.select("a", "b").distinct()
@@ -258,12 +263,14 @@ class JaccardJoin:
         def run(batches):
             for batch in batches:
                 if len(batch):
-                    a, b = (np.stack([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()]).astype(np.int64) for c in ("cells_a", "cells_b"))
+                    a, b = (cell_matrix(batch.column(c)) for c in ("cells_a", "cells_b"))
+                    gap = np.abs(a - b).sum(1, dtype=np.int64)
                     sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                    near = (100 + least) * np.abs(a - b).sum(1) <= (100 - least) * sizes
-                    yield batch.select(["a", "b"]).filter(pa.array(near))
+                    near = (100 + least) * gap <= (100 - least) * sizes
+                    cols = {"a": batch.column("a"), "b": batch.column("b"), "gap": pa.array(gap)}
+                    yield pa.RecordBatch.from_pydict(cols).filter(pa.array(near))
 
-        return in_batches(both, run, "a long, b long")
+        return in_batches(both, run, "a long, b long, gap long")
 
     def _sets(self, docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in pairs, from one document each. A false find of the filter brings a
@@ -343,14 +350,14 @@ class JaccardJoin:
 
         def run(key, group):
             cols = {c: group.column(c).to_numpy() for c in ("node", "n", "component", "outside", "home")}
-            cells = np.stack([np.frombuffer(x, "<u2") for x in group.column("cells").to_pylist()]).astype(np.int32)
+            cells = cell_matrix(group.column("cells"))
             out = [np.empty((0, 2), np.int64)]
             for i in np.flatnonzero(cols["outside"]).tolist():
                 n = cols["n"]
                 near = (cols["component"] != cols["component"][i]) & (cols["home"] | cols["home"][i])
                 near &= (100 * np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
                 at = np.flatnonzero(near)
-                close = (100 + least) * np.abs(cells[at] - cells[i]).sum(1) <= (100 - least) * (n[at] + n[i])
+                close = (100 + least) * np.abs(cells[at] - cells[i]).sum(1, dtype=np.int64) <= (100 - least) * (n[at] + n[i])
                 at = at[close]
                 out.append(np.stack([np.full(len(at), cols["node"][i]), cols["node"][at]], 1))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
@@ -370,19 +377,24 @@ class JaccardJoin:
         )
         classes = stored(classes, "classes")
         found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
-        # first a document and the least of its pivots; pairs whose ends are joined by that need no proof
-        near = self._near(found.filter("kind = 1"), classes)
-        first = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near")
-        links = stored(self._links(docs, first, classes), "links")
-        labels = stored(components(links), "labels")
-        rest = found.filter("kind < 3").select("a", "b").unionByName(self._again(found.filter("kind = 3"), labels, classes))
-        for side in "ab":
-            rest = rest.join(labels.toDF(side, f"of_{side}"), side, "left")
-        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-        rest = stored(self._near(rest.filter(apart), classes), "near")
-        if not rest.isEmpty():
-            links = links.unionByName(self._links(docs, rest, classes))
-            labels = stored(components(links), "labels")
+        pivots, others, large = (found.filter(F.col("kind") == k) for k in (1, 2, 3))
+        links, labels = None, None
+        # first each document with the closest of its pivots, then with all of them, then whatever small regions
+        # pair and large ones still hold apart; pairs whose ends are joined by then need no proof
+        for step in range(3):
+            if step == 0:
+                near = self._near(pivots, classes)
+                near = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
+            else:
+                pairs = pivots if step == 1 else others.select("a", "b").unionByName(self._again(large, labels, classes))
+                for side in "ab":
+                    pairs = pairs.join(labels.toDF(side, f"of_{side}"), side, "left")
+                near = self._near(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), classes).select("a", "b")
+            near = stored(near, "near")
+            if labels is None or not near.isEmpty():
+                new = stored(self._links(docs, near, classes), "links")
+                links = new if links is None else links.unionByName(new)
+                labels = stored(components(links), "labels")
         # rows that share an id are one document
         label = classes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "doc_id")
         smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
