@@ -91,8 +91,8 @@ def region_count(n: int, least: int) -> int:
 class JaccardJoin:
     """``least`` is the similarity in hundredths from which documents link; ``size`` the words of a shingle."""
 
-    def __init__(self, least: int = 85, size: int = 4, doc_id: str = "doc_id", text: str = "text"):
-        self.least, self.size, self.doc_id, self.text = least, size, doc_id, text
+    def __init__(self, least=85, size=4, doc_id="doc_id", text="text", large=LARGE, frequent=FREQUENT):
+        self.least, self.size, self.doc_id, self.text, self.large, self.frequent = least, size, doc_id, text, large, frequent
 
     # sets and nodes
 
@@ -115,7 +115,7 @@ class JaccardJoin:
 
     def _frequent(self, docs: DataFrame, buckets: int) -> np.ndarray:
         """Marks of the most frequent of the shingles that can come first: a fixed quarter of all, by hash."""
-        size = self.size
+        size, frequent = self.size, self.frequent
 
         def count(batches):
             for batch in small_batches(batches, "text"):
@@ -144,7 +144,7 @@ class JaccardJoin:
                 return
             mark, back = np.unique(np.concatenate(found), return_inverse=True)
             n = np.bincount(back, np.concatenate(counts), len(mark)).astype(np.int64)
-            often = n > FREQUENT
+            often = n > frequent
             yield pa.RecordBatch.from_pydict({"mark": pa.array(mark[often].astype(np.int64)), "n": pa.array(n[often])})
 
         packed = in_batches(docs.select("text"), count, "bucket int, a binary, b binary").filter("length(a) > 0")
@@ -157,7 +157,7 @@ class JaccardJoin:
     def _candidates(self, docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         """Rows (kind, a, b, n): a pair with the pivot of a region, another pair of a small region, or a member
         b of size n of the large region a."""
-        size, least = self.size, self.least
+        size, least, most = self.size, self.least, self.large
         last = docs.sparkSession.sparkContext.broadcast(frequent)
 
         def replicate(batches):
@@ -183,7 +183,7 @@ class JaccardJoin:
                 token, node, n = token[order], node[order], n[order]
                 start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
                 count = np.diff(np.append(start, len(token)))
-                large = np.repeat(count > LARGE, count)
+                large = np.repeat(count > most, count)
                 head = np.zeros(len(token), bool)
                 head[start] = True
                 bucket = (token % np.uint64(buckets)).astype(np.int32)
@@ -222,7 +222,7 @@ class JaccardJoin:
             region = np.repeat(np.arange(len(start)), count)
             pivot = np.minimum.reduceat(node, start) if len(start) else none
             known = np.isin(token[start], met[0]) if len(met[0]) else np.zeros(len(start), bool)
-            large = (count > LARGE) | known
+            large = (count > most) | known
             stars = [np.stack([pivot[region], node], 1)[(count > 1)[region]]]
             if len(met[0]):
                 at = np.searchsorted(token[start], met[0])

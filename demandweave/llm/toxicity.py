@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled texts. The ordinary one is trained on ordinary texts. The
-toxic one is the same with toxic material in front: the words that occur in toxic texts in several different
+toxic one is the same with toxic material in front: the words, and beginnings of words, that occur in toxic texts in several different
 surroundings and hardly ever in ordinary ones (surroundings, because a passage copied a hundred times is one
 observation). What both kinds of text share compresses alike with either, so the difference of a window's two
 compressed lengths tells what only the toxic dictionary knows.
@@ -33,34 +33,43 @@ FAST, THOROUGH = 3, 6
 DICTIONARY_BYTES = 8192
 SUSPECT = 2
 GAINS = (2, 3, 4, 6)
-#: A toxic word: its least length, how much more frequent than in ordinary texts, and in how many
-#: surroundings (also as a share of the toxic texts) it is seen.
-LEAST_LETTERS, LEAST_RATIO, LEAST_SEEN, LEAST_SHARE = 3, 5.0, 3, 0.008
+#: What counts as toxic material: its least length, how much more frequent than in ordinary texts it is, and how
+#: unlikely that is by chance (log-likelihood ratio; 24 is about one in a million).
+LEAST_LETTERS, LEAST_RATIO, LEAST_SURPRISE = 3, 5.0, 24.0
+#: Beginnings of words that are looked at like words: inflected forms that were not seen are known by them.
+STEMS = (4, 5, 6)
 LOWER = byte_table(b"", lower=True)
-_EDGES = b".,;:!?\"'()[]"
+_EDGES = b".,;:!?\"'()[]#*$%&|"
 
 
 def surroundings(texts: list[bytes]) -> dict[bytes, int]:
-    """Per word the number of different pairs of neighbours."""
+    """Per word, and per beginning of longer words, the number of different pairs of neighbours."""
     seen = defaultdict(set)
     for text in texts:
         words = [b"", *(w.strip(_EDGES) for w in text.split()), b""]
         for left, word, right in zip(words, words[1:], words[2:]):
-            seen[word].add((left, right))
+            if word:
+                seen[b" " + word + b" "].add((left, right))
+                for n in STEMS:
+                    if len(word) > n:
+                        seen[b" " + word[:n]].add((left, word, right))
     return {w: len(s) for w, s in seen.items()}
 
 
-def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The most frequent last: the end of a dictionary is the cheapest to refer to."""
+def toxic_material(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """The words and beginnings to put in the toxic dictionary. The most frequent come last, as the end of a
+    dictionary is the cheapest to refer to."""
     of_toxic, of_ordinary = surroundings(toxic), surroundings(ordinary)
     n_toxic, n_ordinary = sum(of_toxic.values()), max(1, sum(of_ordinary.values()))
-    least = max(LEAST_SEEN, LEAST_SHARE * len(toxic))
-    found = [
-        w
-        for w, n in of_toxic.items()
-        if n >= least and len(w) >= LEAST_LETTERS and n * n_ordinary >= LEAST_RATIO * n_toxic * (of_ordinary.get(w, 0) + 1)
-    ]
-    return sorted(found, key=lambda w: (of_toxic[w], w))[-DICTIONARY_BYTES // 8 :]
+    share = n_toxic / (n_toxic + n_ordinary)
+    found = []
+    for w, n in of_toxic.items():
+        m = of_ordinary.get(w, 0)
+        if len(w.strip()) >= LEAST_LETTERS and n * n_ordinary >= LEAST_RATIO * n_toxic * m:
+            surprise = n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0)
+            if 2 * surprise >= LEAST_SURPRISE:
+                found.append(w)
+    return b"".join(sorted(found, key=lambda w: (of_toxic[w], w)))[-DICTIONARY_BYTES // 2 :]
 
 
 def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +116,7 @@ class ToxicityModel:
             self.ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, pieces[:20_000]).as_bytes()
         except zstandard.ZstdError:  # too few texts to choose from: they are the dictionary themselves
             self.ordinary = b"".join(pieces)[-DICTIONARY_BYTES:]
-        self.toxic = b"".join(b" " + w + b" " for w in toxic_words(toxic, ordinary))[-4096:]
+        self.toxic = toxic_material(toxic, ordinary)
         ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         x, y = self.features(b"".join(texts), ends), np.array(sample.labels, float)
         self.centre, self.spread = x.mean(0), x.std(0) + 1e-9
