@@ -44,7 +44,11 @@ LARGE = 64
 #: A shingle in more documents than this is frequent; the most frequent MOST_FREQUENT are ordered last. That
 #: bounds a broadcast; regions of others are joined all the same.
 FREQUENT, MOST_FREQUENT = 64, 500_000
-CELLS = 256
+CELLS = 512
+#: Large regions that a document lists, the smallest of its own; listing fewer only repeats comparisons.
+LISTED = 16
+#: Central documents of a large region that its documents are compared with before all others.
+PIVOTS = 4
 #: Bits of the filter that finds the documents whose sets are needed; a fixed 4 MB. False finds cost time only.
 FILTER_BITS, FILTER_PARTS = 1 << 25, 64
 
@@ -69,7 +73,7 @@ def node_of(shingles: np.ndarray) -> int | None:
 
 def cell_counts(shingles: np.ndarray) -> bytes:
     """Shingles per cell; clipping keeps differences from growing."""
-    counts = np.bincount((mixed(shingles) >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=CELLS)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -332,33 +336,56 @@ class JaccardJoin:
 
         return in_batches(both, run, "a long, b long")
 
-    def _again(self, members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of large regions that are more than one component: those outside a region's largest component
-        against all, in windows of sizes."""
+    def _again(self, members: DataFrame, labels: DataFrame, classes: DataFrame, central: bool) -> DataFrame:
+        """Pairs of large regions that are more than one component, in windows of sizes. ``central``: every
+        document with the few that lie closest to the middle of its first region's cell counts. Otherwise all that
+        is left: those outside a region's largest component against all."""
         least = self.least
         own = members.select(F.col("a").alias("region"), F.col("b").alias("node"), "n").distinct()
         own = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sizes = stored(own.groupBy("region", "component").count(), "sizes")
         largest = sizes.groupBy("region").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("parts"))
         open_ = largest.filter("parts > 1").select("region", F.col("top.component").alias("largest"))
-        step = float(np.log(100 / least))
+        step = 1.001 * float(np.log(100 / least))
         # linked sets lie in the same cell of sizes or in the next one: each cell also gets the one above it
         cell = F.floor(F.log(F.col("n").cast("double")) / step)
         own = own.join(open_, "region").withColumn("outside", F.col("component") != F.col("largest"))
         own = own.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("home", F.col("cell") == cell)
-        own = own.join(classes.select("node", "cells"), "node")
+        # two documents may share many regions: they are compared in the first that both list
+        lists = own.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("region")), 1, LISTED).alias("listed"))
+        own = own.join(lists, "node").join(classes.select("node", "cells"), "node")
 
         def run(key, group):
             cols = {c: group.column(c).to_numpy() for c in ("node", "n", "component", "outside", "home")}
-            cells = cell_matrix(group.column("cells"))
+            cells, region = cell_matrix(group.column("cells")), key[0].as_py()
+            none = np.iinfo(np.int64).max
+            listed = np.array([x + [none] * (LISTED - len(x)) for x in group.column("listed").to_pylist()], np.int64)
+            n, component = cols["n"], cols["component"]
+            if central:
+                middle = np.abs(cells - cells.mean(0)).sum(1)
+                pivots, own = np.argsort(middle, kind="stable")[:PIVOTS], np.flatnonzero(listed[:, 0] == region)
+                a, b = np.repeat(pivots, len(own)), np.tile(own, len(pivots))
+                near = (component[a] != component[b]) & (100 * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]))
+                a, b = a[near], b[near]
+                gap = np.concatenate([np.abs(cells[p] - cells[b[a == p]]).sum(1, dtype=np.int64) for p in np.unique(a)] or [a])
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                close = (100 + least) * gap <= (100 - least) * (n[a] + n[b])
+                return pa.table({"a": cols["node"][a[close]], "b": cols["node"][b[close]]})
+            # the most common of the smaller regions as bits: most pairs that meet elsewhere are told by them
+            smaller, times = np.unique(listed[listed < region], return_counts=True)
+            mask = np.zeros(len(listed), np.uint64)
+            for bit, other in enumerate(smaller[np.argsort(-times)[:64]]):
+                mask |= (listed == other).any(1).astype(np.uint64) << np.uint64(bit)
             out = [np.empty((0, 2), np.int64)]
             for i in np.flatnonzero(cols["outside"]).tolist():
-                n = cols["n"]
-                near = (cols["component"] != cols["component"][i]) & (cols["home"] | cols["home"][i])
+                near = (mask & mask[i] == 0) & (component != component[i]) & (cols["home"] | cols["home"][i])
                 near &= (100 * np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
                 at = np.flatnonzero(near)
                 close = (100 + least) * np.abs(cells[at] - cells[i]).sum(1, dtype=np.int64) <= (100 - least) * (n[at] + n[i])
                 at = at[close]
+                common = np.where(np.isin(listed[at], listed[i]), listed[at], none).min(1, initial=none)
+                at = at[(common == none) | (common >= region)]
                 out.append(np.stack([np.full(len(at), cols["node"][i]), cols["node"][at]], 1))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
             return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -379,14 +406,17 @@ class JaccardJoin:
         found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
         pivots, others, large = (found.filter(F.col("kind") == k) for k in (1, 2, 3))
         links, labels = None, None
-        # first each document with the closest of its pivots, then with all of them, then whatever small regions
-        # pair and large ones still hold apart; pairs whose ends are joined by then need no proof
-        for step in range(3):
+        # first each document with the closest of its pivots, then with all of them, then with central documents of
+        # large regions, then whatever small regions pair and large ones still hold apart; pairs whose ends are
+        # joined by then need no proof
+        for step in range(4):
             if step == 0:
                 near = self._near(pivots, classes)
                 near = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
             else:
-                pairs = pivots if step == 1 else others.select("a", "b").unionByName(self._again(large, labels, classes))
+                pairs = pivots.select("a", "b") if step == 1 else self._again(large, labels, classes, step == 2)
+                if step == 3:
+                    pairs = pairs.unionByName(others.select("a", "b"))
                 for side in "ab":
                     pairs = pairs.join(labels.toDF(side, f"of_{side}"), side, "left")
                 near = self._near(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), classes).select("a", "b")
