@@ -24,7 +24,7 @@ import xxhash
 
 from .labelled import Sample
 
-PER_CLASS = 2000
+PER_CLASS = 1500
 DIMENSIONS, NONZERO, REACH = 48, 6, 2
 WORDS, LEAST_COUNT = 20_000, 5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 0.01, 1e-4

@@ -19,7 +19,7 @@ output's name is replaced.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import zstandard
@@ -27,45 +27,57 @@ import zstandard
 from .labelled import Sample
 from .words import byte_table
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 WINDOW, STRIDE = 32, 16
 FAST, THOROUGH = 3, 6
 DICTIONARY_BYTES = 8192
 SUSPECT = 2
 GAINS = (2, 3, 4, 6)
-#: What counts as toxic material: its least length, how much more frequent than in ordinary texts it is, and how
+#: What counts as toxic material: its least length and number, how much more frequent than in ordinary texts it is, and how
 #: unlikely that is by chance (log-likelihood ratio; 24 is about one in a million).
-LEAST_LETTERS, LEAST_RATIO, LEAST_SURPRISE = 3, 5.0, 24.0
+LEAST_LETTERS, LEAST_SEEN, LEAST_RATIO, LEAST_SURPRISE = 3, 4, 5.0, 24.0
 #: Beginnings of words that are looked at like words: inflected forms that were not seen are known by them.
 STEMS = (4, 5, 6)
 LOWER = byte_table(b"", lower=True)
 _EDGES = b".,;:!?\"'()[]#*$%&|"
 
 
-def surroundings(texts: list[bytes]) -> dict[bytes, int]:
-    """Per word, and per beginning of longer words, the number of different pairs of neighbours."""
-    seen = defaultdict(set)
+def units(text: bytes):
+    """Each word of a text, and the beginnings of longer words, with what stands around it."""
+    words = [b"", *(w.strip(_EDGES) for w in text.split()), b""]
+    for left, word, right in zip(words, words[1:], words[2:]):
+        if word:
+            around = hash((left, word, right))
+            yield b" " + word + b" ", around
+            for n in STEMS:
+                if len(word) > n:
+                    yield b" " + word[:n], around
+
+
+def surroundings(texts: list[bytes], wanted) -> dict[bytes, int]:
+    """Per wanted unit the number of different surroundings."""
+    seen = {u: set() for u in wanted}
     for text in texts:
-        words = [b"", *(w.strip(_EDGES) for w in text.split()), b""]
-        for left, word, right in zip(words, words[1:], words[2:]):
-            if word:
-                seen[b" " + word + b" "].add((left, right))
-                for n in STEMS:
-                    if len(word) > n:
-                        seen[b" " + word[:n]].add((left, word, right))
-    return {w: len(s) for w, s in seen.items()}
+        for unit, around in units(text):
+            if unit in seen:
+                seen[unit].add(around)
+    return {u: len(s) for u, s in seen.items()}
 
 
 def toxic_material(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     """The words and beginnings to put in the toxic dictionary. The most frequent come last, as the end of a
     dictionary is the cheapest to refer to."""
-    of_toxic, of_ordinary = surroundings(toxic), surroundings(ordinary)
-    n_toxic, n_ordinary = sum(of_toxic.values()), max(1, sum(of_ordinary.values()))
+    plain = [Counter(u for t in texts for u, _ in units(t)) for texts in (toxic, ordinary)]
+    n_toxic, n_ordinary = (max(1, sum(c.values())) for c in plain)
+    # occurrences first: a unit that repeats too little, or is as common elsewhere, needs no look around it
+    likely = {u for u, n in plain[0].items() if n >= LEAST_SEEN and n * n_ordinary >= 2 * n_toxic * plain[1].get(u, 0)}
+    del plain
+    of_toxic, of_ordinary = surroundings(toxic, likely), surroundings(ordinary, likely)
     share = n_toxic / (n_toxic + n_ordinary)
     found = []
     for w, n in of_toxic.items():
         m = of_ordinary.get(w, 0)
-        if len(w.strip()) >= LEAST_LETTERS and n * n_ordinary >= LEAST_RATIO * n_toxic * m:
+        if n and len(w.strip()) >= LEAST_LETTERS and n * n_ordinary >= LEAST_RATIO * n_toxic * m:
             surprise = n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0)
             if 2 * surprise >= LEAST_SURPRISE:
                 found.append(w)
@@ -117,8 +129,8 @@ class ToxicityModel:
         except zstandard.ZstdError:  # too few texts to choose from: they are the dictionary themselves
             self.ordinary = b"".join(pieces)[-DICTIONARY_BYTES:]
         self.toxic = toxic_material(toxic, ordinary)
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        x, y = self.features(b"".join(texts), ends), np.array(sample.labels, float)
+        del toxic, ordinary, pieces
+        x, y = np.concatenate(list(self._pieces(texts))), np.array(sample.labels, float)
         self.centre, self.spread = x.mean(0), x.std(0) + 1e-9
         balance = np.where(y == 1, self.rate / y.mean(), (1 - self.rate) / (1 - y.mean()))
         self._fit(self._scaled(x), y, balance)
@@ -145,6 +157,11 @@ class ToxicityModel:
         size, clear = np.log1p(np.bincount(row, minlength=n)), (out[0] >= 3) * 1.0
         return np.stack([*out, size, clear, clear * size], 1)
 
+    def _pieces(self, texts, size=200):
+        for i in range(0, len(texts), size):
+            some = texts[i : i + size]
+            yield self.features(b"".join(some), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+
     def _scaled(self, x):
         return np.c_[(x - self.centre) / self.spread, np.ones(len(x))]
 
