@@ -14,17 +14,25 @@ from ..functions.guards import any_of, require_columns
 from ..functions.quantiles import exact_quantiles
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
+def union_all(frames: list[DataFrame]) -> DataFrame | None:
+    """None for no frames."""
+    if not frames:
+        return None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 # ---------------------------------------------------------------- landing files
 
-def file_report(listing: DataFrame, files: list[str]) -> DataFrame:
-    """Month x required-file grid from a listing of (month, file, size_bytes)."""
-    wanted = listing.select("month").distinct().select(
-        "month", F.explode(F.array(*[F.lit(f) for f in dict.fromkeys(files)])).alias("file")
-    )
+def file_report(listing: DataFrame, files: list[str], months: list[str] | None = None) -> DataFrame:
+    """Month x required-file grid from a listing of (month, file, size_bytes). ``months`` are the month
+    folders, so that an empty one shows; without them the listing's own months are taken. A table landed as a
+    folder bears its file's name with or without the ending."""
+    seen = listing.select("month").distinct()
+    if months is not None:
+        seen = listing.sparkSession.createDataFrame([(m,) for m in months], "month string")
+    wanted = seen.select("month", F.explode(F.array(*[F.lit(f) for f in dict.fromkeys(files)])).alias("file"))
+    ended = F.create_map(*[F.lit(x) for f in files for x in (f.rpartition(".")[0] or f, f)])
+    listing = listing.withColumn("file", F.coalesce(ended[F.col("file")], F.col("file")))
     found = listing.groupBy("month", "file").agg(F.sum("size_bytes").alias("size_bytes"))
     return wanted.join(found, ["month", "file"], "left").select(
         "month",
@@ -86,7 +94,12 @@ def datatype_report(types: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- keys
 
-def duplicate_report(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
+def shown(c, decimals: int | None) -> F.Column:
+    """A percentage as reports show it; None leaves it unrounded."""
+    return c if decimals is None else F.round(c, decimals)
+
+
+def duplicate_report(df: DataFrame, table: str, keys: list[str], decimals: int | None = 2) -> DataFrame:
     """Rows that share their key with another row, counted from per-key totals."""
     if any(k not in df.columns for k in keys):
         missing = [k for k in keys if k not in df.columns]
@@ -102,12 +115,13 @@ def duplicate_report(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
     )
     clean = F.col("duplicate_rows") == 0
+    percent = F.col("duplicate_rows") * 100.0 / F.col("total_rows")
     return totals.where(F.col("total_rows") > 0).select(
         F.lit(table).alias("table"),
         F.array(*map(F.lit, keys)).alias("duplicate_key"),
         "total_rows",
         "duplicate_rows",
-        (F.col("duplicate_rows") * 100.0 / F.col("total_rows")).alias("duplicate_percent"),
+        shown(percent, decimals).alias("duplicate_percent"),
         F.when(clean, "PASSED").otherwise("WARNING").alias("status"),
         F.when(clean, "No duplicates found").otherwise("Duplicate records found").alias("message"),
     )
@@ -126,9 +140,10 @@ def duplicate_samples(df: DataFrame, keys: list[str], n: int = 50) -> DataFrame:
     return df.join(F.broadcast(low_keys), same, "left_semi").orderBy(*keys, *rest).limit(n)
 
 
-def validate_duplicates(tables: dict[str, DataFrame], duplicate_keys=None) -> DataFrame:
+def validate_duplicates(tables: dict[str, DataFrame], duplicate_keys=None,
+                        decimals: int | None = 2) -> DataFrame | None:
     specs = duplicate_keys or S.DUPLICATE_KEYS
-    return union_all([duplicate_report(tables[t], t, k) for t, k in specs.items() if t in tables])
+    return union_all([duplicate_report(tables[t], t, k, decimals) for t, k in specs.items() if t in tables])
 
 
 def _orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -141,32 +156,48 @@ def _orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key
         "orphan", F.col("parent_key").isNull())
 
 
-def orphan_report(child: DataFrame, parent: DataFrame, check: str, child_table: str,
-                  parent_table: str, child_key: str, parent_key: str) -> DataFrame:
-    if child_key not in child.columns or parent_key not in parent.columns:
-        totals = child.agg(F.count("*").alias("child_rows"))
-        orphan = F.lit(None).cast("bigint")
-        status, message = F.lit("FAILED"), F.lit("Parent key or child key missing")
-    else:
-        totals = _orphan_keys(child, parent, child_key, parent_key).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("child_rows"),
-            F.coalesce(F.sum(F.when(F.col("orphan"), F.col("n"))), F.lit(0)).alias("o"),
-        ).where(F.col("child_rows") > 0)
-        orphan = F.col("o")
-        status = F.when(orphan == 0, "PASSED").otherwise("WARNING")
-        message = F.when(orphan == 0, "No orphan records found").otherwise("Orphan records found")
-    return totals.select(
-        F.lit(check).alias("check_name"),
-        F.lit(parent_table).alias("parent_table"),
-        F.lit(child_table).alias("child_table"),
-        F.lit(parent_key).alias("parent_key"),
-        F.lit(child_key).alias("child_key"),
-        "child_rows",
-        orphan.alias("orphan_rows"),
-        (orphan * 100.0 / F.col("child_rows")).alias("orphan_percent"),
-        status.alias("status"),
-        message.alias("message"),
-    )
+_ORPHANS = ["check_name", "parent_table", "child_table", "parent_key", "child_key", "child_rows", "orphan_rows",
+            "orphan_percent", "status", "message"]
+
+
+def orphan_report(child: DataFrame, parent: DataFrame, check: str, child_table: str, parent_table: str,
+                  child_key: str, parent_key: str, decimals: int | None = 2) -> DataFrame:
+    return orphan_reports(child, [(check, child_table, parent, parent_table, child_key, parent_key)], decimals)
+
+
+def orphan_reports(child: DataFrame, checks: list[tuple], decimals: int | None = 2) -> DataFrame:
+    """All checks of one child table from one scan of it: its keys are counted together, tagged by check, and
+    meet the tagged keys of all parents in one join. An empty child or parent is not checked."""
+    able = [c for c in checks if c[4] in child.columns and c[5] in c[2].columns]
+    rows = child.agg(F.count("*").alias("child_rows"))
+    failed = [
+        rows.select(*[F.lit(v).alias(n) for n, v in zip(_ORPHANS, (name, ptable, ctable, pkey, ckey))], "child_rows",
+                    F.lit(None).cast("bigint").alias("orphan_rows"), F.lit(None).cast("double").alias("orphan_percent"),
+                    F.lit("FAILED").alias("status"), F.lit("Parent key or child key missing").alias("message"))
+        for name, ctable, _, ptable, ckey, pkey in checks if (name, ptable) not in {(a[0], a[3]) for a in able}
+    ]
+    if not able:
+        return union_all(failed)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c[4]).cast("string").alias("key")) for i, c in enumerate(able)])
+    counts = child.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
+    parents = union_all([
+        c[2].select(F.lit(i).alias("pi"), F.col(c[5]).cast("string").alias("pkey")).distinct() for i, c in enumerate(able)])
+    # a parent's rows without key count as rows, not as keys
+    full = parents.groupBy("pi").agg(F.count("*").alias("parents"))
+    met = counts.join(parents.where("pkey is not null"), (F.col("i") == F.col("pi")) & (F.col("key") == F.col("pkey")), "left")
+    totals = met.groupBy("i").agg(
+        F.sum("n").alias("child_rows"),
+        F.coalesce(F.sum(F.when(F.col("pkey").isNull(), F.col("n"))), F.lit(0)).alias("orphan_rows"),
+    ).join(F.broadcast(full), F.col("i") == F.col("pi"))  # a row per check
+    names = F.create_map(*[x for i, c in enumerate(able) for x in (
+        F.lit(i), F.struct(*[F.lit(v).alias(n) for n, v in zip(_ORPHANS, (c[0], c[3], c[1], c[5], c[4]))]))])
+    clean = F.col("orphan_rows") == 0
+    found = totals.withColumn("name", names[F.col("i")]).select(
+        "name.*", "child_rows", "orphan_rows",
+        shown(F.col("orphan_rows") * 100.0 / F.col("child_rows"), decimals).alias("orphan_percent"),
+        F.when(clean, "PASSED").otherwise("WARNING").alias("status"),
+        F.when(clean, "No orphan records found").otherwise("Orphan records found").alias("message"))
+    return union_all([found, *failed])
 
 
 def orphan_samples(child, parent, child_key: str, parent_key: str, n: int = 100) -> DataFrame:
@@ -182,23 +213,36 @@ def orphan_samples(child, parent, child_key: str, parent_key: str, n: int = 100)
     )
 
 
-def validate_orphans(tables: dict[str, DataFrame], checks=None) -> DataFrame:
-    frames = []
+def validate_orphans(tables: dict[str, DataFrame], checks=None, decimals: int | None = 2) -> DataFrame | None:
+    by_child: dict[str, list] = {}
     for child, parent, key in checks or S.REFERENCE_CHECKS:
         if child in tables and parent in tables:
-            frames.append(orphan_report(tables[child], tables[parent],
-                                        f"{child} {key} exists in {parent}", child, parent, key, key))
-    return union_all(frames)
+            by_child.setdefault(child, []).append(
+                (f"{child} {key} exists in {parent}", child, tables[parent], parent, key, key))
+    return union_all([orphan_reports(tables[c], found, decimals) for c, found in by_child.items()])
+
+
+def sample_reports(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Bounded samples of duplicated rows per table and of orphans per check."""
+    out = {}
+    for t, keys in S.DUPLICATE_KEYS.items():
+        if t in tables and all(k in tables[t].columns for k in keys):
+            out[f"duplicate_samples/{t}"] = duplicate_samples(tables[t], keys)
+    for child, parent, key in S.REFERENCE_CHECKS:
+        if child in tables and parent in tables and key in tables[child].columns and key in tables[parent].columns:
+            out[f"orphan_samples/{child}_{key}_{parent}"] = orphan_samples(tables[child], tables[parent], key, key)
+    return out
 
 
 # ---------------------------------------------------------------- profile
 
-def profile_dataframe(df: DataFrame, table: str, top: int = 5) -> DataFrame:
-    """One row per column: nulls, distinct values, most frequent values, numeric range and median.
+def profile_dataframe(df: DataFrame, table: str, top: int = 5, decimals: int | None = 2) -> DataFrame:
+    """One row per column: nulls (NaN is one), distinct values, most frequent values, numeric range and median.
 
     Everything but the median comes from one (column, value) count, combined before its shuffle, so
     a value that fills a third of the table costs one row per map task.
     """
+    df = df.withColumns({c: F.nanvl(c, F.lit(None)) for c, kind in df.dtypes if kind in ("double", "float")})
     columns = df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in columns if isinstance(types[c], T.NumericType)]
@@ -244,10 +288,10 @@ def profile_dataframe(df: DataFrame, table: str, top: int = 5) -> DataFrame:
         dtype[F.col("column")].alias("dtype"),
         "total_rows",
         "null_count",
-        (F.col("null_count") * 100.0 / F.col("total_rows")).alias("null_percent"),
+        shown(F.col("null_count") * 100.0 / F.col("total_rows"), decimals).alias("null_percent"),
         (F.col("total_rows") - F.col("null_count")).alias("non_null_count"),
         "unique_count",
-        (F.col("unique_count") * 100.0 / F.col("total_rows")).alias("unique_percent"),
+        shown(F.col("unique_count") * 100.0 / F.col("total_rows"), decimals).alias("unique_percent"),
         (F.col("unique_count") <= 1).alias("is_constant"),
         "top_values",
         "min",
@@ -262,18 +306,24 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def run_all_validations(tables: dict[str, DataFrame], listing: DataFrame | None = None,
-                        schemas: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All reports, lazily; the tables pass through untouched."""
+                        columns: DataFrame | None = None, files: list[str] | None = None,
+                        months: list[str] | None = None) -> dict[str, DataFrame]:
+    """All reports, lazily; the tables pass through untouched. ``listing`` and ``columns`` come from the landed
+    files (file_listing, landed_columns), ``files`` are the names that every month must have."""
     reports = {
         "duplicates": validate_duplicates(tables),
         "orphans": validate_orphans(tables),
         "profile": profile_tables(tables),
+        **sample_reports(tables),
     }
     if listing is not None:
-        reports["files"] = file_report(listing, S.LANDING_TABLES)
-    if schemas is not None:
-        reports["schemas"] = schema_report(schemas)
-    return reports
+        reports["files"] = file_report(listing, files or S.LANDING_TABLES, months)
+    if columns is not None:
+        lists = columns.groupBy("table", "month").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda x: x["column"]).alias("columns"))
+        reports["schemas"] = schema_report(lists, columns.select("month"), list(tables))
+        reports["datatypes"] = datatype_report(columns)
+    return {name: report for name, report in reports.items() if report is not None}
 
 
 # ---------------------------------------------------------------- contracts of the demand side
@@ -392,7 +442,7 @@ def check_forecast_store(forecast: DataFrame) -> DataFrame:
 
 
 def check_comparison_input(df: DataFrame, columns: list[str],
-                           splits=("Validation", "Holdout")) -> DataFrame:
+                           splits=("validation", "holdout")) -> DataFrame:
     """Columns at analysis time; one row telling which splits are absent."""
     require_columns(df, [*columns, "Split"], "comparison input")
     return df.agg(*[

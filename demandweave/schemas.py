@@ -26,6 +26,9 @@ FACT_INVOICE_DUE = ["INVNO", "CCODE", "SCODE", "INVDT", "DUEDT", "NET_AMT", "CAN
 
 LANDING_TABLES = ["INVOICE", "INVDET", "MEDIMAST", "PURCHASE", "COMPUR", "SUPMAST", "SFILE", "TFILE"]
 
+# File name endings of the landing formats.
+LANDING_EXTENSIONS = {"binary": "DAT", "parquet": "parquet", "csv": "csv"}
+
 # Business keys audited for duplicates in each landed table.
 DUPLICATE_KEYS = {
     "INVOICE": ["SOURCE_MONTH", "INVNO"],
@@ -59,7 +62,6 @@ ROUTING_THRESHOLD = 30.0
 PUBLISH_MIN_SUCCESS = 0.5
 ADI_CUT = 1.32
 CV2_CUT = 0.49
-# --- end of fixed values ---
 
 # Names under which one logical column may arrive; the first is canonical.
 ALIASES = {
@@ -67,6 +69,7 @@ ALIASES = {
     "Forecast_Date": ["Forecast_Date", "timestamp", "INVDT"],
     "Demand_Qty": ["Demand_Qty", "target", "QTY"],
 }
+# --- end of fixed values ---
 
 
 def canonicalise(df, names=tuple(ALIASES)):

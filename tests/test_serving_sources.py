@@ -172,11 +172,20 @@ def test_binary_landing(spark, tmp_path):
     f = [("SCODE", "C", 4), ("AMT", "N", 8), ("DAY", "D", 8), ("OK", "L", 1)]
     binary_file(f"{root}/JAN-18/SFILE.DAT", f, [(False, ["a", "1.50", "20180102", "T"]), (True, ["x", "9", "", ""])])
     binary_file(f"{root}/APR-18/SFILE.DAT", f[:2], [(False, ["b", "bad"]), (False, ["é", ""])])
-    schema = landing.binary_schema(spark, f"{root}/JAN-18/SFILE.DAT")
-    got = sorted((tuple(r) for r in landing.read_binary_table(spark, root, "SFILE", schema, batch=1).collect()),
-                 key=str)
+    got = sorted((tuple(r) for r in landing.read_binary_table(spark, root, "SFILE", range_bytes=1).collect()), key=str)
     assert got == sorted([("a", 1.5, D(2018, 1, 2), True, "JAN-18"), ("b", None, None, None, "APR-18"),
                           ("é", None, None, None, "APR-18")], key=str)
+    one = landing.read_month(spark, root, "APR-18", ["SFILE"], "binary")["SFILE"]
+    assert one.columns == ["SCODE", "AMT", "SOURCE_MONTH"] and one.count() == 2
+    with pytest.raises(FileNotFoundError):
+        landing.read_month(spark, root, "APR-18", ["TFILE"], "binary")
+    os.makedirs(f"{root}/MAY-18")
+    wired = Q.run_all_validations(
+        {}, landing.file_listing(spark, root), landing.landed_columns(spark, root, ["SFILE"], "binary"),
+        [landing.file_name("SFILE", "binary")], landing.months(spark, root))
+    assert sorted((r["month"], r["exists"]) for r in wired["files"].collect()) == [
+        ("APR-18", True), ("JAN-18", True), ("MAY-18", False)]
+    assert {r["month"]: r["missing_columns"] for r in wired["schemas"].where("table = 'SFILE'").collect()} == {"JAN-18": [], "APR-18": ["DAY", "OK"]}
     grid = {(r["month"], r["file"]): r for r in Q.file_report(
         landing.file_listing(spark, root), ["SFILE.DAT", "TFILE.DAT"]).collect()}
     assert len(grid) == 4 and grid[("JAN-18", "SFILE.DAT")]["exists"]
@@ -187,6 +196,27 @@ def test_binary_landing(spark, tmp_path):
         landing.run_extract(spark, root, ["TFILE"], "binary")
 
 
+def test_months_that_differ(spark, tmp_path):
+    root = str(tmp_path / "differ")
+    f = [("SCODE", "C", 4), ("AMT", "N", 8)]
+    binary_file(f"{root}/JAN-19/SFILE.DAT", [*f, ("GRADE", "C", 2)], [(False, ["c", "3", "g"])])
+    binary_file(f"{root}/APR-18/SFILE.DAT", f, [(False, [f"k{i}", str(i)]) for i in range(100)])
+    binary_file(f"{root}/JAN-18/SFILE.DAT", [f[1], ("DAY", "N", 8)], [(False, ["1", "5"])])
+    binary_file(f"{root}/FEB-18/SFILE.DAT", [("DAY", "D", 8)], [(False, ["20180201"]), (False, ["20189999"])])
+    df = landing.run_extract(spark, root, ["SFILE"], "binary", range_bytes=64)["SFILE"]
+    assert df.dtypes == [("AMT", "double"), ("DAY", "string"), ("SCODE", "string"), ("GRADE", "string"), ("SOURCE_MONTH", "string")]
+    assert df.count() == 104 and df.agg(F.sum("AMT")).first()[0] == 1 + 3 + sum(range(100))
+    assert {tuple(r) for r in df.where("GRADE is not null or SOURCE_MONTH = 'FEB-18'").select("GRADE", "DAY").collect()} == {
+        ("g", None), (None, "20180201"), (None, "20189999")}
+    for fmt in ("csv", "parquet"):
+        for m, row in (("JAN-18", "1 as A, 'x' as B"), ("FEB-18", "'y' as B, 2 as A, 9 as C"), ("MAR-18", "'t' as A")):
+            spark.sql(f"select {row}").write.option("header", True).format(fmt).save(f"{root}/{fmt}/{m}/T.{fmt}")
+            spark.sql("select 'other' as A").write.option("header", True).format(fmt).save(f"{root}/{fmt}/{m}/TOTAL.{fmt}")
+        t = landing.read_table(spark, f"{root}/{fmt}", "T", fmt)
+        assert sorted(map(str, ([r[c] for c in ("A", "B", "C", "SOURCE_MONTH")] for r in t.collect()))) == [
+            "['1', 'x', None, 'JAN-18']", "['2', 'y', 9, 'FEB-18']", "['t', None, None, 'MAR-18']"]
+
+
 def test_landing_to_silver_and_monthly_cycle(spark, sf, tmp_path):
     from demandweave.catalog import views as V
     root = str(tmp_path / "months")
@@ -203,6 +233,9 @@ def test_landing_to_silver_and_monthly_cycle(spark, sf, tmp_path):
                                  report_path=str(tmp_path / "reports"))
     assert len(written) == 10 and written["dim_date"] == 366
     assert spark.read.parquet(str(tmp_path / "reports/orphans")).count() == 7
+    assert spark.read.parquet(str(tmp_path / "reports/files")).where("not exists").count() == 0
+    assert spark.read.parquet(str(tmp_path / "reports/schemas")).where("not matches_reference").count() == 0
+    assert os.path.isdir(tmp_path / "reports/duplicate_samples/INVDET") and os.path.isdir(tmp_path / "reports/datatypes")
     built = etl.run_silver(spark, str(tmp_path / "silver"), "wh2", "2001-08-01")
     assert set(built) == {"medicine", "supplier", "inventory", "purchase", "sales"}
     assert spark.read.parquet(str(tmp_path / "silver/sales")).count() > 0
