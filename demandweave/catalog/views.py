@@ -8,21 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 AS_OF = "2001-08-01"
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One driver table. Its footer is read once per path; later reads reuse the schema and so start
-    no inference job."""
-    path = f"{sf}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """One driver table, by its own footer."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def month_tag(c) -> F.Column:

@@ -67,22 +67,32 @@ def profit(revenue: Column, cost: Column) -> Column:
     return revenue - cost
 
 
-def rate(n: Column, d: Column, decimals: int = 2) -> Column:
+def at(c: Column, decimals: int | None) -> Column:
+    """Rounded half to even as the reports show it; None leaves the value as it is."""
+    return c if decimals is None else F.bround(c, decimals)
+
+
+def ratio(n: Column, d: Column, decimals: int | None = 2) -> Column:
+    """Quotient, 0 where the denominator is 0 or missing."""
+    return at(F.coalesce(F.try_divide(n, d), F.lit(0.0)), decimals)
+
+
+def rate(n: Column, d: Column, decimals: int | None = 2) -> Column:
     """Percentage, 0 where the denominator is 0 or missing."""
-    return F.bround(pct(n, d, 0.0), decimals)
+    return at(pct(n, d, 0.0), decimals)
 
 
-def profit_margin(profit_: Column, revenue: Column) -> Column:
-    return rate(profit_, revenue)
+def profit_margin(profit_: Column, revenue: Column, decimals: int | None = 2) -> Column:
+    return rate(profit_, revenue, decimals)
 
 
 def growth_rate(current: Column, previous: Column) -> Column:
     return rate(current - previous, previous)
 
 
-def inventory_turnover(cost_of_goods: Column, average_stock: Column) -> Column:
-    return F.bround(F.coalesce(F.try_divide(cost_of_goods, average_stock), F.lit(0.0)), 2)
+def inventory_turnover(cost_of_goods: Column, average_stock: Column, decimals: int | None = 2) -> Column:
+    return ratio(cost_of_goods, average_stock, decimals)
 
 
-def days_of_inventory(turnover: Column) -> Column:
-    return F.bround(F.coalesce(F.try_divide(F.lit(365.0), turnover), F.lit(0.0)), 2)
+def days_of_inventory(turnover: Column, decimals: int | None = 2) -> Column:
+    return ratio(F.lit(365.0), turnover, decimals)

@@ -7,29 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Keys from which the bucket borders are taken: the first of all distinct keys by their hash.
+BORDER_KEYS = 4096
+
+
 def global_row_number(df: DataFrame, text_key: str, order: list[str], name: str = "row_number",
                       buckets: int = 64) -> DataFrame:
     """1-based row number by (text_key, order...).
 
-    Rows are spread over order-preserving buckets of the key's first seven bytes after the prefix all
-    keys share (splits from a sketch), numbered inside each bucket, and shifted by the rows of the
-    earlier buckets, a table of at most ``buckets`` rows.
+    Rows are spread over order-preserving buckets of the whole key, numbered inside each bucket, and shifted by
+    the rows of the earlier buckets, a table of at most ``buckets`` rows. The borders are whole keys out of a
+    bounded sample, so keys that share any prefix still part.
     """
-    key = F.col(text_key).cast("string")
-    ends = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("e")).scalar()
-    bounded = df.withColumn("__ends", ends)
-    lo, hi = F.col("__ends.lo"), F.col("__ends.hi")
-    # every key lies between the lowest and the highest, so their common prefix is everyone's
-    same = F.filter(F.sequence(F.lit(0), F.least(F.length(lo), F.length(hi))),
-                    lambda i: F.substr(lo, F.lit(1), i) == F.substr(hi, F.lit(1), i))
-    tail = F.hex(F.substr(key, F.size(same), F.lit(7)))
-    code = F.conv(F.substring(F.rpad(tail, 14, "0"), 1, 14), 16, 10).cast("double")
-    coded = bounded.withColumn("__code", F.coalesce(code, F.lit(0.0))).drop("__ends")
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = coded.agg(F.percentile_approx("__code", probs, 10000)).scalar()
-    below = F.size(F.filter("__splits", lambda s: s < F.col("__code")))
-    bucketed = coded.withColumn("__splits", splits).withColumn(
-        "__bucket", F.when(F.col("__splits").isNull(), 0).otherwise(below)).drop("__splits")
+    key = F.coalesce(F.col(text_key).cast("string"), F.lit(""))
+    sample = df.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(BORDER_KEYS)
+    chosen = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).select(F.transform(
+        F.sequence(F.lit(1), F.lit(buckets - 1)),
+        lambda i: F.get("k", F.floor(i * F.size("k") / buckets).cast("int"))).alias("s")).scalar()
+    below = F.size(F.filter("__splits", lambda s: s < key))
+    bucketed = df.withColumn("__splits", chosen).withColumn("__bucket", below).drop("__splits")
     counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
@@ -37,5 +33,5 @@ def global_row_number(df: DataFrame, text_key: str, order: list[str], name: str
     return (
         bucketed.withColumn("__rn", inside).join(F.broadcast(offsets), "__bucket")
         .withColumn(name, F.col("__rn") + F.col("__before"))
-        .drop("__code", "__bucket", "__rn", "__before")
+        .drop("__bucket", "__rn", "__before")
     )

@@ -2,7 +2,8 @@
 
 ``percentile`` keeps a value->count map in one final task, which is fine per series (bounded by
 the calendar) and wrong for a whole table. Here a mergeable sketch brackets each wanted rank; the
-exact value is then picked inside the bracket, whose size is the sketch error, not the table.
+exact value is then picked inside the bracket, whose size is the sketch error (two rows in 50,000 by default),
+not the table.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: str | None = None,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 100_000) -> DataFrame:
     """Rows ([by,] prob, value): linear-interpolated quantiles of one column, nulls ignored.
 
     ``by`` names a column with few values (such as the columns of a profile); per-item quantiles
@@ -37,7 +38,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: str | No
         F.percentile_approx("v", grid, accuracy).alias("q"),
     ).alias("s")
     if by:
-        vals = vals.join(F.broadcast(vals.groupBy("g").agg(summary)), "g")
+        vals = vals.join(vals.groupBy("g").agg(summary), "g")
     else:
         # attached once as a column: every mention of a subquery would copy its whole plan
         vals = vals.withColumn("s", vals.agg(summary).scalar())

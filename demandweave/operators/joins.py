@@ -63,7 +63,8 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left", sa
 
     A key is hot when it holds more than ``hot_share`` of the fact, so there are at most
     1/hot_share of them: that bound is what makes the hot list safe to broadcast and the
-    replicated dimension rows few. Every other key joins with salt 0, unreplicated.
+    replicated dimension rows few. Rows without a key match nothing, so they are spread too and
+    need no copies. Every other key joins with salt 0, unreplicated.
     """
     if how not in ("left", "inner"):
         raise ValueError("salting supports left and inner joins")
@@ -74,7 +75,7 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left", sa
     )
     hot = F.broadcast(hot)
     # a hash of the row, not a random or running number: a retried task must salt a row as before
-    spread = F.when(F.col("__is_hot"), F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
+    spread = F.when(F.col("__is_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
     left = (
         fact.join(hot, F.col(key) == F.col("__hot"), "left")
         .withColumn("__salt", F.coalesce(spread, F.lit(0)).cast("int"))

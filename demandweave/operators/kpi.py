@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.guards import require_columns
-from ..functions.metrics import days_of_inventory, growth_rate, inventory_turnover, pct, rate
+from ..functions.metrics import (
+    days_of_inventory, growth_rate, inventory_turnover, pct, profit_margin, rate, ratio,
+)
 
 
 def total(df: DataFrame, amount: str, name: str = "Total") -> DataFrame:
@@ -27,6 +29,15 @@ def unique_count(df: DataFrame, key: str, name: str = "Unique", approx: float |
     return df.agg(count.alias(name))
 
 
+def totals(df: DataFrame, sums: dict[str, str], means: dict[str, str] | None = None,
+           distinct: dict[str, str] | None = None) -> DataFrame:
+    """Several of the three figures above by result name, from one pass over the table."""
+    require_columns(df, [*sums.values(), *(means or {}).values(), *(distinct or {}).values()])
+    return df.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()],
+                  *[F.avg(c).alias(n) for n, c in (means or {}).items()],
+                  *[F.count_distinct(c).alias(n) for n, c in (distinct or {}).items()])
+
+
 def sum_by(df: DataFrame, keys, amount: str, name: str) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     require_columns(df, [*keys, amount])
@@ -121,7 +132,7 @@ def contribution(df: DataFrame, key: str, amount: str, name: str = "Contribution
 
 
 def order_kpis(lines: DataFrame, order="INVNO", customer="CCODE", qty="QTY", amount="LINE_AMT",
-               returned="RETURNED", day="INVDT") -> DataFrame:
+               returned="RETURNED", day="INVDT", decimals: int | None = 2) -> DataFrame:
     """Ratios of a sales table in one row: order value, items, repeat buyers, returns, per-day and
     per-customer sales.
 
@@ -150,30 +161,33 @@ def order_kpis(lines: DataFrame, order="INVNO", customer="CCODE", qty="QTY", amo
         F.count_if(~buyer & known).alias("Sales_Days"),
         F.count_if(buyer & known).alias("Total_Customers"),
         F.count_if(buyer & known & (F.col("orders") > 1)).alias("Repeat_Customers"))
-    ratio = lambda n, d: F.bround(F.coalesce(F.try_divide(F.col(n), F.col(d)), F.lit(0.0)), 2)
+    of_two = lambda n, d: ratio(F.col(n), F.col(d), decimals)
     return t.withColumns({
-        "Average_Order_Value": ratio("Total_Sales", "Total_Orders"),
-        "Average_Items_Per_Order": ratio("Total_Quantity", "Total_Orders"),
-        "Sales_Per_Customer": ratio("Total_Sales", "Total_Customers"),
-        "Sales_Per_Day": ratio("Total_Sales", "Sales_Days"),
-        "Return_Rate": rate(F.col("Returned_Orders"), F.col("Total_Orders")),
-        "Repeat_Customer_Rate": rate(F.col("Repeat_Customers"), F.col("Total_Customers")),
+        "Average_Order_Value": of_two("Total_Sales", "Total_Orders"),
+        "Average_Items_Per_Order": of_two("Total_Quantity", "Total_Orders"),
+        "Sales_Per_Customer": of_two("Total_Sales", "Total_Customers"),
+        "Sales_Per_Day": of_two("Total_Sales", "Sales_Days"),
+        "Return_Rate": rate(F.col("Returned_Orders"), F.col("Total_Orders"), decimals),
+        "Repeat_Customer_Rate": rate(F.col("Repeat_Customers"), F.col("Total_Customers"), decimals),
     })
 
 
-def margin_kpis(lines: DataFrame, revenue: str, cost: str, keys: list[str]) -> DataFrame:
+def margin_kpis(lines: DataFrame, revenue: str, cost: str, keys: list[str],
+                decimals: int | None = 2) -> DataFrame:
     """Revenue, cost, profit and margin per key."""
     return lines.groupBy(*keys).agg(
         F.coalesce(F.sum(revenue), F.lit(0.0)).alias("Revenue"),
         F.coalesce(F.sum(cost), F.lit(0.0)).alias("Cost"),
     ).withColumn("Profit", F.col("Revenue") - F.col("Cost")).withColumn(
-        "Profit_Margin", rate(F.col("Profit"), F.col("Revenue")))
+        "Profit_Margin", profit_margin(F.col("Profit"), F.col("Revenue"), decimals))
+
+
+def average_unit_cost(df: DataFrame, qty="QTY", amount="Purchase_Value", decimals: int | None = 2) -> DataFrame:
+    return df.agg(ratio(F.sum(amount), F.sum(qty), decimals).alias("Average_Unit_Cost"))
 
 
-def average_unit_cost(df: DataFrame, qty="QTY", amount="Purchase_Value") -> DataFrame:
-    return df.agg(F.bround(
-        F.coalesce(F.try_divide(F.sum(amount), F.sum(qty)), F.lit(0.0)), 2
-    ).alias("Average_Unit_Cost"))
+def average_order_value(df: DataFrame, order: str, amount: str, decimals: int | None = 2) -> DataFrame:
+    return df.agg(ratio(F.sum(amount), F.count_distinct(order), decimals).alias("Average_Order_Value"))
 
 
 def inventory_value(df: DataFrame, qty: str, unit_cost: str) -> DataFrame:
@@ -182,7 +196,7 @@ def inventory_value(df: DataFrame, qty: str, unit_cost: str) -> DataFrame:
 
 
 def inventory_kpis(inventory: DataFrame, sold_qty: F.Column | float, cost_of_goods: F.Column | float,
-                   dead_days: int = 0) -> DataFrame:
+                   dead_days: int = 0, decimals: int | None = 2) -> DataFrame:
     """Stock totals and item rates from the inventory table in one pass.
 
     ``sold_qty`` and ``cost_of_goods`` come from the sales side, as numbers or scalar subqueries.
@@ -202,12 +216,12 @@ def inventory_kpis(inventory: DataFrame, sold_qty: F.Column | float, cost_of_goo
     ).withColumns({"Sold_Quantity": sold, "Cost_Of_Goods": cogs})
     n = F.col("Total_Items")
     return out.withColumns({
-        "Reorder_Rate": rate(F.col("Reorder_Items"), n),
-        "Low_Stock_Rate": rate(F.col("Low_Stock_Items"), n),
-        "Stock_Out_Rate": rate(F.col("Stock_Out_Items"), n),
-        "Dead_Stock_Rate": rate(F.col("Dead_Stock_Items"), n),
-        "Stock_Utilization": rate(F.col("Sold_Quantity"), F.col("Total_Stock")),
-        "Stock_Availability": rate(F.col("Total_Stock"), F.col("Sold_Quantity")),
+        "Reorder_Rate": rate(F.col("Reorder_Items"), n, decimals),
+        "Low_Stock_Rate": rate(F.col("Low_Stock_Items"), n, decimals),
+        "Stock_Out_Rate": rate(F.col("Stock_Out_Items"), n, decimals),
+        "Dead_Stock_Rate": rate(F.col("Dead_Stock_Items"), n, decimals),
+        "Stock_Utilization": rate(F.col("Sold_Quantity"), F.col("Total_Stock"), decimals),
+        "Stock_Availability": rate(F.col("Total_Stock"), F.col("Sold_Quantity"), decimals),
         "Inventory_Turnover": inventory_turnover(
-            F.col("Cost_Of_Goods"), F.col("Average_Inventory_Value")),
-    }).withColumn("Days_Of_Inventory", days_of_inventory(F.col("Inventory_Turnover")))
+            F.col("Cost_Of_Goods"), F.col("Average_Inventory_Value"), decimals),
+    }).withColumn("Days_Of_Inventory", days_of_inventory(F.col("Inventory_Turnover"), decimals))

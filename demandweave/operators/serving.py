@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.guards import ContractError
 from ..functions.numbering import global_row_number
+from ..session import cut_lineage
 from . import forecast as FC
 from . import routing as R
 from .series import prepare_history
@@ -54,6 +56,7 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
     point = point.select("Medicine_ID", "Forecast_Date", "Predicted_Demand",
                          *[fill.alias(c) for c in S.QUANTILE_COLUMNS],
                          F.least("History_Days", F.lit(context)).alias("Context_Length_Used"))
+    broken = None
     if model is None:
         prob = FC.monotone_quantiles(
             FC.native_quantile_forecast(mine(challenger), horizon, context, min_observations))
@@ -61,8 +64,9 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
         if form == "router":
             prob = prob.withColumn("P50", F.col("Predicted_Demand"))
     else:
-        prob, _ = FC.split_failures(FC.quantile_slot(
-            mine(challenger), model, horizon, context, min_observations=min_observations))
+        # stored: the model runs once per item, whoever asks for rows or for failures
+        prob, broken = FC.split_failures(cut_lineage(FC.quantile_slot(
+            mine(challenger), model, horizon, context, min_observations=min_observations)))
     columns = ["Medicine_ID", "Forecast_Date", "Predicted_Demand", *S.QUANTILE_COLUMNS,
                "Context_Length_Used"]
     rows = point.select(*columns).unionByName(prob.select(*columns)).join(decisions, "Medicine_ID")
@@ -73,9 +77,17 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
         "Model_ID": F.col("Selected_Model"),
         "Generated_At": F.current_timestamp() if generated_at is None else generated_at,
     })
-    failed = wanted.join(rows.select("Medicine_ID").distinct(), "Medicine_ID", "left_anti").withColumn(
-        "reason", F.lit(f"no forecast: missing history, fewer than {min_observations} days, "
-                        "or model failure"))
+    # told from the history and the model's own failures, so asking for them forecasts nothing again
+    seen = series.groupBy(F.col("MDCODE").alias("Medicine_ID")).agg(
+        (F.datediff(F.max("INVDT"), F.min("INVDT")) + 1).alias("days"))
+    reason = F.when(F.col("days").isNull(), F.lit("no usable history")).when(
+        F.col("days") < min_observations,
+        F.concat(F.col("days").cast("string"), F.lit(f" days of history, minimum is {min_observations}")))
+    failed = wanted.join(seen, "Medicine_ID", "left").select("Medicine_ID", reason.alias("reason"))
+    if broken is not None:
+        failed = failed.join(broken, "Medicine_ID", "left").select(
+            "Medicine_ID", F.coalesce("reason", "error").alias("reason"))
+    failed = failed.where("reason is not null")
     common = ["Medicine_ID", "Forecast_Date", "Predicted_Demand"]
     if form == "service":
         out = rows.select(
@@ -254,7 +266,9 @@ def scan_alerts(forecast: DataFrame, history: DataFrame | None = None,
             F.avg("Demand_Qty").alias("past")), "Medicine_ID", "left")
     if inventory is not None:
         inv = S.canonicalise(inventory, ["Medicine_ID"])
-        stock = "Stock_On_Hand" if "Stock_On_Hand" in inv.columns else "SOH"
+        stock = next((c for c in ("Stock_On_Hand", "SOH", "QTY") if c in inv.columns), None)
+        if stock is None:
+            raise ContractError("inventory has none of Stock_On_Hand, SOH, QTY")
         df = df.join(inv.groupBy(F.col("Medicine_ID").cast("string").alias("Medicine_ID")).agg(
             F.sum(stock).alias("stock")), "Medicine_ID", "left")
     zero = F.lit(0.0)

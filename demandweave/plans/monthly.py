@@ -30,12 +30,12 @@ def run_monthly_forecast(spark: SparkSession, history: DataFrame, routing_table:
                          run_id: str, model: Callable | None = None,
                          horizon: int = S.HORIZON) -> dict:
     """Contracts, routed forecast, output contract, versioned write, gate, manifest."""
-    require_no_violations(
-        quality.check_series(history).drop("duplicate_day"), "demand history")
+    history = S.canonicalise(history)
+    require_no_violations(quality.check_series(history, *S.ALIASES).drop("duplicate_day"), "demand history")
     models = [routing.CHALLENGER, routing.BASELINE]
     require_no_violations(quality.check_routing(routing_table, models, routing.CHALLENGER), "routing")
     forecast, failed = serving.forecast_batch(history, routing_table, model=model, horizon=horizon)
-    requested = S.canonicalise(history).select(
+    requested = history.select(
         F.trim(F.col("Medicine_ID").cast("string")).alias("Medicine_ID")).distinct()
     return publish.write_run(forecast, requested, failed, root, run_id)
 
@@ -56,5 +56,7 @@ def monthly_cycle(spark: SparkSession, line: DataFrame, invoice: DataFrame, rout
     candidates = series.candidates_only(demand, series.series_quality(demand))
     manifest = run_monthly_forecast(spark, candidates, routing_table, root, run_id)
     forecast = spark.read.parquet(manifest["output_path"])
-    publish.save_documents(serving.scan_alerts(forecast, demand, inventory), f"{root}/alerts")
+    now = F.current_timestamp()
+    alerts = serving.scan_alerts(forecast, demand, inventory).withColumns({"created_at": now, "last_updated": now})
+    publish.save_documents(alerts, f"{root}/alerts")
     return manifest

@@ -23,12 +23,6 @@ def local_session(cpus: int | str = 8, app: str = "demandweave") -> SparkSession
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        # local data is small: keep a stage on all cores rather than merging it into one partition
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        # the local files hold one row group each, so a broadcast join would leave the scan's stage on
-        # one core; a cluster keeps its own threshold
-        .config("spark.sql.autoBroadcastJoinThreshold", "512k")
-        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "512k")
         .getOrCreate()
     )
 

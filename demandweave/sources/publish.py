@@ -1,11 +1,14 @@
 """Versioned forecast store with a publish gate.
 
-A run writes its own directory once. ``latest`` is a one-row pointer, so promotion is a tiny write
-and a reader never sees a half-written forecast; a run below the gate leaves the pointer alone.
+A run writes its own directory once. Promotion adds a one-row pointer beside the earlier ones, and readers take
+the newest: a pointer appears when its write commits and nothing is replaced, so a reader always finds a whole
+forecast. A run below the gate adds no pointer.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +51,23 @@ def write_run(forecast: DataFrame, requested: DataFrame, failed: DataFrame, root
     _one_row_json(spark, {**{k: F.lit(v) for k, v in manifest.items()},
                           "completed_at": F.current_timestamp()}, f"{path}/manifest")
     if published:
-        _one_row_json(spark, {"run_id": F.lit(run_id), "path": F.lit(f"{path}/forecast")},
-                      f"{root}/latest")
+        _one_row_json(spark, {"run_id": F.lit(run_id), "path": F.lit(f"{path}/forecast"),
+                              "promoted_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS")},
+                      f"{root}/pointers/{uuid.uuid4().hex}")
     return manifest
 
 
 def latest_forecast(spark: SparkSession, root: str, check: bool = True) -> DataFrame | None:
     """Published snapshot with repaired columns, or None before the first promotion."""
     try:
-        pointer = spark.read.json(f"{root}/latest").first()
+        pointers = spark.read.schema("run_id string, path string, promoted_at string").json(f"{root}/pointers/*")
+        pointer = pointers.orderBy(F.desc("promoted_at"), F.desc("run_id")).first()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    if pointer is None:
+        return None
     df = repair_snapshot(spark.read.parquet(pointer["path"]))
     if check:
         require_no_violations(check_forecast_store(df), "forecast store")
