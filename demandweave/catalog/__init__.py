@@ -3,6 +3,7 @@
 from . import etl  # noqa: F401  (registration order: warehouse side first)
 from . import demand  # noqa: F401
 from . import routing  # noqa: F401
+from . import landed  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
