@@ -406,17 +406,16 @@ class JaccardJoin:
         found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
         pivots, others, large = (found.filter(F.col("kind") == k) for k in (1, 2, 3))
         links, labels = None, None
-        # first each document with the closest of its pivots, then with all of them, then with central documents of
-        # large regions, then whatever small regions pair and large ones still hold apart; pairs whose ends are
-        # joined by then need no proof
-        for step in range(4):
+        # first each document with the closest of its pivots, then with all of them and with the central documents
+        # of large regions, then whatever small regions pair and large ones still hold apart; pairs whose ends
+        # are joined by then need no proof
+        for step in range(3):
             if step == 0:
                 near = self._near(pivots, classes)
                 near = near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
             else:
-                pairs = pivots.select("a", "b") if step == 1 else self._again(large, labels, classes, step == 2)
-                if step == 3:
-                    pairs = pairs.unionByName(others.select("a", "b"))
+                pairs = (pivots if step == 1 else others).select("a", "b")
+                pairs = pairs.unionByName(self._again(large, labels, classes, step == 1))
                 for side in "ab":
                     pairs = pairs.join(labels.toDF(side, f"of_{side}"), side, "left")
                 near = self._near(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")), classes).select("a", "b")
