@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import in_batches, small_batches, text_buffer, with_columns
@@ -30,8 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: i
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(~held_out("doc_id", modulus, rest))
     known = known.groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("label")).filter("low = label")
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class)
+    first = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    chosen = first[0].unionByName(first[1])
     rows = (
         docs.select("doc_id", "text")
         .filter("text is not null")
