@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .words import in_batches, small_batches, with_columns
 
 LONG_WORD = 96
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 NONE = 1 << 60
 #: Fixed value: the split pattern that byte-level tokenizers of this family use.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
