@@ -181,9 +181,9 @@ def _headers(spark: SparkSession, root: str, table: str, month: str = "*") -> Da
     """(month, path, records, header, record, fields) of every file, parsed where the file is read."""
     head = _files(spark, root, table, month).select(
         "month", "path", "length", F.expr(f"substring(content, 1, {HEADER_BYTES})").alias("content"))
-    parsed = F.udf(_fields, "array<struct<name:string,kind:string,at:int,width:int>>")
+    parsed = F.udf(_fields, "array<struct<name:string,kind:string,at:int,width:int>>", useArrow=False)
     ship_package(spark)
-    counts = F.udf(_sizes, "struct<records:long,header:int,record:int>")
+    counts = F.udf(_sizes, "struct<records:long,header:int,record:int>", useArrow=False)
     return head.select("month", "path", "length", counts("content").alias("s"), parsed("content").alias("fields")).select(
         "month", "path", "length", "s.*", "fields")
 
