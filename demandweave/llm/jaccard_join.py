@@ -405,7 +405,9 @@ class JaccardJoin:
         classes = stored(classes, "classes")
         found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
         pivots, others, large = (found.filter(F.col("kind") == k) for k in (1, 2, 3))
-        links, labels = None, None
+        # an id with several texts joins their nodes
+        several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+        links, labels = named.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"), None
         # first each document with the closest of its pivots, then with all of them and with the central documents
         # of large regions, then whatever small regions pair and large ones still hold apart; pairs whose ends
         # are joined by then need no proof
@@ -422,9 +424,8 @@ class JaccardJoin:
             near = stored(near, "near")
             if labels is None or not near.isEmpty():
                 new = stored(self._links(docs, near, classes), "links")
-                links = new if links is None else links.unionByName(new)
+                links = links.unionByName(new)
                 labels = stored(components(links), "labels")
-        # rows that share an id are one document
         label = classes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "doc_id")
         smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         of_node = label.join(smallest, "label").select("node", "component_id")

@@ -122,6 +122,14 @@ def test_jaccard_join_is_exact(spark, large, frequent):
     assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute_groups(rows)
 
 
+def test_rows_that_share_an_id_join_their_groups(spark):
+    one, two, three = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(5, one), (5, two), (0, one), (7, two), (9, three), (9, one), (8, three), (4, "y z")]
+    found = jaccard_join.JaccardJoin().groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute_groups(rows)
+    assert {r["component_id"] for r in found.filter("doc_id <> 4").collect()} == {0}
+
+
 def test_jaccard_join_on_odd_rows(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     found = jaccard_join.JaccardJoin().groups(odd)
