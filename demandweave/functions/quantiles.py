@@ -2,7 +2,7 @@
 
 ``percentile`` keeps a value->count map in one final task, which is fine per series (bounded by
 the calendar) and wrong for a whole table. Here a mergeable sketch brackets each wanted rank; the
-exact value is then picked inside the bracket, whose size is the sketch error (two rows in 50,000 by default),
+exact value is then picked inside the bracket, whose size is the sketch error (one row in 25,000 by default),
 not the table.
 """
 
