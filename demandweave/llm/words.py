@@ -19,7 +19,7 @@ from demandweave.session import ship_package
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows handled together at most hold so many text bytes (one longer row still goes whole).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -89,6 +89,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # the worker lives on, and other stages need the memory
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
