@@ -29,9 +29,10 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of linked documents the one with the smallest id stays; of rows that share an id and have
-    words, one. Rows without an id, or without words, link with nothing and stay."""
-    groups = jaccard_join.JaccardJoin().groups(docs.select("doc_id", "text"))
+    """Documents link from a similarity of 0.8 on shingles of five words. Of each group of linked documents the one
+    with the smallest id stays; of rows that share an id and have words, one. Rows without an id, or without words,
+    link with nothing and stay."""
+    groups = jaccard_join.JaccardJoin(size=5, least=80).groups(docs.select("doc_id", "text"))
     gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     # only ids that occur several times need a look at their rows

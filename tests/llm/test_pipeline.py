@@ -74,3 +74,14 @@ def test_stages_on_odd_and_empty_rows(spark, sf):
                 assert count == 0
             else:
                 assert count == frame.count()
+
+
+def test_near_duplicates_link_from_four_fifths_of_five_words(spark, sf):
+    words = [f"w{i}" for i in range(100)]
+    near, far = list(words), list(words)
+    near[30] = near[60] = "other"  # 86 of 106 shingles of five words, 89 of 105 of four
+    far[20] = far[50] = far[80] = "unlike"  # 81 of 111
+    rows = [(i, " ".join(x), "en", "s", 0) for i, x in enumerate((words, near, far))]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert left == sorted(d for d, _, c in brute_groups([r[:2] for r in rows], size=5, least=80) if d == c) == [0, 2]
