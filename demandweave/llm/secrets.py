@@ -8,8 +8,8 @@ formats settle it: issued key formats and long values assigned to credential wor
 (cards, telephones, dates, addresses) are not. To these come a few fixed examples of either kind, so that both
 are known on any data. Candidates in neither group are what the forest decides.
 
-Common words come from a bounded sample too (the first WORD_DOCS texts by hash, the WORDS most used), so
-the table that is broadcast has a fixed size.
+Common words are counted in all texts, equal texts once. A word is common if it is at least one in WORD_SHARE of
+the words counted, so the table that is broadcast holds at most WORD_SHARE words.
 
 Defined cases: null or empty text has no candidate and stays as it is. A value found twice in a text is two
 findings and is removed wherever it stands. Texts are scanned whole. Rows that share id and text share
@@ -38,7 +38,7 @@ WORTH_A_LOOK = r"[0-9=:]"
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-|^sk_live_|^AIza[0-9A-Za-z_\-]{35}$|^eyJ"
 PLAIN_NUMBER = r"^[0-9+/_\-]+$"
 BESIDE = 40
-LEARN_ROWS, WORD_DOCS, WORDS = 4000, 500, 2000
+LEARN_ROWS, WORD_SHARE = 4000, 20_000
 TREES, DEPTH, SEED = 20, 6, 7
 REDACTED = "[SECRET]"
 
@@ -85,10 +85,12 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", source="source") -
 
 
 def common_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The words most used in a bounded sample of texts."""
-    some = docs.filter(F.length(text) > 0).select(text, F.xxhash64(text).alias("place")).orderBy("place").limit(WORD_DOCS)
-    words = some.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{3,20}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(WORDS).select("word")
+    """The words that are at least one in WORD_SHARE of all words of the different texts; at most WORD_SHARE."""
+    texts = docs.filter(F.length(text) > 0).select(F.col(text).alias("text"), F.xxhash64(text).alias("hash")).dropDuplicates(["hash"])
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,20}"), F.lit(0))).alias("word"))
+    counts = stored(words.groupBy("word").count(), "counts")
+    total = counts.agg(F.sum("count").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).filter(F.col("count") * WORD_SHARE >= F.col("total")).select("word")
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     change = r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    listed = words.agg(F.collect_list("word").alias("__words"))  # one row of at most WORDS words
+    listed = words.agg(F.collect_list("word").alias("__words"))  # one row of at most WORD_SHARE words
     runs = F.regexp_extract_all(F.lower(value), F.lit(r"[a-z]{3,20}"), F.lit(0))
     covered = F.aggregate(F.filter(runs, lambda w: F.array_contains("__words", w)), F.lit(0), lambda s, w: s + F.length(w))
     return (

@@ -270,6 +270,17 @@ def test_secrets(spark, odd):
     assert secrets.redact(odd.limit(0)).count() == 0
 
 
+def test_common_words_are_counted_in_all_different_texts(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = [f"{letters(2 * i)} {letters(2 * i + 1)}" for i in range(1250)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").union(spark.range(50_000).select(F.lit("one text with many copies")))
+    listed = sorted(r["word"] for r in secrets.common_words(docs).collect())
+    assert listed == sorted({w for t in texts for w in t.split()} | {"one", "text", "with", "many", "copies"})
+    rare = docs.union(spark.range(1).select(F.concat_ws(" ", F.array_repeat(F.lit("often"), 100_000))))
+    assert [r["word"] for r in secrets.common_words(rare).collect()] == ["often"]
+    assert secrets.common_words(docs.limit(0)).count() == 0
+
+
 def test_secret_plan_is_native(spark, sf):
     plan = secrets.redact(few(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
