@@ -12,7 +12,7 @@ Common words are counted in all texts, equal texts once. A word is common if it
 the words counted, so the table that is broadcast holds at most WORD_SHARE words.
 
 Defined cases: null or empty text has no candidate and stays as it is. A value found twice in a text is two
-findings and is removed wherever it stands. Texts are scanned whole. Rows that share id and text share
+findings and is removed wherever it stands. Texts are scanned whole, and values are taken whole. Rows that share id and text share
 findings. A null id is an id of its own; a null source is an empty path. Tables may be empty. Other columns
 pass through ``redact`` untouched.
 """
@@ -30,8 +30,8 @@ from demandweave.session import stored
 CREDENTIAL = r"(?i:passwords?|passwd|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|auth|credentials?)"
 ASSIGNED = CREDENTIAL + r"[A-Za-z_]{0,12}[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 CANDIDATE = (
-    rf"{ASSIGNED}[^\s\"']{{6,512}}"
-    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,511}[0-9])[A-Za-z0-9+/_\-]{8,512}"
+    rf"{ASSIGNED}[^\s\"']{{6,}}+"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{8,}+"
 )
 #: A text without one of these characters has no candidate.
 WORTH_A_LOOK = r"[0-9=:]"

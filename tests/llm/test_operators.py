@@ -281,6 +281,20 @@ def test_common_words_are_counted_in_all_different_texts(spark):
     assert secrets.common_words(docs.limit(0)).count() == 0
 
 
+def test_long_secrets_go_whole(spark):
+    rng = random.Random(4)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(3000))
+    late = "".join(rng.choice(string.ascii_letters) for _ in range(2000)) + "7" + key[:999]
+    issued = "eyJ" + key
+    texts = [f"login password={key} ok", f"the key {issued} was here", f"with {late} in it", "userpassword=9d1f0c77b3a24e6688 ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect()}
+    assert found == {(0, key), (1, issued), (2, late), (3, "9d1f0c77b3a24e6688")}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] == "login password=[SECRET] ok" and clean[1] == "the key [SECRET] was here"
+    assert clean[3] == "userpassword=[SECRET] ok"
+
+
 def test_secret_plan_is_native(spark, sf):
     plan = secrets.redact(few(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
