@@ -38,6 +38,8 @@ WORTH_A_LOOK = r"[0-9=:]"
 ISSUED = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-|^sk_live_|^AIza[0-9A-Za-z_\-]{35}$|^eyJ"
 PLAIN_NUMBER = r"^[0-9+/_\-]+$"
 BESIDE = 40
+#: Matches on either side that BESIDE characters can reach into; each has 8 characters or more.
+NEAR = 6
 LEARN_ROWS, WORD_SHARE = 4000, 20_000
 TREES, DEPTH, SEED = 20, 6, 7
 REDACTED = "[SECRET]"
@@ -63,24 +65,40 @@ def candidates(docs: DataFrame, doc_id="doc_id", text="text", source="source") -
     """(doc_id, text_hash, nth, key, value, before, after, path) of every candidate."""
     path = F.coalesce(F.col(source), F.lit("")) if source and source in docs.columns else F.lit("")
     body = F.col(text)
+    head = lambda s: F.substring(s, 1, BESIDE)
+    tail = lambda s: F.substring(s, -BESIDE, BESIDE)
+    # the matches in order and the ends of the text between them: a match's surroundings are those of its own place
     matches = F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))
+    between = F.transform(F.split(body, CANDIDATE, -1), lambda s: F.struct(head(s).alias("head"), tail(s).alias("tail")))
+    parts = F.struct(matches.alias("matches"), between.alias("between"))
 
-    def described(match):
+    def described(match, i):
         value = F.regexp_replace(match, "^" + ASSIGNED, "")
-        at = F.position(match, body)
+        first = F.greatest(i - NEAR, F.lit(0))
+        left = F.zip_with(
+            F.slice("parts.between", first + 1, i - first + 1),
+            F.slice("parts.matches", first + 1, i - first),
+            lambda gap, other: F.concat(gap["tail"], tail(F.coalesce(other, F.lit("")))),
+        )
+        right = F.zip_with(
+            F.slice("parts.between", i + 2, F.lit(NEAR)),
+            F.slice("parts.matches", i + 2, F.lit(NEAR)),
+            lambda gap, other: F.concat(F.coalesce(gap["head"], F.lit("")), head(F.coalesce(other, F.lit("")))),
+        )
         return F.struct(
             F.lower(F.regexp_extract(match, f"^({CREDENTIAL})[A-Za-z_]{{0,12}}[\"']?\\s{{0,2}}[=:]", 1)).alias("key"),
             value.alias("value"),
-            F.substring(body, F.greatest(at - BESIDE, F.lit(1)), F.least(at - 1, F.lit(BESIDE))).alias("before"),
-            F.substring(body, at + F.length(match), F.lit(BESIDE)).alias("after"),
+            tail(F.array_join(left, "")).alias("before"),
+            head(F.array_join(right, "")).alias("after"),
         )
 
-    rows = docs.filter(body.rlike(WORTH_A_LOOK)).select(
+    looked = docs.filter(body.rlike(WORTH_A_LOOK)).select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(body).alias("text_hash"),
         path.alias("path"),
-        F.posexplode(F.transform(matches, described)).alias("nth", "found"),
+        F.explode(F.array(parts)).alias("parts"),  # a row each; keeps the optimizer from matching once per use
     )
+    rows = looked.select("doc_id", "text_hash", "path", F.posexplode(F.transform("parts.matches", described)).alias("nth", "found"))
     return rows.select("doc_id", "text_hash", "nth", "found.*", "path").filter(F.length("value") >= 6)
 
 

@@ -295,6 +295,19 @@ def test_long_secrets_go_whole(spark):
     assert clean[3] == "userpassword=[SECRET] ok"
 
 
+def test_surroundings_are_those_of_the_finding(spark):
+    value, rng = "k3Jd92LmQx71", random.Random(6)
+    draw = lambda: rng.choice(["word ", "é🙂 ", f"{value} ", f"x{value} ", f"pwd={value} ", "a1b2c3d4 ", "long text without a candidate, " * 3])
+    texts = [f"nothing of note {value} stands here, a long way from its second place; the password is {value} today", f"in x{value}9 then password {value}",
+             value, f"{value} {value}", *("".join(draw() for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, n, t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(secrets.CANDIDATE, t))}
+    found = secrets.candidates(docs).collect()
+    assert {(r["doc_id"], r["nth"], r["before"], r["after"]) for r in found} == want and len(found) == len(want)
+    flags = {(r["doc_id"], r["nth"]): r["credential_before"] for r in secrets.scan(docs.filter("doc_id < 2")).collect()}
+    assert flags == {(0, 0): 0, (0, 1): 1, (1, 0): 0, (1, 1): 1}
+
+
 def test_secret_plan_is_native(spark, sf):
     plan = secrets.redact(few(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
