@@ -29,21 +29,25 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Documents link from a similarity of 0.8 on shingles of five words. Of each group of linked documents the one
-    with the smallest id stays; of rows that share an id and have words, one. Rows without an id, or without words,
-    link with nothing and stay."""
-    groups = jaccard_join.JaccardJoin(size=5, least=80).groups(docs.select("doc_id", "text"))
-    gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # only ids that occur several times need a look at their rows
-    again = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    again = stored(again.select(F.col("doc_id").alias("__again")), "again")
-    if again.isEmpty():
-        return kept
-    single = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    several = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.xxhash64("text")))
-    return single.unionByName(several.withColumn("__place", place).filter("__place = 1").drop("__place"))
+    """Documents link from a similarity of 0.8 on shingles of five words. Of each group of linked rows one with the
+    smallest id stays, whichever rows share ids: rows are told apart by id and a hash of the text. Rows without an
+    id, or without words, link with nothing and stay."""
+    keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    groups = jaccard_join.JaccardJoin(size=5, least=80, doc_id="__row").groups(keyed.select("__row", "text"))
+    groups = groups.filter("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__row"))
+    groups = groups.agg(F.min("component_id").alias("group"), F.count("*").alias("copies"))
+    ids = keyed.filter("doc_id is not null").select("__row", "doc_id").distinct()
+    groups = stored(groups.join(ids, "__row"), "groups")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    gone = groups.join(first, "group").filter(F.col("__row") != F.col("first.__row")).select("__row")
+    kept = keyed.join(gone, "__row", "left_anti")
+    # only rows that occur several times, with id and text, need another look
+    again = stored(groups.filter("copies > 1").select("__row"), "again")
+    if not again.isEmpty():
+        place = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+        several = kept.join(again, "__row", "left_semi").withColumn("__place", place).filter("__place = 1").drop("__place")
+        kept = kept.join(again, "__row", "left_anti").unionByName(several)
+    return kept.select(*docs.columns)
 
 
 def benchmark_passages(spark, docs, sf_dir):

@@ -85,3 +85,14 @@ def test_near_duplicates_link_from_four_fifths_of_five_words(spark, sf):
     docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
     left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
     assert left == sorted(d for d, _, c in brute_groups([r[:2] for r in rows], size=5, least=80) if d == c) == [0, 2]
+
+
+def test_rows_that_share_an_id_go_only_for_a_near_copy(spark, sf):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (1, None), (1, " "), (2, one), (3, three), (3, three), (3, three + " more"), (3, ""), (None, one), (0, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf)
+    left = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns and sum(r in ((3, three), (3, three + " more")) for r in left) == 1
+    want = [(1, one), (1, None), (1, " "), (3, ""), (None, one), (0, two)]
+    assert sorted((r for r in left if r[0] != 3 or not r[1]), key=repr) == sorted(want, key=repr)
