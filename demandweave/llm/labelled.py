@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandweave.session import stored
+
 from .words import in_batches, small_batches, text_buffer, with_columns
 
 
@@ -25,22 +27,28 @@ def held_out(doc_id, modulus: int, rest: int) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_class: int) -> Sample:
-    """At most ``per_class`` distinct texts of each label, the first by a hash of their id. Only rows that are
-    not held out are read. An id with two labels, and a null label, teach nothing."""
+    """At most ``per_class`` distinct texts of each label, the first by a hash of their smallest id; equal texts are
+    one before they are counted. Only rows that are not held out are read. An id or a text with two labels, and a
+    null label, teach nothing."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(~held_out("doc_id", modulus, rest))
     known = known.groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("label")).filter("low = label")
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    first = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
+    texts = docs.filter("text is not null").select("doc_id", "text", F.xxhash64("text").alias("key"))
+    distinct = (
+        texts.select("doc_id", "key")
+        .join(known.select("doc_id", "label"), "doc_id")
+        .groupBy("key")
+        .agg(F.min("label").alias("label"), F.max("label").alias("high"), F.min("doc_id").alias("id"))
+        .filter("label = high")
+    )
+    distinct = stored(distinct.select("key", "label", "id"), "distinct")
+    first = [distinct.filter(F.col("label") == v).orderBy(F.xxhash64("id"), "id", "key").limit(per_class) for v in (0, 1)]
     chosen = first[0].unionByName(first[1])
     rows = (
-        docs.select("doc_id", "text")
-        .filter("text is not null")
-        .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-        .groupBy(F.xxhash64("text").alias("key"))
-        .agg(F.first("text").alias("text"), F.min("label").alias("label"), F.max("label").alias("high"), F.min("doc_id").alias("id"))
-        .filter("label = high")
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(2 * per_class)
+        texts.join(F.broadcast(chosen.withColumnRenamed("id", "doc_id")), ["doc_id", "key"])
+        .groupBy("key", "doc_id", "label")
+        .agg(F.first("text").alias("text"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "key")
         .select("text", "label")
         .collect()
     )

@@ -1,5 +1,7 @@
 """Classifiers by held-out accuracy and odd rows."""
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,27 @@ def test_sample_leaves_out_held_out_and_contradicted_rows(spark):
     assert labelled.sample(docs.limit(0), labels.limit(0), "toxic", 4, 2, 10).texts == []
 
 
+def test_copies_take_one_place_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "copy" if i < 400 else f"text {i}") for i in range(440)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i >= 400 else 1) for i in range(440)], "doc_id long, toxic int")
+    found = labelled.sample(docs, labels, "toxic", 1, 1, 21)
+    assert sorted(found.texts) == sorted({r["text"].encode() for r in docs.collect()}) and sum(found.labels) == 21
+    small = labelled.sample(docs, labels, "toxic", 1, 1, 10)
+    assert len(set(small.texts)) == len(small.texts) == 20 and sum(small.labels) == 10
+
+
+@pytest.mark.parametrize("label, model, modulus, rest, least", CASES)
+def test_held_out_rows_are_ranked_by_the_models_in_use(spark, sf, label, model, modulus, rest, least):
+    per_class = sys.modules[model.__module__].PER_CLASS
+    sf = sf.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = labelled.sample(docs, labels, label, modulus, rest, per_class)
+    assert max(known.labels.count(0), known.labels.count(1)) <= per_class
+    test = labels.filter(labelled.held_out("doc_id", modulus, rest)).select("doc_id", label)
+    scored = labelled.scored(docs.join(test, "doc_id"), model(known)).select("score", label).toPandas()
+    assert ranked(scored["score"].to_numpy(), scored[label].to_numpy()) >= least
+
+
 def test_windows_cover_every_byte():
     ends = np.array([0, 0, 1, 32, 33, 200])
     spans, row = windows(ends)
