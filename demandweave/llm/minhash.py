@@ -7,11 +7,13 @@ of them once in 20 million, a closer one less often. Pairs that meet, and whose
 are decided on their full sets.
 
 * Equal sets are one node from the start: copies cost one row each.
-* In a band all nodes are first paired with one of them, the pivot, and each node is proved against its most similar
-  pivot. Groups of near copies become one component that way, without their pairs being listed.
+* In a band all nodes are first paired with one of them, the pivot: the one that meets the most others over all its
+  bands, as the origin of many near copies does. Each node is proved against its most similar pivot first. Groups of
+  near copies become one component that way, without their pairs being listed.
 * What a band still holds apart is compared in cells of sizes, a cell and the one above it. Small cells are compared
   within a task. Large ones are dealt into blocks, and each pair of blocks is a group of its own, so no group grows
-  with the data and no pair is left out. Nodes that are in one component already are not compared.
+  with the data and no pair is left out. Nodes that are in one component already are not compared, and a pair is
+  named by the first band that it shares only.
 
 Sets are compared by 64-bit shingle hashes and told apart by a 64-bit hash of the set. They are not kept: those that
 some pair needs are made again.
@@ -37,10 +39,10 @@ from .components import components
 from .words import SPACES, byte_table, flat_words, in_batches, mixed, small_batches, window_hashes, word_hashes
 
 TABLE = byte_table(SPACES, lower=True)
-PERMUTATIONS, ROWS = 64, 4
-#: Share of the signature in which a pair must agree to be proved. One of similarity 0.8 stays below 0.55 with a
-#: probability under 1e-10 (128 values, standard deviation 0.035).
-AGREE = 0.55
+PERMUTATIONS, ROWS = 96, 5
+#: Share of the signature in which a pair must agree to be proved, that much below ``least``: 5.2 standard deviations
+#: of 192 values at a similarity of 0.8, a chance of one in ten million.
+SLACK = 0.15
 #: Nodes of a band and a cell of sizes that are compared in one group.
 BLOCK = 256
 #: Bits of the filter that finds the documents whose sets are needed; a fixed 4 MB.
@@ -93,7 +95,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signature_matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.uint16) for x in column.to_pylist()])
+    """A row of bytes per document: one value in 256 agrees by chance, which never hides a pair."""
+    return np.stack([np.frombuffer(x, np.uint8) for x in column.to_pylist()])
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ class MinMaxDedup:
             for batch in small_batches(batches, "text"):
                 sets = shingle_sets(batch.column("text"), size)
                 signature = signatures([s for s in sets if len(s)], permutations)
-                full = zip(band_keys(signature, rows).tolist(), signature.astype(np.uint16))
+                full = zip(band_keys(signature, rows).tolist(), signature.astype(np.uint8))
                 rest = [(node_of(s), *next(full)) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -139,17 +142,18 @@ class MinMaxDedup:
     # what meets in a band
 
     def _met(self, content: DataFrame) -> DataFrame:
-        """(key, node, n, pivot) of the bands that several nodes share; the pivot is the smallest set among them."""
+        """(key, node, n, pivot) of the bands that several nodes share."""
         bands = stored(content.select(F.explode("bands").alias("key"), "node", "n"), "bands")
-        shared = bands.groupBy("key").agg(
-            F.min(F.struct("n", "node")).alias("first"), F.min("node").alias("low"), F.max("node").alias("high")
-        )
-        return bands.join(shared.filter("low < high").select("key", F.col("first.node").alias("pivot")), "key")
+        shared = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+        met = stored(bands.join(shared, "key"), "shared")
+        degree = met.groupBy("node").agg(F.sum("members").alias("degree"))
+        pivots = met.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+        return met.drop("members").join(pivots, "key")
 
     def _open(self, met: DataFrame, labels: DataFrame, content: DataFrame) -> DataFrame:
         """Pairs of nodes that share a band, have sizes within reach, are in different components, and whose
         signatures agree enough."""
-        least, block, floor = self.least, self.block, AGREE
+        least, block, floor = self.least, self.block, self.least / 100 - SLACK
         own = met.select("key", "node", "n").join(labels, "node", "left")
         own = own.withColumn("component", F.coalesce("component", "node"))
         parted = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -157,7 +161,8 @@ class MinMaxDedup:
         step = 1.001 * float(np.log(100 / least))
         # linked sets lie in the same cell of sizes or in the next one: each cell also gets the one above it
         cell = F.floor(F.log(F.col("n").cast("double")) / step)
-        own = stored(own.withColumn("cell", F.explode(F.array(cell, cell - 1))), "open")
+        own = own.withColumn("cell", F.explode(F.array(cell, cell - 1))).withColumn("home", F.col("cell") == cell)
+        own = stored(own, "open")
         # one component in a cell has nothing to compare
         cells = own.groupBy("key", "cell").agg(
             F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
@@ -167,23 +172,30 @@ class MinMaxDedup:
         mine = F.pmod(F.hash("node"), "blocks")
         own = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         group = F.xxhash64("key", "cell", F.least("mine", "other"), F.greatest("mine", "other"))
-        own = own.select(group.alias("group"), "node", "n", "component").join(content.select("node", "signature"), "node")
+        own = own.select(group.alias("group"), "key", "node", "n", "component", "home")
+        own = own.join(content.select("node", "signature", "bands"), "node")
         own = own.repartition("group").sortWithinPartitions("group", "n", "node")
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            group, node, n, component = (table.column(c).to_numpy() for c in ("group", "node", "n", "component"))
+            group, key, node, n, component, home = (
+                table.column(c).to_numpy() for c in ("group", "key", "node", "n", "component", "home")
+            )
             signature = signature_matrix(table.column("signature"))
+            bands = table.column("bands").combine_chunks()
+            bands = bands.flatten().to_numpy().reshape(len(group), -1)
             out, at, step = [], np.arange(len(group)), 1
             while len(at):
                 at = at[at + step < len(group)]
                 at = at[(group[at] == group[at + step]) & (100 * n[at] >= least * n[at + step])]
                 for i in range(0, len(at), 8192):
                     x = at[i : i + 8192]
-                    x = x[component[x] != component[x + step]]
+                    x = x[(component[x] != component[x + step]) & (home[x] | home[x + step])]
                     x = x[(signature[x] == signature[x + step]).mean(1) >= floor]
+                    shared = bands[x] == bands[x + step]
+                    x = x[bands[x, shared.argmax(1)] == key[x]]
                     out.append(np.stack([node[x], node[x + step]], 1))
                 step += 1  # sizes ascend: beyond the window nothing comes back
-            out = np.unique(np.sort(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=1), axis=0)
+            out = np.sort(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=1)
             return pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
         def run(batches):
@@ -206,7 +218,7 @@ class MinMaxDedup:
 
     def _alike(self, pairs: DataFrame, content: DataFrame) -> DataFrame:
         """Pairs whose signatures agree enough, with the share in which they do."""
-        least, floor, both = self.least, AGREE, pairs.distinct()
+        least, floor, both = self.least, self.least / 100 - SLACK, pairs.distinct()
         small = content.select("node", "n", "signature")
         for side in "ab":
             both = both.join(small.toDF(side, f"n_{side}", f"signature_{side}"), side)
