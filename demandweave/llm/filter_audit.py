@@ -5,8 +5,7 @@ the text's hash, the exact text and the id. Failures of all five are united per
 bits, and combinations are counted per part. Everything else follows from at most 32 counts a part, so all 120
 orders cost nothing more.
 
-Copies of one text meet as one row per task before they travel, and the rows of a text with many copies are dealt
-over as many salts as its count asks for.
+Copies of one text meet as one row per task before they travel, and the rows of a text are dealt over salts.
 
 Defined cases: a null text is empty, a null part the empty string. Empty texts have no words: they fail the
 word count alone, and the copy filter when a smaller id is empty as well. Each row is a document of its own; rows
@@ -28,8 +27,8 @@ from demandweave.session import stored
 WORD, LETTERS, SYMBOLS = r"[^\x20\x09-\x0D]+", "[^A-Z]+", "[#$%&*|]"
 FILTERS = "ABCDE"
 BIT = {name: 1 << k for k, name in enumerate(FILTERS)}
-#: Rows with one text that one salt takes.
-SALT_ROWS = 5_000
+#: Tasks over which the rows of one text are dealt; adaptive execution splits further.
+SALTS = 16
 
 
 def text_failures(text: Column) -> Column:
@@ -47,13 +46,13 @@ def text_failures(text: Column) -> Column:
 
 def copies(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """(doc_id, key, part) of the rows whose text a smaller id has as well. ``keyed`` has doc_id and key of ``docs``."""
-    met = keyed.filter("doc_id is not null").groupBy("key")
-    met = met.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    met = met.filter("least < most").select("key", "least", F.floor(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    texts = docs.select("doc_id", "part", "text", F.md5("text").alias("key")).filter("doc_id is not null").join(met, "key")
-    witness = texts.groupBy("key", "text", "salts").agg(F.min("doc_id").alias("smaller"))
-    witness = witness.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts")
-    later = texts.filter("doc_id > least").withColumn("salt", F.pmod(F.hash("doc_id"), F.col("salts") + 1))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    met = keyed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    met = met.filter("least < most").select("key", "least", salts)
+    texts = docs.select("doc_id", "part", "text", F.md5("text").alias("key")).filter("doc_id is not null")
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(met, ["key", "salt"])
+    witness = texts.groupBy("key", "text").agg(F.min("doc_id").alias("smaller")).select("key", "text", "smaller", salts)
+    later = texts.filter("doc_id > least")
     return (
         later.alias("l")
         .join(
