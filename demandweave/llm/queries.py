@@ -12,6 +12,7 @@ from demandweave.session import stored
 
 from . import (
     bpe,
+    collocations,
     decontaminate,
     filter_audit,
     jaccard_join,
@@ -284,3 +285,48 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """
+
+
+@query
+def op13_collocations(spark, sf):
+    return collocations.Collocations().top_phrases(table(spark, sf, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS body FROM documents)
+), t AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), x AS (
+  SELECT lang, piece, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p WHERE len(w) > 0
+), g AS MATERIALIZED (
+  SELECT lang, x AS a, lead(x, 1) OVER s AS b, lead(x, 2) OVER s AS c, lead(x, 3) OVER s AS d
+  FROM x WINDOW s AS (PARTITION BY piece ORDER BY i)
+), f AS MATERIALIZED (
+  SELECT lang, q, count(*) AS a, string_split(q, ' ') AS w, len(string_split(q, ' ')) AS k FROM (
+    SELECT lang, a AS q FROM g UNION ALL
+    SELECT lang, a || ' ' || b FROM g WHERE b IS NOT NULL UNION ALL
+    SELECT lang, a || ' ' || b || ' ' || c FROM g WHERE c IS NOT NULL UNION ALL
+    SELECT lang, a || ' ' || b || ' ' || c || ' ' || d FROM g WHERE d IS NOT NULL
+  ) GROUP BY lang, q HAVING count(*) >= 30
+), half AS (
+  SELECT lang, q, a, c, array_to_string(w[:c], ' ') AS first, array_to_string(w[c + 1:], ' ') AS rest
+  FROM f, unnest([1, 2, 3]) AS z(c) WHERE c < k
+), cut AS (
+  SELECT h.lang, h.q, h.a, c, x.a AS l, y.a AS r, (2000000::HUGEINT * h.a // (x.a + y.a))::BIGINT AS score
+  FROM half h JOIN f x ON x.lang = h.lang AND x.q = h.first JOIN f y ON y.lang = h.lang AND y.q = h.rest
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, q ORDER BY score, c) = 1
+), part AS (
+  SELECT lang, a, array_to_string(w[i:i + j - 1], ' ') AS q
+  FROM f, unnest([2, 3]) AS z(j), unnest([1, 2, 3]) AS y(i) WHERE j < k AND i + j - 1 <= k
+), inside AS (
+  SELECT DISTINCT lang, q FROM part JOIN f USING (lang, q) WHERE 100 * part.a >= 80 * f.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, q) AS rank, q AS phrase, a, l, r, score
+  FROM low ANTI JOIN inside USING (lang, q)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
