@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from demandweave.session import stored
 
 from .components import components
-from .words import SPACES, byte_table, flat_words, in_batches, mixed, small_batches, window_hashes, word_hashes
+from .words import SPACES, byte_table, hashed_words, in_batches, mixed, small_batches, window_hashes
 
 TABLE = byte_table(SPACES, lower=True)
 #: Documents of a region that are still compared pair by pair.
@@ -45,6 +45,8 @@ LARGE = 64
 #: bounds a broadcast; regions of others are joined all the same.
 FREQUENT, MOST_FREQUENT = 64, 500_000
 CELLS = 512
+#: Shingles that a task collects before it sends them on.
+FLUSH = 1 << 20
 #: Large regions that a document lists, the smallest of its own; listing fewer only repeats comparisons.
 LISTED = 16
 #: Central documents of a large region that its documents are compared with before all others.
@@ -55,8 +57,7 @@ FILTER_BITS, FILTER_PARTS = 1 << 25, 64
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    flat, offsets = flat_words(column, TABLE)
-    hashes = word_hashes(flat)
+    hashes, offsets = hashed_words(column, TABLE)
     windows = window_hashes(hashes, size)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -100,44 +101,58 @@ class JaccardJoin:
 
     # sets and nodes
 
-    def _nodes(self, docs: DataFrame) -> DataFrame:
+    def _nodes(self, docs: DataFrame, buckets: int) -> DataFrame:
+        """Rows of kind 0: a document's node, size and cell counts. Rows of kind 1: marks a and their counts b, of the
+        shingles that can come first: a fixed quarter of all, by hash."""
         size = self.size
 
+        def marked(held):
+            mark, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket = (mark % np.uint32(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            mark, n = mark[order], np.minimum(n[order], 255).astype(np.uint8)
+            full = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+            return rows(
+                kind=[1] * len(full),
+                bucket=[b for b, _, _ in full],
+                a=[mark[i:j].tobytes() for _, i, j in full],
+                b=[n[i:j].tobytes() for _, i, j in full],
+            )
+
+        def rows(**columns):
+            n = len(columns["kind"])
+            return pa.RecordBatch.from_pydict({c: pa.array(columns.get(c, [None] * n), t) for c, t in types.items()})
+
         def run(batches):
+            held, n = [], 0
             for batch in small_batches(batches, "text"):
                 sets = shingle_sets(batch.column("text"), size)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id"),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "node": pa.array([node_of(s) for s in sets], pa.int64()),
-                        "cells": pa.array([cell_counts(s) for s in sets], pa.binary()),
-                    }
+                nodes = [node_of(s) for s in sets]
+                all_of = np.concatenate([*dict(zip(nodes, sets)).values(), np.empty(0, np.uint64)])
+                held.append(marks(all_of[all_of < np.uint64(1 << 62)]))
+                n += len(held[-1])
+                yield rows(
+                    kind=[0] * len(sets),
+                    doc_id=batch.column("doc_id"),
+                    n_shingles=[len(s) for s in sets],
+                    node=nodes,
+                    cells=[cell_counts(s) for s in sets],
                 )
+                if n >= FLUSH:
+                    yield marked(held)
+                    held, n = [], 0
+            if n:
+                yield marked(held)
 
-        return in_batches(docs, run, "doc_id long, n_shingles long, node long, cells binary")
-
-    def _frequent(self, docs: DataFrame, buckets: int) -> np.ndarray:
-        """Marks of the most frequent of the shingles that can come first: a fixed quarter of all, by hash."""
-        size, frequent = self.size, self.frequent
+        types = {"kind": pa.int32(), "doc_id": pa.int64(), "n_shingles": pa.int64(), "node": pa.int64(), "cells": pa.binary()}
+        types |= {"bucket": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+        schema = "kind int, doc_id long, n_shingles long, node long, cells binary, bucket int, a binary, b binary"
+        return in_batches(docs, run, schema)
 
-        def count(batches):
-            for batch in small_batches(batches, "text"):
-                sets = {node_of(s): s for s in shingle_sets(batch.column("text"), size)}
-                all_of = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
-                mark, n = np.unique(marks(all_of[all_of < np.uint64(1 << 62)]), return_counts=True)
-                bucket = (mark % np.uint32(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                mark, n = mark[order], np.minimum(n[order], 255).astype(np.uint8)
-                ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(np.arange(buckets, dtype=np.int32)),
-                        "a": pa.array([mark[i:j].tobytes() for i, j in ends], pa.binary()),
-                        "b": pa.array([n[i:j].tobytes() for i, j in ends], pa.binary()),
-                    }
-                )
+    def _frequent(self, packed: DataFrame) -> np.ndarray:
+        """Marks of the most frequent of the shingles that can come first."""
+        frequent = self.frequent
 
         def total(batches):
             found, counts = [], []
@@ -151,7 +166,6 @@ class JaccardJoin:
             often = n > frequent
             yield pa.RecordBatch.from_pydict({"mark": pa.array(mark[often].astype(np.int64)), "n": pa.array(n[often])})
 
-        packed = in_batches(docs.select("text"), count, "bucket int, a binary, b binary").filter("length(a) > 0")
         counted = in_batches(packed.repartition("bucket"), total, "mark long, n long")
         top = counted.orderBy(F.desc("n"), "mark").limit(MOST_FREQUENT).select("mark").toPandas()
         return np.sort(top["mark"].to_numpy(np.int64).astype(np.uint32))
@@ -165,8 +179,8 @@ class JaccardJoin:
         last = docs.sparkSession.sparkContext.broadcast(frequent)
 
         def replicate(batches):
+            held, size_held = [], 0
             for batch in small_batches(batches, "text"):
-                tokens, nodes, ns = [], [], []
                 for node, own in {node_of(s): s for s in shingle_sets(batch.column("text"), size)}.items():
                     if node is None:
                         continue
@@ -175,36 +189,43 @@ class JaccardJoin:
                         at = np.minimum(np.searchsorted(last.value, own_marks), len(last.value) - 1)
                         late = last.value[at] == own_marks
                         own = np.concatenate([own[~late], own[late]]) if late.any() else own
-                    first = own[: region_count(len(own), least)]
-                    tokens.append(first)
-                    nodes.append(np.full(len(first), node))
-                    ns.append(np.full(len(first), len(own)))
-                if not tokens:
-                    continue
-                token, node, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(ns)
-                # a shingle frequent in this batch: its documents meet here, only their pivot travels
-                order = np.lexsort((node, token))
-                token, node, n = token[order], node[order], n[order]
-                start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                count = np.diff(np.append(start, len(token)))
-                large = np.repeat(count > most, count)
-                head = np.zeros(len(token), bool)
-                head[start] = True
-                bucket = (token % np.uint64(buckets)).astype(np.int32)
-                for kind, chosen in ((0, ~large | head), (1, large)):
-                    at = np.flatnonzero(chosen)
-                    at = at[np.argsort(bucket[at], kind="stable")]
-                    cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
-                    full = [(b, at[i:j]) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "kind": pa.array([kind] * len(full), pa.int32()),
-                            "bucket": pa.array([b for b, _ in full], pa.int32()),
-                            "a": pa.array([token[i].tobytes() for _, i in full], pa.binary()),
-                            "b": pa.array([node[i].tobytes() for _, i in full], pa.binary()),
-                            "n": pa.array([n[i].tobytes() for _, i in full], pa.binary()),
-                        }
-                    )
+                    first = own[: region_count(len(own), least)].copy()
+                    held.append((first, np.full(len(first), node), np.full(len(first), len(own))))
+                    size_held += len(first)
+                if size_held >= FLUSH:
+                    yield from regions(held)
+                    held, size_held = [], 0
+            if held:
+                yield from regions(held)
+
+        def regions(held):
+            token, node, n = (np.concatenate(x) for x in zip(*held))
+            # a shingle frequent in this task: its documents meet here, only their pivot travels
+            order = np.lexsort((node, token))
+            token, node, n = token[order], node[order], n[order]
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node, n = token[fresh], node[fresh], n[fresh]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(start, len(token)))
+            large = np.repeat(count > most, count)
+            head = np.zeros(len(token), bool)
+            head[start] = True
+            bucket = (token % np.uint64(buckets)).astype(np.int32)
+            for kind, chosen in ((0, ~large | head), (1, large)):
+                at = np.flatnonzero(chosen)
+                at = at[np.argsort(bucket[at], kind="stable")]
+                cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
+                full = [(b, at[i:j]) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "kind": pa.array([kind] * len(full), pa.int32()),
+                        "bucket": pa.array([b for b, _ in full], pa.int32()),
+                        "a": pa.array([token[i].tobytes() for _, i in full], pa.binary()),
+                        "b": pa.array([node[i].tobytes() for _, i in full], pa.binary()),
+                        "n": pa.array([n[i].tobytes() for _, i in full], pa.binary()),
+                    }
+                )
 
         def join(batches):
             got = {0: ([], [], []), 1: ([], [], [])}
@@ -397,13 +418,14 @@ class JaccardJoin:
         docs = docs.select(F.col(self.doc_id).cast("long").alias("doc_id"), F.col(self.text).alias("text"))
         spark = docs.sparkSession
         buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        nodes = stored(self._nodes(docs), "nodes")
+        read = stored(self._nodes(docs, buckets), "nodes")
+        nodes = read.filter("kind = 0").select("doc_id", "n_shingles", "node", "cells")
         named = nodes.filter("node is not null and doc_id is not null")
         classes = named.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells")
         )
         classes = stored(classes, "classes")
-        found = stored(self._candidates(docs, self._frequent(docs, buckets), buckets), "regions")
+        found = stored(self._candidates(docs, self._frequent(read.filter("kind = 1").select("bucket", "a", "b")), buckets), "regions")
         pivots, others, large = (found.filter(F.col("kind") == k) for k in (1, 2, 3))
         # an id with several texts joins their nodes
         several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")

@@ -7,6 +7,7 @@ list of its words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,55 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return distinct[coded.indices.to_numpy()] if len(flat) else np.empty(0, np.uint64)
 
 
+#: Words are hashed together up to so many bytes at a time (one longer word still goes whole).
+SLICE = 1 << 19
+_BASES = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93)
+
+
+@functools.cache
+def _hash_tables(n: int):
+    """Per base: a random value per byte, the powers of the base and those of its inverse, n of each."""
+    def power(base):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
+
+    out = []
+    for k, base in enumerate(_BASES):
+        values = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _B + np.uint64(k)) * _A)
+        out.append((values, power(base), power(pow(base, -1, 1 << 64))))
+    return out
+
+
+def hashed_words(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash per word of a text column in order, and an offset per row into them.
+
+    A word's bytes are the digits of a number to an odd base, made from running sums, so no word becomes an object.
+    Two such numbers with random digits are mixed into one hash."""
+    data, ends = text_buffer(column)
+    data = table[data]
+    inside = np.concatenate([data != 32, [False]])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = edge[ends] = True
+    first, last = inside.copy(), np.zeros(len(data) + 1, bool)
+    first[1:] &= ~inside[:-1] | edge[1:]
+    last[1:] = inside[:-1] & (~inside[1:] | edge[1:])
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last)
+    hashes, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(stops, at + SLICE, "right")))
+        n = int(stops[j - 1]) - at
+        a, b, own = starts[i:j] - at, stops[i:j] - at, data[at : at + n]
+        sums = []
+        for values, power, inverse in _hash_tables(SLICE if n <= SLICE else 1 << n.bit_length()):
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[own] * power[:n], dtype=np.uint64)])
+            sums.append((run[b] - run[a]) * inverse[a])
+        hashes[i:j] = mixed(mixed(sums[0]) * _B + sums[1])
+        i = j
+    return hashes, np.searchsorted(starts, ends)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _A
     return x ^ (x >> np.uint64(32))
