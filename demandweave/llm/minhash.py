@@ -36,7 +36,7 @@ from demandweave.session import stored
 
 from .bitmaps import bitmap, found
 from .components import components
-from .words import SPACES, byte_table, flat_words, in_batches, mixed, small_batches, window_hashes, word_hashes
+from .words import SPACES, byte_table, hashed_words, in_batches, mixed, small_batches, window_hashes
 
 TABLE = byte_table(SPACES, lower=True)
 PERMUTATIONS, ROWS = 96, 5
@@ -44,15 +44,14 @@ PERMUTATIONS, ROWS = 96, 5
 #: of 192 values at a similarity of 0.8, a chance of one in ten million.
 SLACK = 0.15
 #: Nodes of a band and a cell of sizes that are compared in one group.
-BLOCK = 256
+BLOCK = 1024
 #: Bits of the filter that finds the documents whose sets are needed; a fixed 4 MB.
 FILTER_BITS = 1 << 25
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    flat, offsets = flat_words(column, TABLE)
-    hashes = word_hashes(flat)
+    hashes, offsets = hashed_words(column, TABLE)
     windows = window_hashes(hashes, size)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -110,6 +109,13 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def cell_counts(shingles: np.ndarray) -> bytes:
+    """Shingles per cell. The L1 distance of two such counts never exceeds the symmetric difference of the sets;
+    clipping keeps distances from growing."""
+    counts = np.bincount((mixed(shingles) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 class MinMaxDedup:
     """``least`` is the similarity in hundredths from which documents link; ``size`` the words of a shingle."""
 
@@ -133,10 +139,11 @@ class MinMaxDedup:
                         "node": pa.array([r[0] for r in rest], pa.int64()),
                         "bands": pa.array([r[1] for r in rest], pa.list_(pa.int64())),
                         "signature": pa.array([None if r[2] is None else r[2].tobytes() for r in rest], pa.binary()),
+                        "cells": pa.array([cell_counts(s) if len(s) else None for s in sets], pa.binary()),
                     }
                 )
 
-        schema = "doc_id long, n_shingles long, node long, bands array<long>, signature binary"
+        schema = "doc_id long, n_shingles long, node long, bands array<long>, signature binary, cells binary"
         return in_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id())
 
     # what meets in a band
@@ -151,8 +158,8 @@ class MinMaxDedup:
         return met.drop("members").join(pivots, "key")
 
     def _open(self, met: DataFrame, labels: DataFrame, content: DataFrame) -> DataFrame:
-        """Pairs of nodes that share a band, have sizes within reach, are in different components, and whose
-        signatures agree enough."""
+        """Pairs of nodes that share a band, have sizes and cell counts within reach, are in different components, and
+        whose signatures agree enough."""
         least, block, floor = self.least, self.block, self.least / 100 - SLACK
         own = met.select("key", "node", "n").join(labels, "node", "left")
         own = own.withColumn("component", F.coalesce("component", "node"))
@@ -173,7 +180,7 @@ class MinMaxDedup:
         own = own.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         group = F.xxhash64("key", "cell", F.least("mine", "other"), F.greatest("mine", "other"))
         own = own.select(group.alias("group"), "key", "node", "n", "component", "home")
-        own = own.join(content.select("node", "signature", "bands"), "node")
+        own = own.join(content.select("node", "signature", "bands", "cells"), "node")
         own = own.repartition("group").sortWithinPartitions("group", "n", "node")
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -181,6 +188,7 @@ class MinMaxDedup:
                 table.column(c).to_numpy() for c in ("group", "key", "node", "n", "component", "home")
             )
             signature = signature_matrix(table.column("signature"))
+            cells = signature_matrix(table.column("cells")).astype(np.int16)
             bands = table.column("bands").combine_chunks()
             bands = bands.flatten().to_numpy().reshape(len(group), -1)
             out, at, step = [], np.arange(len(group)), 1
@@ -193,6 +201,8 @@ class MinMaxDedup:
                     x = x[(signature[x] == signature[x + step]).mean(1) >= floor]
                     shared = bands[x] == bands[x + step]
                     x = x[bands[x, shared.argmax(1)] == key[x]]
+                    gap = np.abs(cells[x] - cells[x + step]).sum(1, dtype=np.int64)
+                    x = x[(100 + least) * gap <= (100 - least) * (n[x] + n[x + step])]
                     out.append(np.stack([node[x], node[x + step]], 1))
                 step += 1  # sizes ascend: beyond the window nothing comes back
             out = np.sort(np.concatenate([*out, np.empty((0, 2), np.int64)]), axis=1)
@@ -280,7 +290,7 @@ class MinMaxDedup:
             F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n")
         )
         classes = stored(classes, "classes")
-        content = nodes.select("row", "bands", "signature").join(classes.select("row", "node", "n"), "row")
+        content = nodes.select("row", "bands", "signature", "cells").join(classes.select("row", "node", "n"), "row")
         content = stored(content.drop("row"), "content")
         met = stored(self._met(content), "met")
         # an id with several texts joins their nodes
