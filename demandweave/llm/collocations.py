@@ -5,7 +5,7 @@ mined completely at the support lowered to its share of all words, level by leve
 are frequent there, then three and four words all of whose pairs are. What is frequent in some shard is a candidate,
 and candidates are counted over all texts exactly.
 
-Texts are read once: words are stored as numbers into a short list of distinct words per batch. Counting travels as
+Texts are read once: words are stored as their numbers in a batch's list of distinct words. Counting travels as
 packed hashes, each with its count in a task. Bitmaps of fixed size stand for sets of frequent phrases: what they pass
 by chance is counted and dropped, so a full one costs time and loses nothing. The groups that are counted in one place
 hold a bounded number of phrases, as many groups as the number of words asks for.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +43,17 @@ SHARDS = 4
 #: Bits of the sets of frequent phrases: 16 MB.
 FILTER_BITS = 1 << 27
 #: Phrases that a task collects before it counts and sends them, and words per group that is counted in one place.
-FLUSH, GROUP_WORDS = 1 << 21, 2_000_000
+FLUSH, GROUP_WORDS = 1 << 20, 2_000_000
 
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text)
+def text_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def code_type(distinct: int) -> type:
+    return np.uint16 if distinct < 1 << 16 else np.uint32
 
 
 def pieces_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -68,13 +73,12 @@ def pieces_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Phrases:
     """The stored words of a batch as hashes, and the windows over them that no break cuts."""
 
-    def __init__(self, lang: int, hashes: bytes, codes: bytes):
-        self.codes = np.frombuffer(codes, np.int32)
-        self.own = np.frombuffer(hashes, np.uint64)
-        self.lang = np.array([lang], np.uint64)
-        self.breaks = self.codes < 0
+    def __init__(self, lang: int, own: np.ndarray, codes: bytes):
+        self.codes, self.own = np.frombuffer(codes, code_type(len(own))).astype(np.int64), mixed(own)
+        self.lang = np.array([lang], np.int64).view(np.uint64)
+        self.breaks = self.codes == 0
         self.cut = np.cumsum(self.breaks)
-        self.words = mixed(self.own[np.maximum(self.codes, 0)])
+        self.words = self.own[np.maximum(self.codes, 1) - 1]
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each window of k words, and whether it lies within a piece."""
@@ -85,6 +89,15 @@ class Phrases:
         return out, ~self.breaks[:n] & (self.cut[k - 1 :][:n] == self.cut[:n])
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def widened(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64)
+
+
 def per_shard(hashes: np.ndarray, shard: int) -> np.ndarray:
     """The hash of a phrase in one shard."""
     return mixed(hashes ^ mixed(np.array([shard + 1], np.uint64)))
@@ -98,11 +111,12 @@ class Collocations:
         self.text, self.lang = text, lang
 
     def coded(self, docs: DataFrame) -> DataFrame:
-        """(row, lang, shard, n_words, words, hashes, codes): the words of a batch of texts of one language."""
+        """(row, lang, shard, n_words, words, hashes, codes): the words of a batch of texts of one language. Words are
+        numbered from 1 in the list of distinct ones, 0 ends a piece. A task's texts make one shard's."""
         shards = self.shards
 
         def run(batches):
-            turn = 0
+            shard = TaskContext.get().partitionId() % shards
             for batch in small_batches(batches, "text"):
                 langs = batch.column("lang")
                 out = {c: [] for c in ("lang", "shard", "n_words", "words", "hashes", "codes")}
@@ -112,96 +126,96 @@ class Collocations:
                         continue
                     coded = words.dictionary_encode()
                     distinct = coded.dictionary.to_pylist()
-                    at = np.flatnonzero(np.diff(piece)) + 1
+                    ends = np.flatnonzero(np.diff(piece)) + 1
+                    codes = np.insert(coded.indices.to_numpy() + 1, ends, 0)
                     out["lang"].append(lang)
+                    out["shard"].append(shard)
                     out["n_words"].append(len(words))
-                    out["words"].append(distinct)
-                    out["hashes"].append(np.fromiter(map(text_hash, distinct), np.uint64, len(distinct)).tobytes())
-                    out["codes"].append(np.insert(coded.indices.to_numpy(), at, -1).astype(np.int32).tobytes())
-                    out["shard"].append((batch_place + turn) % shards)
-                    turn += 1
-                types = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary())
+                    out["words"].append("\n".join(distinct))
+                    out["hashes"].append(text_hashes(distinct).tobytes())
+                    out["codes"].append(codes.astype(code_type(len(distinct))).tobytes())
+                types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
-        def placed(batches):
-            from pyspark import TaskContext
-
-            nonlocal batch_place
-            batch_place = TaskContext.get().partitionId()
-            yield from run(batches)
-
-        batch_place = 0
         docs = docs.select(
             F.col(self.text).alias("text"), F.coalesce(F.col(self.lang).cast("string"), F.lit("und")).alias("lang")
         )
-        schema = "lang string, shard int, n_words long, words array<string>, hashes binary, codes binary"
-        return in_batches(docs, placed, schema).withColumn("row", F.monotonically_increasing_id())
+        schema = "lang string, shard int, n_words long, words string, hashes binary, codes binary"
+        return in_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id())
 
     # counting
 
     def _counted(self, rows: DataFrame, phrases, groups: int, least: dict[int, int], place: bool = False) -> DataFrame:
-        """(hash, n, row, at) of the phrases with at least ``least[shard]`` occurrences in a shard.
-
-        ``phrases`` gives (hashes, times, places) of a stored batch. With ``place`` the row and position of one
-        occurrence come along, else they are 0."""
-
-        def count(batches):
-            held, size = {}, 0
-            for batch in batches:
-                for r in batch.to_pylist():
-                    hashes, times, at = phrases(r)
-                    held.setdefault(r["shard"], []).append((hashes, times, np.full(len(hashes), r["row"]), at))
-                    size += len(hashes)
-                    if size >= FLUSH:
-                        yield packed(held)
-                        held, size = {}, 0
-            if size:
-                yield packed(held)
+        """(hash, mark, n, row, at) of the phrases with at least ``least[shard]`` occurrences in a shard; mark is
+        their hash in the shard. ``phrases`` gives (hashes, times, places) of a stored batch. With ``place`` the row
+        and position of one occurrence come along, else they are 0."""
+        shards = self.shards
 
         def merged(parts):
-            hashes, times, rows, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(hashes, kind="stable")
+            hashes, times = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            order = np.argsort(hashes)
             hashes = hashes[order]
-            start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, int)
-            times = np.add.reduceat(times[order], start) if len(start) else times
-            return hashes[start], times, rows[order][start], at[order][start]
+            start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            times, first = np.add.reduceat(times[order], start), order[start]
+            if not place:
+                return hashes[start], times, None, None
+            at = np.concatenate([p[2] for p in parts])[first]
+            rows = np.concatenate([np.broadcast_to(p[3], len(p[0])) for p in parts])[first]
+            return hashes[start], times, at, rows
 
         def packed(held):
-            out = {c: [] for c in ("shard", "bucket", "h", "n", "row", "at")}
+            out = {c: [] for c in ("shard", "bucket", "h", "n", "at", "first_row", "row")}
             for shard, parts in held.items():
-                hashes, *rest = merged(parts)
+                hashes, times, at, rows = merged(parts)
                 bucket = (hashes >> np.uint64(20)) % np.uint64(groups)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(groups + 1, dtype=np.uint64))
-                hashes, rest = hashes[order], [x[order] for x in rest]
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    i, j = cuts[b], cuts[b + 1]
+                    own = order[cuts[b] : cuts[b + 1]]
                     out["shard"].append(shard)
                     out["bucket"].append(b)
-                    for c, x, t in zip(("h", "n", "row", "at"), (hashes, *rest), (np.uint64, np.int64, np.int64, np.int32)):
-                        wide = t if c != "n" else np.min_scalar_type(int(x[i:j].max()))
-                        out[c].append(x[i:j].astype(wide).tobytes() if c in "hn" or place else b"")
-            types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                    out["h"].append(hashes[own].tobytes())
+                    out["n"].append(narrow(times[own]))
+                    out["at"].append(narrow(at[own]) if place else b"")
+                    out["first_row"].append(rows[own].min() if place else 0)
+                    out["row"].append(narrow(rows[own] - rows[own].min()) if place else b"")
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
+        def count(batches):
+            held, size = {}, 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    own = phrases(r)
+                    if len(own[0]):
+                        held.setdefault(r["shard"], []).append((*own, r["row"]))
+                        size += len(own[0])
+                    if size >= FLUSH:
+                        yield packed(held)
+                        held, size = {}, 0
+            if held:
+                yield packed(held)
+
         def total(batches):
             held = {}
             for batch in batches:
                 for r in batch.to_pylist():
                     hashes = np.frombuffer(r["h"], np.uint64)
-                    times = np.frombuffer(r["n"], f"u{len(r['n']) // len(hashes)}").astype(np.int64)
-                    rows = np.frombuffer(r["row"], np.int64) if place else np.zeros(len(hashes), np.int64)
-                    at = np.frombuffer(r["at"], np.int32) if place else np.zeros(len(hashes), np.int32)
-                    held.setdefault((r["shard"], r["bucket"]), []).append((hashes, times, rows, at))
+                    n = len(hashes)
+                    at, row = (widened(r["at"], n), widened(r["row"], n) + r["first_row"]) if place else (None, 0)
+                    held.setdefault((r["shard"], r["bucket"]), []).append((hashes, widened(r["n"], n), at, row))
             for shard, bucket in sorted(held):
-                hashes, times, rows, at = merged(held.pop((shard, bucket)))
+                hashes, times, at, rows = merged(held.pop((shard, bucket)))
                 often = times >= least[shard]
-                cols = {"hash": hashes[often].view(np.int64), "n": times[often], "row": rows[often], "at": at[often]}
+                own, none = hashes[often], np.zeros(int(often.sum()), np.int64)
+                cols = {"hash": own.view(np.int64), "mark": per_shard(own, shard).view(np.int64), "n": times[often]}
+                cols |= {"row": rows[often] if place else none, "at": at[often] if place else none}
                 yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
 
-        schema = "shard int, bucket int, h binary, n binary, row binary, at binary"
-        sent = in_batches(rows, count, schema).repartition(groups, "shard", "bucket")
-        return in_batches(sent, total, "hash long, n long, row long, at int")
+        schema = "shard int, bucket int, h binary, n binary, at binary, first_row long, row binary"
+        sent = in_batches(rows, count, schema)
+        to = (F.col("bucket") + F.col("shard") * (groups // shards)) % groups
+        return in_batches(sent.repartitionById(groups, to.cast("int")), total, "hash long, mark long, n long, row long, at long")
 
     def frequent(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The stored batches, and (hash, n, row, at) of every phrase of up to LONGEST words with ``support``
@@ -213,51 +227,51 @@ class Collocations:
         least = {s: max(1, math.ceil(support * w / total)) for s, w in words.items()}
         groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP_WORDS))
         plain = rows.select("row", F.xxhash64("lang").alias("lang"), "shard", "hashes", "codes")
-        share = lambda df: spark.sparkContext.broadcast(bitmap(df.select("hash"), bits))
+        share = lambda df, column: spark.sparkContext.broadcast(bitmap(df.select(F.col(column).alias("hash")), bits))
 
         def view(r):
-            return Phrases(np.int64(r["lang"]).view(np.uint64), r["hashes"], r["codes"])
+            return Phrases(r["lang"], np.frombuffer(r["hashes"], np.uint64), r["codes"])
 
         def single(r):
             p = view(r)
-            each = mixed((p.lang + np.uint64(1)) * _B + mixed(p.own))
-            return per_shard(each, r["shard"]), np.bincount(p.codes[p.codes >= 0], minlength=len(each)), np.zeros(len(each), np.int32)
+            each = mixed((p.lang + np.uint64(1)) * _B + p.own)
+            return each, np.bincount(p.codes, minlength=len(each) + 1)[1:], None
 
         def distinct(hashes):
             hashes, times = np.unique(hashes, return_counts=True)
-            return hashes, times, np.zeros(len(hashes), np.int32)
+            return hashes, times, None
 
-        def all_of(p, shard, known, k):
+        def known(p, shard, bits, k):
             """Whether each window of k words is known in the shard."""
             hashes, within = p.windows(k)
-            return found(known, per_shard(hashes, shard)) & within
+            within[within] = found(bits, per_shard(hashes[within], shard))
+            return within
 
-        words_known = stored(self._counted(plain, single, groups, least).select("hash"), "mined")
-        known1 = share(words_known)
+        ones = stored(self._counted(plain, single, groups, least).select("hash", "mark"), "mined")
+        known_ones = share(ones, "mark")
 
         def double(r):
             p = view(r)
-            one = all_of(p, r["shard"], known1.value, 1)
+            each = mixed((p.lang + np.uint64(1)) * _B + p.own)
+            one = found(known_ones.value, per_shard(each, r["shard"]))[np.maximum(p.codes, 1) - 1]
             hashes, within = p.windows(2)
-            return distinct(per_shard(hashes[within & one[:-1] & one[1:]], r["shard"]))
+            return distinct(hashes[within & one[:-1] & one[1:]])
 
-        pairs_known = stored(self._counted(plain, double, groups, least).select("hash"), "mined")
-        known2 = share(pairs_known)
+        twos = stored(self._counted(plain, double, groups, least).select("hash", "mark"), "mined")
+        known_twos = share(twos, "mark")
 
         def longer(r):
-            p = view(r)
-            two = all_of(p, r["shard"], known2.value, 2)
-            out = []
+            p, out = view(r), []
+            two = known(p, r["shard"], known_twos.value, 2)
             for k in range(3, LONGEST + 1):
                 hashes, within = p.windows(k)
                 for j in range(k - 1):
-                    within = within & two[j : j + len(within)]
-                out.append(per_shard(hashes[within], r["shard"]))
+                    within &= two[j : j + len(within)]
+                out.append(hashes[within])
             return distinct(np.concatenate(out))
 
-        long_known = stored(self._counted(plain, longer, groups, least).select("hash"), "mined")
-        united = share(words_known.unionByName(pairs_known).unionByName(long_known))
-        shards = sorted(words)
+        more = stored(self._counted(plain, longer, groups, least).select("hash", "mark"), "mined")
+        united = share(ones.unionByName(twos).unionByName(more), "hash")
 
         def candidates(r):
             """Windows that are frequent in some shard, with a place of each."""
@@ -265,30 +279,27 @@ class Collocations:
             for k in range(1, LONGEST + 1):
                 hashes, within = p.windows(k)
                 at = np.flatnonzero(within)
-                hashes = hashes[at]
-                first, place, times = np.unique(hashes, return_index=True, return_counts=True)
-                some = np.zeros(len(first), bool)
-                for shard in shards:
-                    some |= found(united.value, per_shard(first, shard))
-                out.append((first[some], times[some], at[place][some] * (LONGEST + 1) + k))
+                at = at[found(united.value, hashes[at])]
+                first, place, times = np.unique(hashes[at], return_index=True, return_counts=True)
+                out.append((first, times, at[place] * (LONGEST + 1) + k))
             return tuple(np.concatenate(x) for x in zip(*out))
 
         one_place = plain.withColumn("shard", F.lit(0))
-        return rows, stored(self._counted(one_place, candidates, groups, {0: support}, place=True), "frequent")
+        return rows, stored(self._counted(one_place, candidates, groups, {0: support}, place=True).drop("mark"), "frequent")
 
     # scoring
 
     def _spelled(self, rows: DataFrame, often: DataFrame) -> DataFrame:
         """(lang, hash, k, a, phrase, parts) of frequent phrases; parts are the hashes of all shorter windows in it."""
         where = often.groupBy("row").agg(F.collect_list(F.struct("at", "hash", "n")).alias("places"))
-        met = rows.select("row", "lang", F.xxhash64("lang").alias("lang_hash"), "words", "hashes", "codes").join(where, "row")
+        met = rows.select("row", "lang", F.xxhash64("lang").alias("lang_hash"), "words", "codes").join(where, "row")
 
         def run(batches):
             for batch in batches:
                 for i in range(len(batch)):
                     r = batch.slice(i, 1).to_pylist()[0]
-                    words = r["words"]
-                    p = Phrases(np.int64(r["lang_hash"]).view(np.uint64), r["hashes"], r["codes"])
+                    words = r["words"].split("\n")
+                    p = Phrases(r["lang_hash"], text_hashes(words), r["codes"])
                     of = [p.windows(k)[0].view(np.int64) for k in range(1, LONGEST + 1)]
                     out = {c: [] for c in ("lang", "hash", "k", "a", "phrase", "parts")}
                     for place in r["places"]:
@@ -297,7 +308,7 @@ class Collocations:
                         out["hash"].append(place["hash"])
                         out["k"].append(k)
                         out["a"].append(place["n"])
-                        out["phrase"].append(" ".join(words[c] for c in p.codes[at : at + k]))
+                        out["phrase"].append(" ".join(words[c - 1] for c in p.codes[at : at + k]))
                         parts = [(j, b) for j in range(1, k) for b in range(k - j + 1)]
                         out["parts"].append([{"k": j, "at": b, "hash": int(of[j - 1][at + b])} for j, b in parts])
                     yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
