@@ -19,10 +19,10 @@ TABLES = ("documents", "pages", "benchmark", "labels")
 
 def test_every_operator_has_a_query():
     names = [re.match(r"op(\d+)_", n) for n in entry.queries()]
-    assert sorted(int(m[1]) for m in names if m) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(m[1]) for m in names if m) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_jaccard_join", "op5_url_filters", "op8_decontamination", "op10_warc"])
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op5_url_filters", "op8_decontamination", "op10_warc", "op11_minhash_dedup", "op12_filter_audit", "op13_collocations"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
