@@ -103,8 +103,14 @@ NO_SOURCE = {"dim_product": [c for c in S.DIM_PRODUCT if c not in PRODUCT],
              "dim_tax": [c for c in S.DIM_TAX if c not in TAX]}
 
 
+def _no_source(dim):
+    kind = {"string": "VARCHAR"}
+    types = {c: S.DIMENSION_TYPES.get(c, "string") for c in NO_SOURCE[dim]}
+    return ", ".join(f"CAST(NULL AS {kind.get(t, t)}) AS {c}" for c, t in types.items())
+
+
 def _whole(dim):
-    return "SELECT *, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in NO_SOURCE[dim]) + f" FROM {dim}"
+    return f"SELECT *, {_no_source(dim)} FROM {dim}"
 
 
 query("dim_product_latest", _whole("dim_product"))(dim_product)
@@ -349,10 +355,10 @@ def purchase_silver(spark, sf):
     return silver.build_purchase(
         warehouse.build_fact_purchase_line(V.purchase(spark, sf)),
         warehouse.build_fact_purchase_header(V.compur(spark, sf)),
-        dim_supplier(spark, sf).drop(*NO_SOURCE["dim_supplier"]), dim_product(spark, sf), dim_date(spark, sf), as_of=AS_OF, rounded=False)
+        dim_supplier(spark, sf), dim_product(spark, sf), dim_date(spark, sf), as_of=AS_OF, rounded=False)
 
 
-query("purchase_silver", "SELECT * FROM purchase_full",
+query("purchase_silver", f"SELECT *, {_no_source('dim_supplier')} FROM purchase_full",
       cut="Purchase_Value Margin_Per_Unit Margin_Percentage")(purchase_silver)
 
 define("inventory_full", """
@@ -380,11 +386,11 @@ def inventory_silver(spark, sf):
     line = warehouse.build_fact_purchase_line(V.purchase(spark, sf))
     ship = V.table(spark, sf, "lineitem").select(
         F.date_add(F.to_date("l_shipdate"), 365).alias("EXP"))
-    return silver.build_inventory(line, dim_product(spark, sf).drop(*NO_SOURCE["dim_product"]),
+    return silver.build_inventory(line, dim_product(spark, sf),
                                   warehouse.dim_date_for(ship, ["EXP"]), as_of=AS_OF)
 
 
-query("inventory_silver", "SELECT * FROM inventory_full", cut="Inventory_Value")(inventory_silver)
+query("inventory_silver", "SELECT *, CAST(NULL AS VARCHAR) AS SUPNO FROM inventory_full", cut="Inventory_Value")(inventory_silver)
 
 query("medicine_silver", """
 SELECT MDCODE, upper(trim(MDNAME)) AS MDNAME, upper(trim(PACKG)) AS PACKG, 'UNKNOWN' AS DETAIL,
@@ -392,14 +398,16 @@ SELECT MDCODE, upper(trim(MDNAME)) AS MDNAME, upper(trim(PACKG)) AS PACKG, 'UNKN
   trim(upper(trim(MDNAME)) || ' ' || upper(trim(PACKG))) AS Product_Display_Name,
   CAST(DATE '2001-08-01' - NEWDT AS INTEGER) AS Product_Age_Days,
   CASE WHEN SMDT IS NOT NULL THEN 'ACTIVE' ELSE 'INACTIVE' END AS Product_Status,
-  coalesce(SUPCODE, '') <> '' AS Supplier_Available, HSN IS NOT NULL AS HSN_Available
+  coalesce(SUPCODE, '') <> '' AS Supplier_Available, HSN IS NOT NULL AS HSN_Available,
+  """ + _no_source("dim_product") + """
 FROM dim_product""")(lambda s, sf: silver.build_medicine(dim_product(s, sf), AS_OF))
 
 query("supplier_silver", """
 SELECT SUPNO, upper(trim(SUPNAME)) AS SUPNAME, upper(trim(SUPCODE)) AS SUPCODE, 'UNKNOWN' AS RNAME,
   RADD1, RADD2, trim(RADD3) AS RADD3, RADD4, trim(RPHON) AS RPHON, SOURCE_MONTH,
   upper(trim(SUPCODE)) || ' - ' || upper(trim(SUPNAME)) AS Supplier_Display,
-  trim(RPHON) <> '' AS Has_Contact, RADD1 || ', ' || trim(RADD3) AS Supplier_Address
+  trim(RPHON) <> '' AS Has_Contact, RADD1 || ', ' || trim(RADD3) AS Supplier_Address,
+  """ + _no_source("dim_supplier") + """
 FROM dim_supplier""")(lambda s, sf: silver.build_supplier(dim_supplier(s, sf)))
 
 

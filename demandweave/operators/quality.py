@@ -149,11 +149,33 @@ def validate_duplicates(tables: dict[str, DataFrame], duplicate_keys=None,
 def _orphan_keys(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Per-key child counts without a parent. Counting first collapses hot keys to one row each;
     a null key matches nothing and so is an orphan."""
+    kind = common_key_type(child.schema[child_key].dataType, parent.schema[parent_key].dataType)
     counts = child.groupBy(F.col(child_key).alias("key")).agg(F.count("*").alias("n"))
-    parents = parent.select(F.col(parent_key).alias("parent_key")).where(
+    counts = counts.withColumn("as_parent", F.col("key").cast(kind))
+    parents = parent.select(F.col(parent_key).cast(kind).alias("parent_key")).where(
         F.col("parent_key").isNotNull()).distinct()
-    return counts.join(parents, F.col("key") == F.col("parent_key"), "left").withColumn(
-        "orphan", F.col("parent_key").isNull())
+    return counts.join(parents, F.col("as_parent") == F.col("parent_key"), "left").withColumn(
+        "orphan", F.col("parent_key").isNull()).drop("as_parent")
+
+
+def common_key_type(child, parent) -> str:
+    """Type in which keys of two tables are equal exactly when their values are: the type of both, the wider of two
+    numbers, a day for two points in time, else text."""
+    if child == parent:
+        return child.simpleString()
+    if isinstance(child, T.NumericType) and isinstance(parent, T.NumericType):
+        whole = [t for t in (child, parent) if isinstance(t, T.IntegralType)]
+        if len(whole) == 2:
+            return "bigint"
+        exact = [t for t in (child, parent) if isinstance(t, T.DecimalType)]
+        if len(exact) + len(whole) == 2:
+            scale = max(t.scale for t in exact)
+            digits = max([t.precision - t.scale for t in exact] + [19] * len(whole))
+            return f"decimal({min(38, digits + scale)},{scale})"
+        return "double"
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in (child, parent)):
+        return "timestamp"
+    return "string"
 
 
 _ORPHANS = ["check_name", "parent_table", "child_table", "parent_key", "child_key", "child_rows", "orphan_rows",
@@ -178,10 +200,13 @@ def orphan_reports(child: DataFrame, checks: list[tuple], decimals: int | None =
     ]
     if not able:
         return union_all(failed)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c[4]).cast("string").alias("key")) for i, c in enumerate(able)])
+    kinds = [common_key_type(child.schema[c[4]].dataType, c[2].schema[c[5]].dataType) for c in able]
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c[4]).cast(kinds[i]).cast("string").alias("key")) for i, c in enumerate(able)])
     counts = child.select(F.explode(cells).alias("c")).groupBy("c.i", "c.key").agg(F.count("*").alias("n"))
     parents = union_all([
-        c[2].select(F.lit(i).alias("pi"), F.col(c[5]).cast("string").alias("pkey")).distinct() for i, c in enumerate(able)])
+        c[2].select(F.lit(i).alias("pi"), F.col(c[5]).cast(kinds[i]).cast("string").alias("pkey")).distinct()
+        for i, c in enumerate(able)])
     # a parent's rows without key count as rows, not as keys
     full = parents.groupBy("pi").agg(F.count("*").alias("parents"))
     met = counts.join(parents.where("pkey is not null"), (F.col("i") == F.col("pi")) & (F.col("key") == F.col("pkey")), "left")

@@ -90,8 +90,10 @@ def latest_snapshot(source: DataFrame, key: str, columns: list[str],
                     order: str = "chronological") -> DataFrame:
     """Row of the newest month per key. ``order='lexical'`` sorts the month tag as text instead."""
     require_columns(source, [key, "SOURCE_MONTH"], "snapshot table")
-    # the contract's schema is fixed: a column that the source lacks is there, and null
-    df = source.select(*[F.col(c) if c in source.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    # the contract's schema is fixed: a column that the source lacks is there, null and of the contract's type
+    df = source.select(*[
+        F.col(c) if c in source.columns else F.lit(None).cast(S.DIMENSION_TYPES.get(c, "string")).alias(c)
+        for c in columns])
     month = F.col("SOURCE_MONTH") if order == "lexical" else source_month_date(F.col("SOURCE_MONTH"))
     return first_per_key(df, [key], [month.desc_nulls_last(), *_tie_order(df, [key])])
 

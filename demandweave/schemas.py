@@ -24,6 +24,12 @@ FACT_PURCHASE_LINE = ["PINVNO", "MDCODE", "BAT", "EXP", "QTY", "FQTY", "PRATE",
 FACT_INVOICE_DUE = ["INVNO", "CCODE", "SCODE", "INVDT", "DUEDT", "NET_AMT", "CANCEL_ID",
                     "SOURCE_MONTH"]
 
+# Types of dimension columns that are not text.
+DIMENSION_TYPES = {
+    "NEWDT": "date", "SMDT": "date", "CST": "double", "TS": "double", "ST": "double", "SC": "double",
+    "RST": "double", "IGST": "double", "CGST": "double", "SGST": "double",
+}
+
 LANDING_TABLES = ["INVOICE", "INVDET", "MEDIMAST", "PURCHASE", "COMPUR", "SUPMAST", "SFILE", "TFILE"]
 
 # File name endings of the landing formats.
