@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandweave.session import stored
+
 from .fm_index import FMIndex
 from .words import byte_table, flat_words, in_batches, small_batches, text_buffer, with_columns
 
@@ -173,9 +175,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id"
            window=WINDOW, block_words=BLOCK_WORDS) -> DataFrame:
     """``docs`` with every hit span cut out of the text; where a cut brings words together so that a phrase
     arises anew, that goes too. Texts without a hit are not touched."""
-    sc, schema = docs.sparkSession.sparkContext, docs.schema
+    sc, schema, flagged = docs.sparkSession.sparkContext, docs.schema, "__cut"
 
-    def cutting(shared):
+    def cutting(shared, flag=None):
         def run(batches):
             phrases = shared.value
             for batch in small_batches(batches, text):
@@ -191,12 +193,31 @@ def remove(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id"
                         texts[rows[i]] = cut(texts[rows[i]], hit[offsets[i] : offsets[i + 1]])
                     rows = rows[touched]
                     column = pa.array([texts[i] for i in rows], pa.string())
-                yield batch if texts is None else with_columns(batch, **{text: pa.array(texts, pa.string())})
+                if texts is not None:
+                    changed = {text: pa.array(texts, pa.string())}
+                    if flag:
+                        before = batch.column(text).to_pylist()
+                        changed[flag] = pc.or_(batch.column(flag), pa.array([a != b for a, b in zip(texts, before)]))
+                    batch = with_columns(batch, **changed)
+                yield batch
 
         return run
 
     found = list(filter(None, blocks(benchmark, item_id, item_text, window, block_words)))
-    # a cut made for one block may join words into a phrase of an earlier one: those blocks look again
-    for phrases in found + found[:-1]:
-        docs = in_batches(docs, cutting(sc.broadcast(phrases)), schema)
-    return docs
+    if len(found) < 2:
+        for phrases in found:
+            docs = in_batches(docs, cutting(sc.broadcast(phrases)), schema)
+        return docs
+    # a cut made for one block may join words into a phrase of any other: rows that were cut look at all blocks again
+    while flagged in docs.columns:
+        flagged += "_"
+    clean = docs.limit(0)
+    while True:
+        docs = docs.withColumn(flagged, F.lit(False))
+        for phrases in found:
+            docs = in_batches(docs, cutting(sc.broadcast(phrases), flagged), docs.schema)
+        docs = stored(docs, "cut")
+        clean = clean.unionByName(docs.filter(~F.col(flagged)).drop(flagged))
+        docs = docs.filter(flagged).drop(flagged)
+        if docs.isEmpty():
+            return clean
