@@ -48,6 +48,19 @@ def url_key(url) -> F.Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), path)
 
 
+def one_line(url) -> F.Column:
+    """The URL with line breaks escaped, as header fields need it."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def utc(when) -> F.Column:
+    """A point in time as a WARC date, whatever the session's time zone."""
+    seconds = F.unix_seconds(when)
+    day, rest = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), F.pmod(seconds, F.lit(86400))
+    parts = [F.lpad(x.cast("string"), 2, "0") for x in (F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)]
+    return F.concat(day.cast("string"), F.lit("T"), F.concat_ws(":", *parts), F.lit("Z"))
+
+
 def shared_digests(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(digest, first_id, n_first) of payloads that several records carry: the smallest id and its rows."""
     body = F.coalesce(F.col(html), F.lit(""))
@@ -66,9 +79,9 @@ def captures(pages: DataFrame, page_id="page_id", url="url", html="html", captur
     when = captured if captured is not None else F.timestamp_seconds(F.pmod(F.coalesce(F.col(page_id), F.lit(0)), F.lit(10**9)))
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
-        F.coalesce(F.regexp_replace(url, r"[\r\n]", "%0A"), F.lit("")).alias("target"),
-        F.coalesce(url_key(F.col(url)), F.lit("")).alias("urlkey"),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
+        F.coalesce(one_line(F.col(url)), F.lit("")).alias("target"),
+        F.coalesce(url_key(one_line(F.col(url))), F.lit("")).alias("urlkey"),
+        utc(when).alias("captured"),
         body.alias("html"),
         F.sha2(body, 256).alias("digest"),
     )
