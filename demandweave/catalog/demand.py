@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import backtest as BT
-from ..operators import features, quality, series
+from ..operators import features, quality, series, smoothing
 from ..operators import forecast as FC
 from ..operators.warehouse import _tie_order, first_per_key
-from ..session import cut_lineage
+from ..session import cut_lineage, remember, work_folder
 from . import views as V
 from .etl import dim_date, fact_line
 from .registry import query
@@ -357,12 +359,38 @@ query("fc_daily_models", unpivot_sql(
     "Forecast_Date, CAST(h AS INTEGER) AS h", "state_end_brand, ahead30"), cut="Predicted")(
     lambda s, sf: FC.forecast_daily(daily(s, sf, "brand")))
 
+
+
+def monthly_states(spark, sf, grain, alone=3):
+    """States of a demand history of which the last months arrive one by one."""
+    d = stored_daily(spark, sf, grain).withColumn("month", F.trunc("INVDT", "month"))
+    last = d.agg(F.max("month")).first()[0]
+    store = smoothing.StateStore(spark, f"{work_folder(spark)}/states-{uuid.uuid4().hex}")
+    remember(spark, store.root)
+    if last is None:
+        return smoothing.segment_states(d)
+    store.load(d.where(F.col("month") <= F.add_months(F.lit(last), -alone)))
+    for k in range(alone - 1, -1, -1):
+        month = spark.range(1).select(F.add_months(F.lit(last), -k).cast("string")).first()[0]
+        states = store.add_month(month, d)
+    return states
+
+
+query("fc_daily_models_monthly", unpivot_sql(
+    models_sql("", "h"), "MDCODE AS Medicine_ID, CAST(cutoff + CAST(h AS INTEGER) AS DATE) AS "
+    "Forecast_Date, CAST(h AS INTEGER) AS h", "state_end_brand, ahead30"), cut="Predicted")(
+    lambda s, sf: smoothing.forecast_states(monthly_states(s, sf, "brand"), S.HORIZON))
+
 TSB_SQL = """
 SELECT MDCODE AS Medicine_ID, CAST(cutoff + CAST(h AS INTEGER) AS DATE) AS Forecast_Date,
   CASE WHEN k = 0 THEN 0 ELSE p * z END AS Predicted_Demand, CAST(n AS INTEGER) AS History_Days
 FROM {state}, ahead30"""
 query("fc_tsb", TSB_SQL.format(state="state_end_sup"), cut="Predicted_Demand")(
     lambda s, sf: FC.forecast_tsb(daily(s, sf), decimals=None))
+query("fc_tsb_monthly", TSB_SQL.format(state="state_end_sup"), cut="Predicted_Demand")(
+    lambda s, sf: FC.over_horizon(smoothing.model_state(monthly_states(s, sf, "sup")), S.HORIZON).select(
+        F.col("MDCODE").alias("Medicine_ID"), "Forecast_Date", FC.tsb().alias("Predicted_Demand"),
+        F.col("n").alias("History_Days")))
 define("state_router_sup", state_sql("hist_end_sup", start="f + 2"))
 query("fc_tsb_router", TSB_SQL.format(state="state_router_sup") + " WHERE n >= 3",
       cut="Predicted_Demand")(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.guards import require_no_violations
-from ..operators import backtest, quality, routing, series, serving
+from ..operators import backtest, quality, routing, series, serving, smoothing
 from ..sources import publish, tables
 
 
@@ -40,6 +40,14 @@ def run_monthly_forecast(spark: SparkSession, history: DataFrame, routing_table:
     return publish.write_run(forecast, requested, failed, root, run_id)
 
 
+def extend_states(spark: SparkSession, root: str, month: str, demand: DataFrame, horizon: int = S.HORIZON,
+                  models: list[str] | None = None) -> DataFrame:
+    """One month's demand added to the stored smoothing states, and the forecasts of the classical models from
+    them. Neither the lines nor the series of earlier months are read; a repeated run changes nothing."""
+    states = smoothing.StateStore(spark, root).add_month(month, demand)
+    return smoothing.forecast_states(states, horizon, models)
+
+
 def monthly_cycle(spark: SparkSession, line: DataFrame, invoice: DataFrame, routing_table: DataFrame,
                   root: str, run_id: str, inventory: DataFrame | None = None) -> dict:
     """Demand preparation, evaluation of the previous forecast on new actuals, forecast, alerts.

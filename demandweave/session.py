@@ -40,15 +40,16 @@ def stored(df: DataFrame, hint: str = "table") -> DataFrame:
     prunable, statistics are real, and the loss of executors costs nothing. Removed when the program ends."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{hint}-{uuid.uuid4().hex}"
+    remember(spark, path)  # before the write: a part of it may be left when it fails
     df.write.parquet(path)
-    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _stored: list[tuple[SparkSession, str]] = []
 
 
-def _remember(spark: SparkSession, path: str) -> None:
+def remember(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the program ends."""
     if not _stored:
         atexit.register(remove_stored)
     _stored.append((spark, path))
@@ -80,7 +81,7 @@ def ship_package(spark: SparkSession) -> None:
     out.write(bytearray(packed.getvalue()))
     out.close()
     sc.addPyFile(path)
-    _remember(spark, path.rpartition("/")[0])
+    remember(spark, path.rpartition("/")[0])
 
 
 _shipped: set[str] = set()

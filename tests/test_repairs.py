@@ -135,3 +135,20 @@ def test_stored_tables_live_in_the_work_folder(spark):
     df = stored(spark.range(5).withColumn("x", F.lit("y")))
     folder = work_folder(spark).split(":", 1)[-1].lstrip("/")
     assert df.count() == 5 and all(folder in f for f in df.inputFiles())
+
+
+def test_orphans_compare_keys_of_unlike_types(spark):
+    child = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    for kind in ("double", "bigint", "decimal(12,2)", "float"):
+        parent = spark.createDataFrame([(1,), (3,)], "k int").select(F.col("k").cast(kind))
+        report = Q.orphan_report(child, parent, "c", "child", "parent", "k", "k").first()
+        assert (report["child_rows"], report["orphan_rows"]) == (3, 2)
+        assert [r["k"] for r in Q.orphan_samples(child, parent, "k", "k").collect()] == [None, 2]
+
+
+def test_absent_dimension_columns_have_the_contract_types(spark):
+    source = spark.createDataFrame([("1", "JAN-01")], "TCODE string, SOURCE_MONTH string")
+    types = dict(WH.build_dim_tax(source).dtypes)
+    assert types["IGST"] == "double" and types["STATUS"] == "string"
+    product = spark.createDataFrame([("1", "JAN-01")], "MDCODE string, SOURCE_MONTH string")
+    assert dict(WH.build_dim_product(product).dtypes)["NEWDT"] == "date"
