@@ -33,17 +33,17 @@ from pyspark.sql import functions as F
 from demandweave.session import stored
 
 from .bitmaps import bitmap, found
-from .words import byte_table, flat_words, in_batches, mixed, small_batches, text_buffer
+from .words import byte_table, flat_words, in_batches, mixed, release, small_batches, text_buffer
 
 SPACES, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = byte_table(SPACES + BREAKS, lower=True)
 LONGEST = 4
-#: Shards, each dealt over the cluster as it is; support 30 becomes 8 in each.
-SHARDS = 4
+#: Shards, each dealt over the cluster as it is; support 30 becomes 10 in each.
+SHARDS = 3
 #: Bits of the sets of frequent phrases: 16 MB.
 FILTER_BITS = 1 << 27
 #: Phrases that a task collects before it counts and sends them, and words per group that is counted in one place.
-FLUSH, GROUP_WORDS = 1 << 20, 2_000_000
+FLUSH, GROUP_WORDS = 1 << 20, 1_500_000
 
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -52,6 +52,11 @@ def text_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def each_row(batch: pa.RecordBatch):
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def code_type(distinct: int) -> type:
     return np.uint16 if distinct < 1 << 16 else np.uint32
 
@@ -111,7 +116,7 @@ class Collocations:
         self.text, self.lang = text, lang
 
     def coded(self, docs: DataFrame) -> DataFrame:
-        """(row, lang, shard, n_words, words, hashes, codes): the words of a batch of texts of one language. Words are
+        """(row, lang, shard, n_words, words, codes): the words of a batch of texts of one language. Words are
         numbered from 1 in the list of distinct ones, 0 ends a piece. A task's texts make one shard's."""
         shards = self.shards
 
@@ -119,7 +124,7 @@ class Collocations:
             shard = TaskContext.get().partitionId() % shards
             for batch in small_batches(batches, "text"):
                 langs = batch.column("lang")
-                out = {c: [] for c in ("lang", "shard", "n_words", "words", "hashes", "codes")}
+                out = {c: [] for c in ("lang", "shard", "n_words", "words", "codes")}
                 for lang in pc.unique(langs).to_pylist():
                     words, piece = pieces_of(batch.filter(pc.equal(langs, lang)).column("text"))
                     if not len(words):
@@ -132,15 +137,14 @@ class Collocations:
                     out["shard"].append(shard)
                     out["n_words"].append(len(words))
                     out["words"].append("\n".join(distinct))
-                    out["hashes"].append(text_hashes(distinct).tobytes())
                     out["codes"].append(codes.astype(code_type(len(distinct))).tobytes())
-                types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+                types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
         docs = docs.select(
             F.col(self.text).alias("text"), F.coalesce(F.col(self.lang).cast("string"), F.lit("und")).alias("lang")
         )
-        schema = "lang string, shard int, n_words long, words string, hashes binary, codes binary"
+        schema = "lang string, shard int, n_words long, words string, codes binary"
         return in_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id())
 
     # counting
@@ -185,7 +189,7 @@ class Collocations:
         def count(batches):
             held, size = {}, 0
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in each_row(batch):
                     own = phrases(r)
                     if len(own[0]):
                         held.setdefault(r["shard"], []).append((*own, r["row"]))
@@ -195,11 +199,12 @@ class Collocations:
                         held, size = {}, 0
             if held:
                 yield packed(held)
+            release()
 
         def total(batches):
             held = {}
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in each_row(batch):
                     hashes = np.frombuffer(r["h"], np.uint64)
                     n = len(hashes)
                     at, row = (widened(r["at"], n), widened(r["row"], n) + r["first_row"]) if place else (None, 0)
@@ -211,6 +216,7 @@ class Collocations:
                 cols = {"hash": own.view(np.int64), "mark": per_shard(own, shard).view(np.int64), "n": times[often]}
                 cols |= {"row": rows[often] if place else none, "at": at[often] if place else none}
                 yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
+            release()
 
         schema = "shard int, bucket int, h binary, n binary, at binary, first_row long, row binary"
         sent = in_batches(rows, count, schema)
@@ -226,11 +232,11 @@ class Collocations:
         total = sum(words.values())
         least = {s: max(1, math.ceil(support * w / total)) for s, w in words.items()}
         groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / GROUP_WORDS))
-        plain = rows.select("row", F.xxhash64("lang").alias("lang"), "shard", "hashes", "codes")
+        plain = rows.select("row", F.xxhash64("lang").alias("lang"), "shard", "words", "codes")
         share = lambda df, column: spark.sparkContext.broadcast(bitmap(df.select(F.col(column).alias("hash")), bits))
 
         def view(r):
-            return Phrases(r["lang"], np.frombuffer(r["hashes"], np.uint64), r["codes"])
+            return Phrases(r["lang"], text_hashes(r["words"].split("\n")), r["codes"])
 
         def single(r):
             p = view(r)
@@ -296,8 +302,7 @@ class Collocations:
 
         def run(batches):
             for batch in batches:
-                for i in range(len(batch)):
-                    r = batch.slice(i, 1).to_pylist()[0]
+                for r in each_row(batch):
                     words = r["words"].split("\n")
                     p = Phrases(r["lang_hash"], text_hashes(words), r["codes"])
                     of = [p.windows(k)[0].view(np.int64) for k in range(1, LONGEST + 1)]
