@@ -46,7 +46,7 @@ LARGE = 64
 FREQUENT, MOST_FREQUENT = 64, 500_000
 CELLS = 512
 #: Shingles that a task collects before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Large regions that a document lists, the smallest of its own; listing fewer only repeats comparisons.
 LISTED = 16
 #: Central documents of a large region that its documents are compared with before all others.

@@ -7,6 +7,8 @@ list of its words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -68,7 +70,7 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
 
 
 #: Words are hashed together up to so many bytes at a time (one longer word still goes whole).
-SLICE = 1 << 19
+SLICE = 1 << 17
 _BASES = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93)
 
 
@@ -130,6 +132,13 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give unused memory back: the worker lives on, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about BATCH_BYTES of text."""
     for batch in batches:
@@ -139,7 +148,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # the worker lives on, and other stages need the memory
+    release()
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
