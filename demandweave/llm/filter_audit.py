@@ -51,6 +51,7 @@ def copies(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     met = met.filter("least < most").select("key", "least", salts)
     texts = docs.select("doc_id", "part", "text", F.md5("text").alias("key")).filter("doc_id is not null")
     texts = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(met, ["key", "salt"])
+    texts = stored(texts, "copies")  # of all texts, those that several ids seem to share
     witness = texts.groupBy("key", "text").agg(F.min("doc_id").alias("smaller")).select("key", "text", "smaller", salts)
     later = texts.filter("doc_id > least")
     return (
