@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions.guards import require_no_nulls, require_not_empty, require_unique
 from ..operators import joins, quality
-from ..session import work_folder
+from ..session import remember, work_folder
 from ..sources import landing, publish, tables
+from ..sources.fixedwidth import write_binary_table
 from . import views as V
 from .registry import query
 from .sqlbase import define
@@ -113,6 +114,56 @@ def landed_profile(spark, sf):
     return report.select("table", "column", "total_rows", "null_count", "unique_count")
 
 
+LANDED_ORDERS = """
+SELECT CAST(o_orderkey AS BIGINT) AS ORDERKEY, CAST(o_custkey AS BIGINT) AS CUSTOMER, CAST(o_orderdate AS DATE) AS ORDERDATE,
+  o_totalprice AS PRICE, o_orderstatus = 'F' AS DONE, o_orderpriority AS PRIORITY,
+  CASE WHEN year(o_orderdate) >= 1998 THEN o_orderkey % 7 END AS GRADE, 'JAN-' || strftime(o_orderdate, '%y') AS SOURCE_MONTH
+FROM orders WHERE o_orderstatus <> 'P'"""
+
+
+def land_orders(spark, sf) -> str:
+    """All orders as fixed-width files, a folder per year. Early years lack a column; pending orders are there as
+    deleted records."""
+    root = f"{work_folder(spark)}/landing-{uuid.uuid4().hex}"
+    remember(spark, root)
+    day = F.to_date("o_orderdate")
+    rows = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ORDERKEY"), F.col("o_custkey").alias("CUSTOMER"), day.alias("ORDERDATE"),
+        F.col("o_totalprice").alias("PRICE"), (F.col("o_orderstatus") == "F").alias("DONE"),
+        F.col("o_orderpriority").alias("PRIORITY"), F.pmod("o_orderkey", F.lit(7)).alias("GRADE"),
+        F.date_format(day, "'JAN-'yy").alias("SOURCE_MONTH"), (F.col("o_orderstatus") == "P").alias("pending"))
+    name = landing.file_name("ORDERS", "binary")
+    old = F.year("ORDERDATE") < 1998
+    write_binary_table(rows.where(old).drop("GRADE"), root, name, {"PRIORITY": 15}, "pending")
+    write_binary_table(rows.where(~old), root, name, {"PRIORITY": 15}, "pending")
+    return root
+
+
+@query("landed_orders", LANDED_ORDERS)
+def landed_orders(spark, sf):
+    df = landing.run_extract(spark, land_orders(spark, sf), ["ORDERS"], "binary")["ORDERS"]
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("ORDERKEY", "CUSTOMER", "GRADE")})
+
+
+@query("landed_orders_month", LANDED_ORDERS + " AND year(o_orderdate) = 1999")
+def landed_orders_month(spark, sf):
+    df = landing.read_month(spark, land_orders(spark, sf), "JAN-99", ["ORDERS"], "binary")["ORDERS"]
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("ORDERKEY", "CUSTOMER", "GRADE")})
+
+
+@query("landed_orders_columns", """
+SELECT month, count(*) AS parts_columns, max(position) AS last_position, max(dtype) FILTER (WHERE "column" = 'PRICE') AS price
+FROM (SELECT DISTINCT 'JAN-' || strftime(o_orderdate, '%y') AS month, year(o_orderdate) AS y FROM orders) m,
+  (VALUES ('ORDERKEY', 0, 'double'), ('CUSTOMER', 1, 'double'), ('ORDERDATE', 2, 'date'), ('PRICE', 3, 'double'),
+    ('DONE', 4, 'boolean'), ('PRIORITY', 5, 'string'), ('GRADE', 6, 'double')) c("column", position, dtype)
+WHERE y >= 1998 OR "column" <> 'GRADE' GROUP BY month""")
+def landed_orders_columns(spark, sf):
+    found = landing.landed_columns(spark, land_orders(spark, sf), ["ORDERS"], "binary").distinct()
+    return found.groupBy("month").agg(
+        F.count("*").alias("parts_columns"), F.max("position").alias("last_position"),
+        F.max(F.when(F.col("column") == "PRICE", F.col("dtype"))).alias("price"))
+
+
 @query("catalog_tables", """
 SELECT 'suppliers' AS "table", count(*) AS written, count(*) AS stored, sum(s_nationkey) AS checked FROM supplier
 UNION ALL SELECT 'parts', count(*), count(*), sum(p_size) FROM part""")
@@ -227,7 +278,10 @@ def orphan_sample(spark, sf):
     return quality.orphan_samples(events, V.table(spark, sf, "customer"), "user_id", "c_custkey")
 
 
-@query("comparison_splits", "SELECT 0 AS missing_validation, 1 AS missing_holdout FROM orders LIMIT 1")
+@query("comparison_splits", """
+SELECT CAST(count(*) FILTER (WHERE NOT v) AS INTEGER) AS missing_validation, CAST(count(*) FILTER (WHERE NOT h) AS INTEGER) AS missing_holdout
+FROM (SELECT bool_or(CAST(o_orderdate AS DATE) < DATE '2001-01-01') AS v, bool_or(CAST(o_orderdate AS DATE) >= DATE '2001-01-01') AS h FROM orders) s""")
 def comparison_splits(spark, sf):
-    rows = V.table(spark, sf, "orders").select("o_orderkey", F.lit("validation").alias("Split"))
+    split = F.when(F.to_date("o_orderdate") < "2001-01-01", "validation").otherwise("holdout")
+    rows = V.table(spark, sf, "orders").select("o_orderkey", split.alias("Split"))
     return quality.check_comparison_input(rows, ["o_orderkey"])

@@ -7,7 +7,6 @@ ranges of records, so one large file keeps many tasks busy, and a range is decod
 
 from __future__ import annotations
 
-import struct
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -18,13 +17,15 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.cleaning import source_month_date
 from ..session import ship_package
+from . import fixedwidth
+from .fixedwidth import HEADER_BYTES, parse_fields, parse_sizes
 
 #: Month folder and file (or folder) of a landed path; part files belong to the folder above them.
 _PATH = r"([^/]+)/([^/]+?)(?:/[^/]*part-[^/]*)?$"
 #: Bytes of records that one task decodes at a time.
 RANGE_BYTES = 16 << 20
-#: What a header may take at most: 32 bytes, and 32 for each of the format's 255 fields.
-HEADER_BYTES = 32 * 257
+#: Bytes of records that one task is dealt, a range at a time.
+TASK_BYTES = 8 * RANGE_BYTES
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _KINDS = {"N": "double", "F": "double", "D": "date", "L": "boolean"}
@@ -177,36 +178,27 @@ def _files(spark: SparkSession, root: str, table: str, month: str = "*") -> Data
     return files.select(F.regexp_extract("path", _PATH, 1).alias("month"), "path", "length", "content")
 
 
-def _headers(spark: SparkSession, root: str, table: str, month: str = "*") -> DataFrame:
-    """(month, path, records, header, record, fields) of every file, parsed where the file is read."""
+def _headers(spark: SparkSession, root: str, table: str, month: str = "*", seek: bool | None = None) -> DataFrame:
+    """(month, path, length, records, header, record, fields) of every file, parsed where the file is read."""
+    if _seekable(spark, root, seek):
+        return fixedwidth.headers(_files(spark, root, table, month))
     head = _files(spark, root, table, month).select(
         "month", "path", "length", F.expr(f"substring(content, 1, {HEADER_BYTES})").alias("content"))
-    parsed = F.udf(_fields, "array<struct<name:string,kind:string,at:int,width:int>>", useArrow=False)
+    parsed = F.udf(lambda raw: parse_fields(bytes(raw)), "array<struct<name:string,kind:string,at:int,width:int>>", useArrow=False)
     ship_package(spark)
-    counts = F.udf(_sizes, "struct<records:long,header:int,record:int>", useArrow=False)
+    counts = F.udf(lambda raw: parse_sizes(bytes(raw)), "struct<records:long,header:int,record:int>", useArrow=False)
     return head.select("month", "path", "length", counts("content").alias("s"), parsed("content").alias("fields")).select(
         "month", "path", "length", "s.*", "fields")
 
 
-def _sizes(raw) -> tuple[int, int, int]:
-    """Record count, header size, record size."""
-    return struct.unpack("<IHH", bytes(raw[4:12]))
+def _seekable(spark: SparkSession, root: str, seek: bool | None) -> bool:
+    return fixedwidth.scheme(spark, root) in fixedwidth.ARROW_SCHEMES if seek is None else seek
 
 
-def _fields(raw) -> list[tuple[str, str, int, int]]:
-    """(name, type, offset in the record, width) of each column; byte 0 of a record marks deletion."""
-    raw, out, at, offset = bytes(raw), [], 32, 1
-    while at + 32 <= len(raw) and raw[at] != 0x0D:
-        width = raw[at + 16]
-        out.append((raw[at:at + 11].split(b"\0")[0].decode("ascii"), chr(raw[at + 11]), offset, width))
-        at, offset = at + 32, offset + width
-    return out
-
-
-def binary_schema(spark: SparkSession, root: str, table: str, month: str = "*") -> T.StructType:
+def binary_schema(spark: SparkSession, root: str, table: str, month: str = "*", seek: bool | None = None) -> T.StructType:
     """Columns of one table over its files: the union of all headers, oldest month first. Headers are read on
     the executors; one row per distinct column and type comes back."""
-    heads = _headers(spark, root, table, month)
+    heads = _headers(spark, root, table, month, seek)
     cells = heads.select(source_month_date(F.col("month")).alias("day"), "month",
                          F.posexplode("fields").alias("position", "f"))
     rows = cells.groupBy("f.name", "f.kind").agg(
@@ -244,45 +236,60 @@ def _column(raw, dtype: str):
 
 
 def read_binary_table(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None,
-                      month: str = "*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+                      month: str = "*", range_bytes: int = RANGE_BYTES, seek: bool | None = None) -> DataFrame:
     """Binary snapshots of one table. A column that a file lacks is null, deleted records are skipped, values
-    that do not fit their declared type are null. A file is read by one task (2 GiB at most) and its record
-    ranges are decoded by as many as Spark deals them to."""
-    schema = schema or binary_schema(spark, root, table, month)
+    that do not fit their declared type are null.
+
+    Ranges of records are read by position through Arrow, so files of any size spread over the tasks. Where Arrow
+    does not know the file system by its scheme, or with ``seek=False``, Spark's own reader brings each file into
+    one task (2 GiB at most) and its ranges are dealt out from there.
+    """
+    by_position = _seekable(spark, root, seek)
+    schema = schema or binary_schema(spark, root, table, month, by_position)
     wanted = {f.name: f.dataType.simpleString() for f in schema.fields}
     out_schema = T.StructType([*schema.fields, T.StructField("SOURCE_MONTH", T.StringType())])
 
-    def decode(batches):
+    def decode(raw, row):
         import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        raw = raw[raw[:, 0] != ord("*")]
+        places = {f["name"]: f for f in row["fields"]}
+        columns = []
+        for name, dtype in wanted.items():
+            f = places.get(name)
+            if f is None or not f["width"]:
+                columns.append(pa.nulls(len(raw)))
+                continue
+            cut = np.ascontiguousarray(raw[:, f["at"]:f["at"] + f["width"]])
+            columns.append(_column(cut.view(f"S{f['width']}").reshape(-1), dtype))
+        columns.append(pa.array([row["month"]] * len(raw), pa.string()))
         shape = to_arrow_schema(out_schema)
+        return pa.RecordBatch.from_arrays(
+            [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(f.type)
+             for c, f in zip(columns, shape)], schema=shape)
+
+    heads = _headers(spark, root, table, month, by_position)
+    least = spark.sparkContext.defaultParallelism
+    if by_position:
+        size = _files(spark, root, table, month).agg(F.sum("length")).first()[0] or 0
+        tasks = max(least, -(-size // min(TASK_BYTES, 8 * range_bytes)))
+        return fixedwidth.read_ranges(heads, decode, out_schema, range_bytes, min(tasks, 100_000))
+
+    def decode_all(batches):
+        import numpy as np
+
         for batch in batches:
             for row in batch.to_pylist():
                 raw = np.frombuffer(row["records"], np.uint8)
-                raw = raw[: len(raw) // row["record"] * row["record"]].reshape(-1, row["record"])
-                raw = raw[raw[:, 0] != ord("*")]
-                places = {f["name"]: f for f in row["fields"]}
-                columns = []
-                for name, dtype in wanted.items():
-                    f = places.get(name)
-                    if f is None or not f["width"]:
-                        columns.append(pa.nulls(len(raw)))
-                        continue
-                    cut = np.ascontiguousarray(raw[:, f["at"]:f["at"] + f["width"]])
-                    columns.append(_column(cut.view(f"S{f['width']}").reshape(-1), dtype))
-                columns.append(pa.array([row["month"]] * len(raw), pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(f.type)
-                     for c, f in zip(columns, shape)], schema=shape)
+                yield decode(raw[: len(raw) // row["record"] * row["record"]].reshape(-1, row["record"]), row)
 
     ship_package(spark)
-    heads = _headers(spark, root, table, month).drop("month", "length")
     per_range = F.greatest(F.lit(1), F.floor(F.lit(range_bytes) / F.col("record")))
-    ranges = _files(spark, root, table, month).join(F.broadcast(heads), "path").withColumn(
+    ranges = _files(spark, root, table, month).join(F.broadcast(heads.drop("month", "length")), "path").withColumn(
         "first", F.explode(F.sequence(F.lit(0), F.greatest(F.col("records") - 1, F.lit(0)), per_range)))
     start = (F.col("header") + F.col("first") * F.col("record") + 1).cast("int")
     size = (F.least(per_range, F.col("records") - F.col("first")) * F.col("record")).cast("int")
     cut = ranges.select("month", "record", "fields", F.substring("content", start, size).alias("records"))
-    return cut.repartition(spark.sparkContext.defaultParallelism).mapInArrow(decode, out_schema)
+    return cut.repartition(least).mapInArrow(decode_all, out_schema)
