@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import backtest as BT
-from ..operators import features, quality, series, smoothing
+from ..operators import batched, features, quality, series, smoothing
 from ..operators import forecast as FC
 from ..operators.warehouse import _tie_order, first_per_key
 from ..session import cut_lineage, remember, work_folder
@@ -419,6 +419,35 @@ SELECT MDCODE AS Medicine_ID, CAST(cutoff + CAST(h AS INTEGER) AS DATE) AS Forec
 FROM (SELECT *, len(y) AS n FROM hist_end_sup) AS s, ahead30""", cut=" ".join(QCOLS))(
     lambda s, sf: FC.quantile_slot(daily(s, sf), FC.last_week_mean).drop("Predicted_Demand"))
 
+# a model that is called for many items at once, refuses some and returns unusable output for others
+FAULTS = {0: "no such item", 1: "values are negative", 2: "dates are not sorted", 3: None, 4: "values are not finite"}
+
+
+def faulty_model(batch, horizon, levels):
+    import numpy as np
+
+    kind = [int(i) % 9 for i in batch.items]
+    if 0 in kind:
+        raise LookupError(FAULTS[0])
+    ahead, out = np.arange(1, horizon + 1), batched.last_week_means(batch, horizon, levels)
+    dates = {2: ahead[::-1]}
+    change = {1: lambda q: -1 - q, 3: lambda q: q[:, ::-1], 4: lambda q: q * np.nan}
+    return [(last + dates.get(k, ahead), change.get(k, lambda q: q)(q)) for k, last, q in zip(kind, batch.last_days, out)]
+
+
+define("batch_sup", """
+SELECT MDCODE, cutoff, CAST(least(n, 730) AS INTEGER) AS used, CAST(MDCODE AS INTEGER) % 9 AS kind,
+  list_avg(y[greatest(n - 6, 1):n]) * 2 AS m FROM (SELECT *, len(y) AS n FROM hist_end_sup) AS s""")
+query("fc_batched_slot", """
+SELECT MDCODE AS Medicine_ID, CAST(cutoff + CAST(h AS INTEGER) AS DATE) AS Forecast_Date, used AS Context_Length_Used,
+  kind = 3 AND m > 0 AS Order_Repaired, CAST(NULL AS VARCHAR) AS error, """ + ", ".join(
+    f"m * CASE WHEN kind = 3 THEN {max(QSQL.values())}::DOUBLE ELSE {q}::DOUBLE END AS {c}" for c, q in QSQL.items()) + """
+FROM batch_sup, ahead30 WHERE kind NOT IN (0, 1, 2, 4) UNION ALL
+SELECT MDCODE, NULL, NULL, NULL, CASE kind """ + " ".join(f"WHEN {k} THEN '{v}'" for k, v in FAULTS.items() if v) + """ END, """ + ", ".join(
+    "NULL" for _ in QSQL) + """
+FROM batch_sup WHERE kind IN (0, 1, 2, 4)""", cut=" ".join(QCOLS))(
+    lambda s, sf: batched.batched_quantile_slot(daily(s, sf), faulty_model, batch_items=16).drop("Predicted_Demand"))
+
 query("monotone_quantiles", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
   greatest(l_extendedprice, 0) AS P10, greatest(l_extendedprice, l_quantity * 100, 0) AS P50,

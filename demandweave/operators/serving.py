@@ -25,13 +25,14 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
                    context: int = S.CONTEXT_LENGTH, challenger: str = R.CHALLENGER,
                    baseline: str = R.BASELINE, model: Callable | None = None,
                    generated_at: Column | None = None,
-                   min_observations: int = S.MIN_OBSERVATIONS) -> tuple[DataFrame, DataFrame]:
+                   min_observations: int = S.MIN_OBSERVATIONS,
+                   slot: Callable = FC.quantile_slot) -> tuple[DataFrame, DataFrame]:
     """(forecast rows, failed ids with reason).
 
     ``service``: strict history, every item of the history (or ``ids``), baseline quantiles null.
     ``router``: lenient history, items of the routing table, baseline quantiles equal the point.
     Baseline items stay in Catalyst. Challenger items use the native quantile model, or ``model``
-    through the Python slot when one is given.
+    through the Python slot when one is given; ``slot=batched_quantile_slot`` calls it for many items at once.
     """
     if form not in ("service", "router"):
         raise ValueError(f"unknown form {form}")
@@ -65,7 +66,7 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
             prob = prob.withColumn("P50", F.col("Predicted_Demand"))
     else:
         # stored: the model runs once per item, whoever asks for rows or for failures
-        prob, broken = FC.split_failures(cut_lineage(FC.quantile_slot(
+        prob, broken = FC.split_failures(cut_lineage(slot(
             mine(challenger), model, horizon, context, min_observations=min_observations)))
     columns = ["Medicine_ID", "Forecast_Date", "Predicted_Demand", *S.QUANTILE_COLUMNS,
                "Context_Length_Used"]
