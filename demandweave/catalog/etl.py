@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import cleaning as C
-from ..operators import eda, joins, kpi, quality, silver, warehouse
+from ..operators import distinct_sets, eda, joins, kpi, quality, silver, warehouse
+from ..session import cut_lineage
 from . import views as V
 from .registry import query
 from .sqlbase import define, month_start
@@ -550,6 +551,50 @@ def _doubles(df):
     return df.withColumns({c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")})
 
 
+# ---------------------------------------------------------------- distinct keys by period
+SETS = ["Customers", "Orders", "Items"]
+define("active", """
+SELECT 'day' AS level, INVDT AS period, CCODE, INVNO, MDCODE FROM order_lines UNION ALL
+SELECT 'month', CAST(date_trunc('month', INVDT) AS DATE), CCODE, INVNO, MDCODE FROM order_lines UNION ALL
+SELECT 'year', CAST(date_trunc('year', INVDT) AS DATE), CCODE, INVNO, MDCODE FROM order_lines""")
+
+
+def active_sets(spark, sf):
+    """Customers, orders and items of each day, written once. Customers are named by text here, so they take their ids
+    from a dictionary; the others are numbers already."""
+    lines = _lines_money(spark, sf).withColumn("CCODE", F.concat(F.lit("C-"), F.col("CCODE")))
+    ids = distinct_sets.key_ids(lines, "CCODE")
+    keys = {"Customers": ("CCODE", ids), "Orders": ("INVNO", None), "Items": ("MDCODE", None)}
+    return cut_lineage(quality.union_all([
+        distinct_sets.day_sets(lines, ["INVDT"], key, name, own) for name, (key, own) in keys.items()]))
+
+
+@query("active_by_period", """
+SELECT level, period, count(DISTINCT CCODE) AS Customers, count(DISTINCT INVNO) AS Orders,
+  count(DISTINCT MDCODE) AS Items FROM active GROUP BY 1, 2""")
+def active_by_period(spark, sf):
+    day = active_sets(spark, sf)
+    month = distinct_sets.roll_up(day, {"period": F.trunc("INVDT", "month")})
+    year = distinct_sets.roll_up(month, {"period": F.trunc("period", "year")})
+    levels = {"day": day.withColumnRenamed("INVDT", "period"), "month": month, "year": year}
+    return quality.union_all([
+        distinct_sets.set_sizes(df, ["period"], SETS).withColumn("level", F.lit(n)) for n, df in levels.items()])
+
+
+MONTH_NUMBER = "CAST(year(period) * 12 + month(period) AS INTEGER)"
+
+
+@query("kept_customers", f"""
+SELECT a.m AS month_number, count(*) AS size, count(b.CCODE) AS kept, count(b.CCODE) * 100 / CAST(count(*) AS DOUBLE) AS kept_pct
+FROM (SELECT DISTINCT {MONTH_NUMBER} AS m, CCODE FROM active WHERE level = 'month') AS a
+LEFT JOIN (SELECT DISTINCT {MONTH_NUMBER} AS m, CCODE FROM active WHERE level = 'month') AS b
+  ON a.CCODE = b.CCODE AND b.m = a.m - 1 GROUP BY 1""", cut="kept_pct")
+def kept_customers(spark, sf):
+    number = F.year("INVDT") * 12 + F.month("INVDT")
+    months = distinct_sets.roll_up(active_sets(spark, sf), {"month_number": number})
+    return distinct_sets.overlap_sizes(months, "month_number", 1, "Customers")
+
+
 @query("order_kpis", """
 SELECT *, """ + ", ".join(f"{n} / CAST({d} AS DOUBLE) * {k} AS {o}"
                           for o, (n, d, k) in RAW_RATIOS.items()) + """
