@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -9,7 +11,8 @@ from ..operators import backtest as BT
 from ..operators import forecast as FC
 from ..operators import quality, series, serving
 from ..operators import routing as R
-from ..session import cut_lineage
+from ..session import cut_lineage, remember, work_folder
+from ..sources.documents import DocumentStore
 from . import views as V
 from .demand import QCOLS, daily, monthly_results, stored_daily
 from .registry import query
@@ -457,6 +460,18 @@ def forecast_service(spark, sf):
     return routed(spark, sf, "service").drop("Generated_At")
 
 
+@query("forecast_single", f"""
+SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
+  round_even(CASE WHEN Selected_Model = '{C}' THEN P50 ELSE tsb_point END, 2) AS Predicted_Demand,
+  coalesce(reason, 'No valid validation advantage available; using {B} fallback') AS Routing_Reason,
+  CAST(least(n, 730) AS INTEGER) AS Context_Length_Used
+FROM service_rows s LEFT JOIN route_reason x ON s.Medicine_ID = x.Medicine_ID WHERE s.Medicine_ID = '7'""")
+def forecast_single(spark, sf):
+    d = stored_daily(spark, sf)
+    rows, _ = serving.forecast_one(d, cut_lineage(routing_table(spark, sf, d)), "7")
+    return rows.select("Medicine_ID", "Forecast_Date", "Selected_Model", "Predicted_Demand", "Routing_Reason", "Context_Length_Used")
+
+
 @query("forecast_router", f"""
 SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
   CASE WHEN Selected_Model = '{C}' THEN P50 ELSE router_point END AS Predicted_Demand, {", ".join(
@@ -688,3 +703,56 @@ SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity = 'CRITICAL') A
   count(*) FILTER (WHERE severity = 'WARNING') AS warning_count,
   count(*) FILTER (WHERE severity = 'INFO') AS info_count FROM alert_rows""")(
     lambda s, sf: serving.alert_summary(alerts(s, sf)))
+
+
+# ================================================================ documents of several runs, named tools
+def stored_alerts(spark, sf):
+    """Alerts in two runs: the second has a field more, and only what is left open."""
+    store = DocumentStore(spark, f"{work_folder(spark)}/alerts-{uuid.uuid4().hex}")
+    remember(spark, store.root)
+    rows = alerts(spark, sf).select("Medicine_ID", "severity", "alert_type", "metric_value")
+    store.write(rows, "2001-08")
+    store.write(rows.where("severity <> 'INFO'").withColumn("status", F.lit("OPEN")), "2001-09")
+    store.write(rows.limit(0), "2001-07")
+    return store
+
+
+ALERT_FIELDS = "Medicine_ID string, severity string, alert_type string, metric_value double, status string"
+query("alert_documents", """
+SELECT '2001-08' AS run, Medicine_ID, severity, alert_type, metric_value, CAST(NULL AS VARCHAR) AS status FROM alert_rows
+UNION ALL SELECT '2001-09', Medicine_ID, severity, alert_type, metric_value, 'OPEN' FROM alert_rows WHERE severity <> 'INFO'""",
+      cut="metric_value")(lambda s, sf: stored_alerts(s, sf).load(ALERT_FIELDS))
+query("alerts_latest", """
+SELECT '2001-09' AS run, Medicine_ID, severity, alert_type, metric_value, 'OPEN' AS status FROM alert_rows
+WHERE severity <> 'INFO'""", cut="metric_value")(lambda s, sf: stored_alerts(s, sf).latest(ALERT_FIELDS))
+
+
+@query("evaluation_documents", f"""
+SELECT r.run, Medicine_ID, Is_Overall, Sample_Count, MAE, CASE WHEN r.run = 'r2' THEN MAE > 50 END AS Poor
+FROM (SELECT Medicine_ID, false AS Is_Overall, {_EV} FROM eval_pairs GROUP BY 1
+  UNION ALL SELECT NULL, true, {_EV} FROM eval_pairs) AS e, (VALUES ('r1'), ('r2')) AS r(run)""", cut="MAE")
+def evaluation_documents(spark, sf):
+    store = DocumentStore(spark, f"{work_folder(spark)}/evaluations-{uuid.uuid4().hex}")
+    remember(spark, store.root)
+    found = cut_lineage(eval_metrics(spark, sf))
+    store.write(found, "r1")
+    store.write(found.withColumn("Poor", F.col("MAE") > 50), "r2")
+    return store.load("Medicine_ID string, Is_Overall boolean, Sample_Count bigint, MAE double, Poor boolean")
+
+
+@query("tool_results", """
+SELECT 'trend' AS call, Medicine_ID, trend, CAST(NULL AS VARCHAR) AS error FROM summ WHERE Medicine_ID = '7' UNION ALL
+SELECT 'increasing', Medicine_ID, trend, NULL FROM (SELECT * FROM summ WHERE trend = 'increasing'
+  ORDER BY abs(trend_pct_change) DESC, Medicine_ID LIMIT 10) AS t UNION ALL
+SELECT 'compare', Medicine_ID, trend, NULL FROM summ WHERE Medicine_ID IN ('3', '7') UNION ALL
+SELECT 'missing', NULL, NULL, 'No forecast available for medicine_id=none.' UNION ALL
+SELECT 'unknown', NULL, NULL, 'Unknown tool: drop_table'""")
+def tool_results(spark, sf):
+    f = cut_lineage(snapshot(spark, sf))
+    calls = {"trend": ("get_trend", {"medicine_id": "7"}), "increasing": ("get_demand_trend_medicines", {}),
+             "compare": ("compare_medicines", {"medicine_ids": ["7", "none", "3"]}),
+             "missing": ("get_summary", {"medicine_id": "none"}), "unknown": ("drop_table", {})}
+    text = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
+    found = {n: serving.run_tool(f, tool, **arguments) for n, (tool, arguments) in calls.items()}
+    return quality.union_all([df.select(F.lit(n).alias("call"), *[text(df, c) for c in ("Medicine_ID", "trend", "error")])
+                              for n, df in found.items()])
