@@ -11,6 +11,7 @@ from .. import schemas as S
 from ..functions.guards import require_no_violations
 from ..operators import backtest, quality, routing, series, serving, smoothing
 from ..sources import publish, tables
+from . import etl
 
 
 def study_routing(daily: DataFrame, validation: list[str], holdout: list[str],
@@ -68,3 +69,19 @@ def monthly_cycle(spark: SparkSession, line: DataFrame, invoice: DataFrame, rout
     alerts = serving.scan_alerts(forecast, demand, inventory).withColumns({"created_at": now, "last_updated": now})
     publish.save_documents(alerts, f"{root}/alerts")
     return manifest
+
+
+def run_month(spark: SparkSession, landed: str, routing_table: DataFrame, root: str, run_id: str,
+              schema: str | None = None, fmt: str = "parquet", start="2018-01-01", end="2026-05-31",
+              as_of=None, inventory: DataFrame | None = None) -> dict:
+    """The whole month from the landing folders on: reports, warehouse tables, enriched tables, demand, evaluation,
+    forecast, alerts. Every step reads what the one before has written, so a step that failed may run again.
+
+    Returns the manifest of the forecast with the rows written per warehouse table and the enriched tables' names.
+    """
+    written = etl.load_warehouse(spark, landed, schema, fmt, start=start, end=end, report_path=f"{root}/reports")
+    enriched = etl.run_silver(spark, f"{root}/silver", schema, as_of)
+    facts = tables.read_multiple_tables(spark, ["fact_sales_line", "fact_sales_invoice"], schema)
+    manifest = monthly_cycle(spark, facts["fact_sales_line"], facts["fact_sales_invoice"], routing_table, root, run_id,
+                             inventory)
+    return {**manifest, "warehouse_rows": written, "enriched_tables": enriched}
