@@ -267,6 +267,18 @@ query("rolling_features", "SELECT *, " + ", ".join(
        for fn, nm in (("max", "Rolling_Max"), ("min", "Rolling_Min"))]) + " FROM daily_sup",
       cut=" ".join(f"Rolling_{k}_{n}" for k in ("Mean", "STD") for n in features.WINDOWS))(
     lambda s, sf: features.rolling_features(daily(s, sf)))
+SPARSE_ROLL = ", ".join(
+    [_roll(fn, n, nm) for n in features.WINDOWS
+     for fn, nm in (("avg", "Rolling_Mean"), ("stddev_samp", "Rolling_STD"))]
+    + [_roll(fn, n, nm) for n in features.EXTREME_WINDOWS
+       for fn, nm in (("max", "Rolling_Max"), ("min", "Rolling_Min"))])
+OBSERVED = " AS d SEMI JOIN daily_part AS o ON d.MDCODE = o.MDCODE AND d.INVDT = o.INVDT"
+query("sparse_rolling_features", f"SELECT d.* FROM (SELECT *, {SPARSE_ROLL} FROM dense_part)" + OBSERVED,
+      cut=" ".join(f"Rolling_{k}_{n}" for k in ("Mean", "STD") for n in features.WINDOWS))(
+    lambda s, sf: features.sparse_rolling_features(daily(s, sf, "part")))
+query("sparse_lag_features", "SELECT d.* FROM (SELECT *, " + ", ".join(
+    f"lag(Demand_Qty, {k}) OVER {W.format('')} AS Lag_{k}" for k in features.LAGS) + " FROM dense_part)" + OBSERVED)(
+    lambda s, sf: features.sparse_lag_features(daily(s, sf, "part")))
 query("trend_features", f"""
 SELECT *, Demand_Qty - lag(Demand_Qty) OVER {W.format('')} AS Demand_Diff_1,
   (Demand_Qty - lag(Demand_Qty) OVER {W.format('')}) / nullif(lag(Demand_Qty) OVER {W.format('')}, 0)
