@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions.guards import require_no_nulls, require_not_empty, require_unique
 from ..operators import joins, quality
-from ..session import remember, work_folder
+from ..plans import monthly
+from ..session import remember, stored, work_folder
 from ..sources import landing, publish, tables
 from ..sources.fixedwidth import write_binary_table
+from ..streaming import arrivals
 from . import views as V
 from .registry import query
 from .sqlbase import define
@@ -285,3 +287,42 @@ def comparison_splits(spark, sf):
     split = F.when(F.to_date("o_orderdate") < "2001-01-01", "validation").otherwise("holdout")
     rows = V.table(spark, sf, "orders").select("o_orderkey", split.alias("Split"))
     return quality.check_comparison_input(rows, ["o_orderkey"])
+
+
+# ================================================================ months as they land
+CORRECTED = 1997
+
+
+def land_lines(spark, sf, root, years, which="true") -> None:
+    """Order lines and invoices of the given years as further files of their snapshot folders."""
+    for name, view in (("INVDET", V.invdet), ("INVOICE", V.invoice_header)):
+        rows = stored(view(spark, sf).where(which).withColumn(
+            "__year", F.year(C.source_month_date(F.col("SOURCE_MONTH")))).drop("SOURCE_MONTH"))
+        for y in years:
+            rows.where(F.col("__year") == y).drop("__year").write.mode("append").parquet(f"{root}/JAN-{y % 100:02}/{name}")
+
+
+@query("arrived_months", f"""
+SELECT year(INVDT) AS y, INVDT, count(*) AS items, sum(Demand_Qty) AS Demand_Qty,
+  CASE WHEN year(INVDT) IN ({CORRECTED}, (SELECT max(year(o_orderdate)) FROM orders)) THEN 2 ELSE 1 END AS run,
+  0 AS later_months FROM daily_part GROUP BY INVDT""")
+def arrived_months(spark, sf):
+    """Lines land in two parts: all years but the last, of one year only two thirds of the orders; then the rest. The
+    second run touches those two years alone, a third one nothing."""
+    root, store = (f"{work_folder(spark)}/{k}-{uuid.uuid4().hex}" for k in ("landing", "store"))
+    remember(spark, root)
+    remember(spark, store)
+    day = F.year("o_orderdate")
+    first, last = V.table(spark, sf, "orders").agg(F.min(day), F.max(day)).first()
+    early = F.expr(f"SOURCE_MONTH NOT LIKE '%-{CORRECTED % 100}' OR CAST(INVNO AS BIGINT) % 3 <> 0")
+    land_lines(spark, sf, root, range(first, last), early)
+    monthly.pick_up_demand(spark, root, store)
+    land_lines(spark, sf, root, [CORRECTED], ~early)
+    land_lines(spark, sf, root, [last])
+    monthly.pick_up_demand(spark, root, store)
+    later = len(monthly.pick_up_demand(spark, root, store))
+    runs = arrivals.applied(spark, store).groupBy((F.year(C.source_month_date(F.col("month")))).alias("y")).agg(
+        F.max("run").alias("run"))
+    days = monthly.arrived_demand(spark, store).groupBy(F.year("INVDT").alias("y"), "INVDT").agg(
+        F.count("*").alias("items"), F.sum("Demand_Qty").alias("Demand_Qty"))
+    return days.join(runs, "y").withColumn("later_months", F.lit(later))

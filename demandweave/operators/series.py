@@ -21,10 +21,11 @@ from .quality import check_series
 # ---------------------------------------------------------------- T1
 
 def prepare_demand(line: DataFrame, invoice: DataFrame, item: str = "MDCODE",
-                   check: bool = False) -> DataFrame:
+                   check: bool = False, by: list[str] = ()) -> DataFrame:
     """Daily demand (MDCODE, INVDT, Demand_Qty) of uncancelled lines on uncancelled invoices.
 
-    ``item`` picks the series grain. ``check=True`` runs the key and value guards as jobs.
+    ``item`` picks the series grain. ``check=True`` runs the key and value guards as jobs. ``by`` names key columns
+    (INVNO, SOURCE_MONTH) that the sums are kept apart by and that lead the result's columns.
     """
     require_columns(line, ["INVNO", "SOURCE_MONTH", "QTY", "CANCEL_ID", item], "sales line")
     require_columns(invoice, ["INVNO", "SOURCE_MONTH", "INVDT", "CANCEL_ID"], "sales invoice")
@@ -41,7 +42,7 @@ def prepare_demand(line: DataFrame, invoice: DataFrame, item: str = "MDCODE",
             F.count_if(day.isNull()).alias("invalid_dates"),
             F.count_if(qty.isNull()).alias("invalid_qty")), "demand lines")
     daily = joined.where(F.col(item).isNotNull()).groupBy(
-        F.col(item).alias("MDCODE"), day.alias("INVDT")
+        *by, F.col(item).alias("MDCODE"), day.alias("INVDT")
     ).agg(F.coalesce(F.sum(qty), F.lit(0.0)).alias("Demand_Qty"))
     if check:
         require_no_violations(check_series(daily), "daily demand")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.guards import require_no_violations
-from ..operators import backtest, quality, routing, series, serving, smoothing
-from ..sources import publish, tables
+from ..operators import backtest, quality, routing, series, serving, smoothing, warehouse
+from ..session import stored
+from ..sources import landing, publish, tables
+from ..streaming import arrivals
 from . import etl
 
 
@@ -57,7 +59,12 @@ def monthly_cycle(spark: SparkSession, line: DataFrame, invoice: DataFrame, rout
     """
     demand_path = f"{root}/daily_demand"
     tables.save_parquet(series.prepare_demand(line, invoice), demand_path)
-    demand = spark.read.parquet(demand_path)
+    return cycle_from_demand(spark, spark.read.parquet(demand_path), routing_table, root, run_id, inventory)
+
+
+def cycle_from_demand(spark: SparkSession, demand: DataFrame, routing_table: DataFrame, root: str, run_id: str,
+                      inventory: DataFrame | None = None) -> dict:
+    """The cycle's steps after demand preparation. ``demand`` is read several times: pass a stored table."""
     require_no_violations(quality.check_series(demand), "daily demand")
     previous = publish.latest_forecast(spark, root)
     if previous is not None:
@@ -85,3 +92,46 @@ def run_month(spark: SparkSession, landed: str, routing_table: DataFrame, root:
     manifest = monthly_cycle(spark, facts["fact_sales_line"], facts["fact_sales_invoice"], routing_table, root, run_id,
                              inventory)
     return {**manifest, "warehouse_rows": written, "enriched_tables": enriched}
+
+
+def refresh_demand(spark: SparkSession, landed: str, store: str, months: list[str], item: str = "MDCODE",
+                   fmt: str = "parquet") -> None:
+    """Daily demand of the given months, made anew from all their landed files; only their partitions of
+    ``<store>/demand`` are replaced."""
+    found = [landing.read_month(spark, landed, m, ["INVDET", "INVOICE"], fmt) for m in months]
+    line, invoice = (landing.union_months([f[t] for f in found]) for t in ("INVDET", "INVOICE"))
+    heads = invoice.select("INVNO", "SOURCE_MONTH", "INVDT", "CANCEL_ID")
+    heads = warehouse.build_fact(heads, heads.columns, ["INVNO", "SOURCE_MONTH"])
+    lines = warehouse.build_fact_sales_line(line, extra=[item])
+    arrivals.replace_months(series.prepare_demand(lines, heads, item, by=["SOURCE_MONTH"]), f"{store}/demand", months)
+
+
+def arrived_demand(spark: SparkSession, store: str) -> DataFrame:
+    """Daily demand over all months picked up so far; a day may have lines in two months' files."""
+    parts = spark.read.schema("MDCODE string, INVDT date, Demand_Qty double, SOURCE_MONTH string").parquet(f"{store}/demand")
+    return parts.groupBy("MDCODE", "INVDT").agg(F.sum("Demand_Qty").alias("Demand_Qty"))
+
+
+def pick_up_demand(spark: SparkSession, landed: str, store: str, item: str = "MDCODE", fmt: str = "parquet") -> list[str]:
+    """Demand brought up to what has landed: months with new line or invoice files are read, no other. Returns
+    those months, oldest first; a run with nothing new changes nothing."""
+    return arrivals.catch_up(spark, landed, store, lambda months: refresh_demand(spark, landed, store, months, item, fmt),
+                             needs=["INVDET", "INVOICE"])
+
+
+def run_arrivals(spark: SparkSession, landed: str, routing_table: DataFrame, root: str, run_id: str,
+                 inventory: DataFrame | None = None, item: str = "MDCODE", fmt: str = "parquet") -> dict | None:
+    """Pick up the months that have landed; if there are any, evaluate, forecast and alert on the whole demand.
+
+    Returns the manifest with the months, or None where nothing is new. The months count as applied once the whole
+    run is through: after a failure the next call takes them again.
+    """
+    manifest = {}
+
+    def apply(months: list[str]) -> None:
+        refresh_demand(spark, landed, root, months, item, fmt)
+        demand = stored(arrived_demand(spark, root), "demand")
+        manifest.update(cycle_from_demand(spark, demand, routing_table, root, run_id, inventory))
+
+    months = arrivals.catch_up(spark, landed, root, apply, needs=["INVDET", "INVOICE"])
+    return {**manifest, "months": months} if months else None
