@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions.guards import require_no_nulls, require_not_empty, require_unique
-from ..operators import joins, quality
+from ..operators import joins, quality, series, warehouse
 from ..plans import monthly
-from ..session import remember, stored, work_folder
+from ..session import remember, scratch_schema, stored, work_folder
 from ..sources import landing, publish, tables
 from ..sources.fixedwidth import write_binary_table
 from ..streaming import arrivals
 from . import views as V
+from .etl import LINE_EXTRA
 from .registry import query
 from .sqlbase import define
 
@@ -170,7 +171,7 @@ def landed_orders_columns(spark, sf):
 SELECT 'suppliers' AS "table", count(*) AS written, count(*) AS stored, sum(s_nationkey) AS checked FROM supplier
 UNION ALL SELECT 'parts', count(*), count(*), sum(p_size) FROM part""")
 def catalog_tables(spark, sf):
-    schema = f"roundtrip_{uuid.uuid4().hex}"
+    schema = scratch_schema(spark, "roundtrip")
     frames = {"suppliers": V.table(spark, sf, "supplier"), "parts": V.table(spark, sf, "part")}
     for name, df in frames.items():
         require_not_empty(df, name)
@@ -289,6 +290,30 @@ def comparison_splits(spark, sf):
     return quality.check_comparison_input(rows, ["o_orderkey"])
 
 
+# ================================================================ tables that meet without a shuffle
+def colocated(spark, sf):
+    """Landed lines and invoices, bucketed alike. The width of a line is the contract's, about 300 bytes."""
+    lines = V.invdet(spark, sf)
+    buckets = tables.buckets_for(V.table(spark, sf, "lineitem").count(), 300)
+    return tables.store_colocated({"invdet": lines, "invoice": V.invoice_header(spark, sf)}, ["INVNO", "SOURCE_MONTH"],
+                                  buckets, scratch_schema(spark, "colocated"))
+
+
+@query("colocated_demand", "SELECT * FROM daily_part")
+def colocated_demand(spark, sf):
+    kept = colocated(spark, sf)
+    return series.colocated_demand(kept["invdet"], kept["invoice"])
+
+
+@query("colocated_sales_lines", "SELECT f.*, i.INVDT, i.CCODE, i.SCODE FROM fact_line f JOIN invoice i "
+       "ON f.INVNO = i.INVNO AND f.SOURCE_MONTH = i.SOURCE_MONTH")
+def colocated_sales_lines(spark, sf):
+    kept = colocated(spark, sf)
+    heads = kept["invoice"].select("INVNO", "SOURCE_MONTH", "INVDT", "CCODE", "SCODE")
+    facts = warehouse.build_fact_sales_line(kept["invdet"], extra=LINE_EXTRA)
+    return joins.join_sales_invoice_line(facts, heads.hint("merge"), "inner")
+
+
 # ================================================================ months as they land
 CORRECTED = 1997
 

@@ -45,6 +45,14 @@ def stored(df: DataFrame, hint: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_schema(spark: SparkSession, hint: str) -> str:
+    """A new catalog schema whose folder is removed when the program ends."""
+    name = f"{hint}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    remember(spark, spark.catalog.getDatabase(name).locationUri)
+    return name
+
+
 _stored: list[tuple[SparkSession, str]] = []
 
 
