@@ -3,8 +3,8 @@
 Pages become WARC records. A task orders its captures by URL key and time and packs them into archives of a
 bounded size, so that every archive is a sorted run. Reading parses the archives by their lengths and hashes
 the payloads found. The runs' index lines are then dealt out by ranges of (URL key, time, id), bounded in rows
-whatever one host holds, and a loser tree merges the runs of each range: partitions in order are the
-global capture history.
+whatever one host holds and however long the table, and a loser tree merges the runs of each range with the keys
+of one small batch per run in memory: partitions in order are the global capture history.
 
 Of records with equal payloads of LEAST_SHARED bytes or more, the one with the smallest id is the response and
 the others are revisits without payload, which keep its digest and length. Copies are found from digests
@@ -19,15 +19,18 @@ record is written without one. Tables may be empty. Other columns are not stored
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from demandweave.session import stored, work_folder
+from demandweave.session import remember, stored, work_folder
 
 from .url_filters import url_parts
 from .words import in_batches
@@ -35,6 +38,10 @@ from .words import in_batches
 LEAST_SHARED = 100
 #: An archive is closed at about so many bytes; a larger record has one to itself.
 ARCHIVE_BYTES = 16 << 20
+#: Index lines that one task merges, about; a line takes about 300 bytes.
+RANGE_LINES = 200_000
+#: Lines of a run whose keys are decoded at a time.
+CURSOR_LINES = 64
 INDEX = (
     "page_id long, urlkey string, captured string, archive string, offset long, length long,"
     " payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -176,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return in_batches(files, run, INDEX)
 
 
-def loser_merge(runs: list[list], key):
+def loser_merge(runs: list, key):
     """Rows of sorted runs in one order: each inner node of a tree keeps the loser of its match, so a new row
     plays only the losers on its way up."""
     k = len(runs)
@@ -211,28 +218,55 @@ def loser_merge(runs: list[list], key):
         winner = play(winner)
 
 
-def merge_index(index: DataFrame) -> DataFrame:
-    """All index lines in global order of URL key, time and id."""
+def merge_index(index: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
+    """All index lines in global order of URL key, time and id.
+
+    ``index`` is counted first, so pass a stored one: the ranges' number follows from its rows, and a range has about
+    ``range_lines`` of them however large the table. Spark's sorter, which spills, brings a range run by run. The lines
+    stay in Arrow columns; the tree holds the keys of one small batch per run and gives the lines' places in order.
+    """
     schema, lines_schema = index.schema, to_arrow_schema(index.schema)
-    missing = lambda v: (v is None, v or 0)
 
     def run(batches):
-        lines = [row for batch in batches for row in batch.to_pylist()]
-        by_run: dict[str, list] = {}
-        for line in lines:  # they come run by run, each in order
-            by_run.setdefault(line["archive"], []).append(line)
-        merged = list(loser_merge(list(by_run.values()), lambda r: (r["urlkey"], r["captured"], missing(r["page_id"]))))
-        for i in range(0, len(merged), 10_000):
-            yield pa.RecordBatch.from_pylist(merged[i : i + 10_000], lines_schema)
-
-    dealt = index.repartitionByRange(*KEYS).sortWithinPartitions("archive", "offset")
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts, lines_schema)
+        order = loser_merge(list(run_cursors(table)), lambda row: row[0])
+        while places := [place for _, place in itertools.islice(order, 10_000)]:
+            yield from table.take(places).to_batches()
+
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // range_lines))
+    dealt = index.repartitionByRange(parts, *KEYS).sortWithinPartitions("archive", "offset")
     return in_batches(dealt, run, schema)
 
 
+def run_cursors(table: pa.Table, batch: int = CURSOR_LINES):
+    """For each run of a range, lines of an archive side by side, an iterator of (key, place in the table) that
+    decodes the keys of ``batch`` lines at a time."""
+    names = pc.run_end_encode(table.column("archive"))
+    ends, at = [], 0
+    for chunk in names.chunks:
+        ends += (np.asarray(chunk.run_ends) + at).tolist()
+        at = ends[-1] if ends else 0
+    keys = table.select(list(KEYS))
+
+    def cursor(begin, end):
+        for at in range(begin, end, batch):
+            rows = keys.slice(at, min(batch, end - at))
+            for i, (site, when, page) in enumerate(zip(*(c.to_pylist() for c in rows.columns)), at):
+                yield (site, when, page is None, page or 0), i
+
+    # a run that goes on in the table's next chunk is cut there: its parts are sorted runs as well
+    yield from (cursor(a, b) for a, b in itertools.pairwise([0, *ends]))
+
+
 def archive(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Write ``pages`` as WARC archives below ``path`` (default: a new folder in the work folder), read them
-    back, and return the merged index of all captures."""
+    back, and return the merged index of all captures. A folder of its own goes when the program ends."""
     spark = pages.sparkSession
-    path = path or f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+        remember(spark, path)
     write_archives(captures(pages, **columns), path)
     return merge_index(stored(read_archives(spark, path), "index"))

@@ -381,6 +381,28 @@ def test_loser_merge():
         assert list(warc.loser_merge(runs, lambda x: (x,))) == sorted(sum(runs, []))
 
 
+def test_merge_of_many_runs(spark):
+    rng, rows = random.Random(5), []
+    for run in range(40):
+        size = rng.choice([1, 3, 64, 65, 200])
+        keys = [(f"org,{rng.choice('abé')})/{rng.randrange(9)}", f"2020-01-0{rng.randrange(1, 4)}", rng.choice([None, rng.randrange(5000)]))
+                for _ in range(size)]
+        keys.sort(key=lambda k: (k[0], k[1], k[2] is None, k[2] or 0))
+        rows += [(page, site, when, f"run{run:02}", 100 * i, 90, 7, "d", "response", None) for i, (site, when, page) in enumerate(keys)]
+    rows += rows[:70]  # repeated lines
+    index = spark.createDataFrame(rows, warc.INDEX).repartition(7)
+    out = warc.merge_index(index, range_lines=300)
+    parts = out.withColumn("part", F.spark_partition_id()).collect()
+    assert len({r["part"] for r in parts}) > 1
+    assert sorted(tuple(r)[:-1] for r in parts if r["page_id"]) == sorted(r for r in rows if r[0]) and len(parts) == len(rows)
+    within = [[(r["urlkey"], r["captured"], r["page_id"] is None, r["page_id"] or 0) for r in parts if r["part"] == p]
+              for p in {r["part"] for r in parts}]
+    assert all(w == sorted(w) for w in within)
+    spans = sorted((w[0][:2], w[-1][:2]) for w in within)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert warc.merge_index(index.where("false")).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, tricky = "<p>" + "é" * 200, "x" * 120 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n"
     pages = [(5, "http://b.org/x", big), (3, "http://a.b.org/y?q", big), (9, None, big), (None, "http://c.org", big), (1, "u\r\nv", tricky),
