@@ -449,13 +449,13 @@ def routed(spark, sf, form):
 
 @query("forecast_service", f"""
 SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
-  CASE WHEN Selected_Model = '{C}' THEN P50 ELSE tsb_point END AS Predicted_Demand,
+  round_even(CASE WHEN Selected_Model = '{C}' THEN P50 ELSE tsb_point END, 2) AS Predicted_Demand,
   CASE WHEN Selected_Model = '{C}' THEN P10 END AS P10, CASE WHEN Selected_Model = '{C}' THEN P50 END AS P50,
   CASE WHEN Selected_Model = '{C}' THEN P90 END AS P90, Validation_Advantage_Pct AS Routing_Advantage_Pct,
   coalesce(reason, 'No valid validation advantage available; using {B} fallback') AS Routing_Reason,
   CAST(least(n, 730) AS INTEGER) AS Context_Length_Used, 30 AS Prediction_Length
 FROM service_rows s LEFT JOIN route_reason x ON s.Medicine_ID = x.Medicine_ID""",
-       cut="P10 P50 P90 Routing_Advantage_Pct")
+       cut="Predicted_Demand P10 P50 P90 Routing_Advantage_Pct")
 def forecast_service(spark, sf):
     return routed(spark, sf, "service").drop("Generated_At")
 
@@ -474,32 +474,18 @@ def forecast_single(spark, sf):
 
 @query("forecast_router", f"""
 SELECT s.Medicine_ID, Forecast_Date, Selected_Model,
-  CASE WHEN Selected_Model = '{C}' THEN P50 ELSE router_point END AS Predicted_Demand, {", ".join(
-    f"CASE WHEN Selected_Model = '{C}' THEN {c} ELSE router_point END AS {c}" for c in QCOLS)},
+  round_even(CASE WHEN Selected_Model = '{C}' THEN P50 ELSE router_point END, 2) AS Predicted_Demand, {", ".join(
+    f"CASE WHEN Selected_Model = '{C}' THEN {c} ELSE round_even(router_point, 2) END AS {c}" for c in QCOLS)},
   CASE WHEN Selected_Model = '{C}' THEN 'probabilistic' ELSE 'point' END AS Forecast_Type,
   '{RULE}' AS Routing_Rule, Validation_Advantage_Pct,
   coalesce(reason, 'No valid validation advantage available; using {B} fallback') AS Routing_Reason,
   CAST(least(n, 730) AS INTEGER) AS Context_Length_Used, 30 AS Prediction_Length, Selected_Model AS Model_ID
 FROM service_rows s JOIN route_reason x ON s.Medicine_ID = x.Medicine_ID""",
-       cut="Validation_Advantage_Pct")
+       cut="Validation_Advantage_Pct Predicted_Demand " + " ".join(QCOLS))
 def forecast_router(spark, sf):
     return routed(spark, sf, "router").drop("Generated_At")
 
 
-for _name, _cols in (("forecast_service", ["Predicted_Demand"]),
-                     ("forecast_router", ["Predicted_Demand", *QCOLS])):
-    # published points are rounded to cents half-even; the oracle holds the unrounded recursion, so
-    # both sides are compared in whole tenths, far from any rounding of the cent
-    from .registry import ORACLES, QUERIES
-
-    def _tenths(fn, cols):
-        return lambda s, sf: fn(s, sf).withColumns(
-            {c: F.floor(F.col(c) * 10 + 0.0371) / 10 for c in cols})
-
-    QUERIES[_name] = _tenths(QUERIES[_name], _cols)
-    ORACLES[_name] = "SELECT * REPLACE (" + ", ".join(
-        f"floor({c} * 10 + 0.0371) / 10 AS {c}" for c in _cols) + ") FROM (\n" + ORACLES[_name] + "\n) AS z"
-
 for _form in ("service", "router"):
     query(f"forecast_contract_{_form}", "SELECT " + ", ".join(
         f"CAST(0 AS BIGINT) AS {c}" for c in (

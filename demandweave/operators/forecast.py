@@ -358,6 +358,31 @@ def native_quantile_forecast(series: DataFrame, horizon: int = S.HORIZON,
         F.col("length").alias("Context_Length_Used"))
 
 
+# ---------------------------------------------------------------- one state for both routed models
+
+def routable_state(series: DataFrame, context: int = S.CONTEXT_LENGTH,
+                   min_observations: int = S.MIN_OBSERVATIONS) -> DataFrame:
+    """One row per item (Medicine_ID) that serves the classical models and the native quantile challenger alike.
+    Series shorter than the minimum are left out."""
+    state = smoothing_state(history_rows(series), recent=context)
+    levels = quantile_levels(state.where(F.col("n") >= min_observations), [context])
+    return monotone_quantiles(levels).withColumnRenamed("MDCODE", "Medicine_ID")
+
+
+def routed_rows(state: DataFrame, challenger: str, baseline: str, variant: str = "daily", horizon: int = S.HORIZON,
+                fill: bool = False) -> DataFrame:
+    """Horizon rows of ``routable_state`` with a Selected_Model: the challenger's quantiles and median, or the
+    smoothed point, whose quantiles are the point (``fill``) or null. Items of any other model have no rows."""
+    mine = F.col("Selected_Model") == challenger
+    point = F.bround(F.when(mine, F.col("P50")).otherwise(tsb(BETA, variant)), 2)
+    otherwise = F.col("Predicted_Demand") if fill else F.lit(None).cast("double")
+    quantiles = {c: F.when(mine, F.col("Predicted_Demand") if fill and c == "P50" else F.col(c)).otherwise(otherwise)
+                 for c in S.QUANTILE_COLUMNS}
+    rows = state.where(F.col("Selected_Model").isin(challenger, baseline)).withColumn(
+        "Predicted_Demand", point).withColumns({**quantiles, "Context_Length_Used": F.col("length")})
+    return over_horizon(rows, horizon, "Medicine_ID")
+
+
 # ---------------------------------------------------------------- calibration and ensemble
 
 # --- fixed values ---

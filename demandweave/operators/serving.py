@@ -31,8 +31,9 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
 
     ``service``: strict history, every item of the history (or ``ids``), baseline quantiles null.
     ``router``: lenient history, items of the routing table, baseline quantiles equal the point.
-    Baseline items stay in Catalyst. Challenger items use the native quantile model, or ``model``
-    through the Python slot when one is given; ``slot=batched_quantile_slot`` calls it for many items at once.
+    Without ``model`` an item has one state, from which its routed model's rows are computed: the history is grouped
+    once and decisions meet one row per item. With ``model``, challenger items go through the Python slot;
+    ``slot=batched_quantile_slot`` calls it for many items at once.
     """
     if form not in ("service", "router"):
         raise ValueError(f"unknown form {form}")
@@ -40,37 +41,36 @@ def forecast_batch(history: DataFrame, routing: DataFrame, form: str = "service"
     wanted = ids.select(F.col("Medicine_ID").cast("string")).distinct() if ids is not None else (
         routing.select("Medicine_ID").distinct() if form == "router"
         else series.select(F.col("MDCODE").alias("Medicine_ID")).distinct())
-    decisions = R.routing_decisions(routing, challenger, baseline).join(
-        wanted, "Medicine_ID", "right").withColumns({
-            "Selected_Model": F.coalesce("Selected_Model", F.lit(baseline)),
-            "Reason": F.coalesce("Reason", F.lit(
-                f"No valid validation advantage available; using {baseline} fallback")),
-            "Routing_Rule": F.coalesce("Routing_Rule", F.lit(R.rule_name(challenger, baseline)))})
-    routed = series.join(decisions.select(
-        F.col("Medicine_ID").alias("MDCODE"), "Selected_Model"), "MDCODE")
-    mine = lambda m: routed.where(F.col("Selected_Model") == m).drop("Selected_Model")
-
-    point = FC.forecast_tsb(mine(baseline), horizon, decimals=2,
-                            variant="router" if form == "router" else "daily",
-                            min_observations=min_observations)
-    fill = F.col("Predicted_Demand") if form == "router" else F.lit(None).cast("double")
-    point = point.select("Medicine_ID", "Forecast_Date", "Predicted_Demand",
-                         *[fill.alias(c) for c in S.QUANTILE_COLUMNS],
-                         F.least("History_Days", F.lit(context)).alias("Context_Length_Used"))
+    decided = R.routing_decisions(routing, challenger, baseline)
+    with_fallback = lambda df: df.withColumns({
+        "Selected_Model": F.coalesce("Selected_Model", F.lit(baseline)),
+        "Reason": F.coalesce("Reason", F.lit(
+            f"No valid validation advantage available; using {baseline} fallback")),
+        "Routing_Rule": F.coalesce("Routing_Rule", F.lit(R.rule_name(challenger, baseline)))})
+    variant = "router" if form == "router" else "daily"
     broken = None
     if model is None:
-        prob = FC.monotone_quantiles(
-            FC.native_quantile_forecast(mine(challenger), horizon, context, min_observations))
-        prob = prob.withColumn("Predicted_Demand", F.bround("P50", 2))
-        if form == "router":
-            prob = prob.withColumn("P50", F.col("Predicted_Demand"))
+        every = form == "service" and ids is None
+        chosen = series if every else series.join(
+            wanted.select(F.col("Medicine_ID").alias("MDCODE")), "MDCODE", "left_semi")
+        state = FC.routable_state(chosen, context, min_observations)
+        rows = FC.routed_rows(with_fallback(state.join(decided, "Medicine_ID", "left")), challenger,
+                              baseline, variant, horizon, fill=form == "router")
     else:
+        decisions = with_fallback(decided.join(wanted, "Medicine_ID", "right"))
+        routed = series.join(decisions.select(
+            F.col("Medicine_ID").alias("MDCODE"), "Selected_Model"), "MDCODE")
+        mine = lambda m: routed.where(F.col("Selected_Model") == m).drop("Selected_Model")
+        point = FC.forecast_tsb(mine(baseline), horizon, decimals=2, variant=variant,
+                                min_observations=min_observations)
+        fill = F.col("Predicted_Demand") if form == "router" else F.lit(None).cast("double")
+        point = point.select("Medicine_ID", "Forecast_Date", "Predicted_Demand",
+                             *[fill.alias(c) for c in S.QUANTILE_COLUMNS],
+                             F.least("History_Days", F.lit(context)).alias("Context_Length_Used"))
         # stored: the model runs once per item, whoever asks for rows or for failures
         prob, broken = FC.split_failures(cut_lineage(slot(
             mine(challenger), model, horizon, context, min_observations=min_observations)))
-    columns = ["Medicine_ID", "Forecast_Date", "Predicted_Demand", *S.QUANTILE_COLUMNS,
-               "Context_Length_Used"]
-    rows = point.select(*columns).unionByName(prob.select(*columns)).join(decisions, "Medicine_ID")
+        rows = point.unionByName(prob.select(*point.columns)).join(decisions, "Medicine_ID")
     rows = rows.withColumns({
         "Prediction_Length": F.lit(horizon),
         "Forecast_Type": F.when(F.col("Selected_Model") == challenger, "probabilistic").otherwise(

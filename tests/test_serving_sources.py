@@ -257,3 +257,42 @@ def test_monthly_cycle(spark, sf, tmp_path):
     ev = publish.load_documents(spark, f"{root}/evaluations", "Is_Overall boolean, Sample_Count bigint").collect()
     assert [(r["Is_Overall"], r["Sample_Count"]) for r in ev] == [(True, 0)]
     assert publish.load_documents(spark, f"{root}/nothing", "id string").count() == 0
+
+
+@pytest.mark.parametrize("form", ["service", "router"])
+def test_one_state_serves_both_models(spark, form):
+    import datetime
+
+    from demandweave.operators import forecast as FC
+    from demandweave.operators import routing as R
+    from demandweave.operators import serving
+    from demandweave.operators.series import prepare_history
+
+    start = datetime.date(2020, 1, 1)
+    rows = [(f"i{i}", start + datetime.timedelta((i + 3) * d), float(d % (i + 2))) for i in range(6) for d in range(80)]
+    rows += [("short", start, 1.0), ("short", start + datetime.timedelta(1), 2.0)]
+    history = spark.createDataFrame(rows, "Medicine_ID string, Date date, Actual double").withColumnsRenamed(
+        {"Date": "INVDT", "Actual": "Demand_Qty"})
+    routing = spark.createDataFrame([("i0", 50.0), ("i1", 5.0), ("i2", 30.0), ("short", 90.0), ("gone", 90.0)],
+                                    "Medicine_ID string, Validation_Advantage_Pct double")
+    out, failed = serving.forecast_batch(history, routing, form, horizon=4, context=100)
+    got = {(r["Medicine_ID"], r["Forecast_Date"]): r for r in out.collect()}
+    kept = ["i0", "i1", "i2"] + (["i3", "i4", "i5"] if form == "service" else [])
+    assert {k[0] for k in got} == set(kept) and len(got) == 4 * len(kept)
+    series = prepare_history(history, "strict" if form == "service" else "lenient")
+    point = FC.forecast_tsb(series, 4, variant="router" if form == "router" else "daily", min_observations=3)
+    for r in point.collect():
+        key = (r["Medicine_ID"], r["Forecast_Date"])
+        if key in got and got[key]["Selected_Model"] == R.BASELINE:
+            assert got[key]["Predicted_Demand"] == r["Predicted_Demand"]
+            assert got[key]["P90"] == (r["Predicted_Demand"] if form == "router" else None)
+    for r in FC.monotone_quantiles(FC.native_quantile_forecast(series, 4, 100)).collect():
+        key = (r["Medicine_ID"], r["Forecast_Date"])
+        if key in got and got[key]["Selected_Model"] == R.CHALLENGER:
+            assert (got[key]["P10"], got[key]["P90"]) == (r["P10"], r["P90"])
+            assert got[key]["Predicted_Demand"] == got[key]["P50"] == round(r["P50"], 2)
+            assert got[key]["Context_Length_Used"] == r["Context_Length_Used"]
+    models = {k[0]: r["Selected_Model"] for k, r in got.items()}
+    assert models["i0"] == models["i2"] == R.CHALLENGER and models["i1"] == R.BASELINE
+    missing = {r["Medicine_ID"] for r in failed.collect()}
+    assert missing == ({"short"} if form == "service" else {"short", "gone"})
