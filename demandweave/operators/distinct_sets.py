@@ -2,6 +2,8 @@
 counts follow without the rows.
 
 A set is several rows of 32,768 ids each, so a set of any size is spread over tasks and no row is larger than 4 KB.
+Bitmaps of few ids are almost all zeros and shrink to a hundredth when they are sent, so Spark, which sizes tasks by
+the bytes sent, would give a task gigabytes of them: ids are sent instead, or the bitmaps are dealt to enough tasks.
 Keys that are not whole numbers, or are far apart, get consecutive ids from a dictionary, which may be extended: ids once given stay.
 """
 
@@ -34,19 +36,29 @@ def day_sets(rows: DataFrame, by: list[str], key: str, name: str, ids: DataFrame
     """
     require_columns(rows, [*by, key])
     pairs = rows.select(*by, F.col(key).alias("key")).where("key is not null")
-    if ids is not None:
-        pairs = pairs.distinct().join(ids, "key")
-        place = F.col("id")
-    else:
-        place = F.col("key").cast("long")
-    return pairs.groupBy(*by, F.lit(name).alias("name"), F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("ids"))
+    pairs = pairs.distinct()
+    place = F.col("key").cast("long") if ids is None else F.col("id")
+    found = (pairs if ids is None else pairs.join(ids, "key")).select(
+        *by, F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    # the ids of a cell meet before they become a bitmap
+    return found.repartition(*by, "bucket").groupBy(*by, F.lit(name).alias("name"), "bucket").agg(
+        F.bitmap_construct_agg("bit").alias("ids"))
+
+
+#: Bitmaps of 4 KB that one task sorts: 64 MB.
+TASK_SETS = 1 << 14
+
+
+def _dealt(sets: DataFrame, by: list[str]) -> DataFrame:
+    """The rows placed by ``by`` over as many tasks as their bitmaps need before compression."""
+    return sets.repartition(max(1, -(-sets.count() // TASK_SETS)), *by)
 
 
 def roll_up(sets: DataFrame, by: dict[str, Column] | list[str]) -> DataFrame:
     """The same sets by coarser periods: columns of the sets, or expressions on them by name."""
     by = by if isinstance(by, dict) else {c: F.col(c) for c in by}
-    return sets.groupBy(*[c.alias(n) for n, c in by.items()], "name", "bucket").agg(
+    coarse = sets.select(*[c.alias(n) for n, c in by.items()], "name", "bucket", "ids")
+    return _dealt(coarse, [*by, "bucket"]).groupBy(*by, "name", "bucket").agg(
         F.bitmap_or_agg("ids").alias("ids"))
 
 
@@ -67,8 +79,9 @@ def overlap_sizes(sets: DataFrame, period: str, step: int, name: str) -> DataFra
     both = own.select(F.explode(F.array(
         F.struct(F.col(period).alias(period), F.lit(True).alias("own")),
         F.struct((F.col(period) + step).alias(period), F.lit(False).alias("own")))).alias("p"), "bucket", "ids")
-    cells = both.groupBy(f"p.{period}", "bucket").agg(
-        F.sum(F.when(F.col("p.own"), F.bitmap_count("ids"))).alias("size"),
+    both = _dealt(both.select(f"p.{period}", "p.own", "bucket", "ids"), [period, "bucket"])
+    cells = both.groupBy(period, "bucket").agg(
+        F.sum(F.when(F.col("own"), F.bitmap_count("ids"))).alias("size"),
         F.when(F.count("*") == 2, F.bitmap_count(F.bitmap_and_agg("ids"))).otherwise(0).alias("kept"))
     out = cells.groupBy(period).agg(F.sum("size").alias("size"), F.sum(
         F.when(F.col("size").isNotNull(), F.col("kept"))).alias("kept")).where("size is not null")
