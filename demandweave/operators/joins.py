@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import ContractError, require_columns, require_unique
+from ..session import stored
 
 
 def _aligned(fact: DataFrame, dim: DataFrame, fact_keys: list[str], dim_keys: list[str]):
@@ -68,9 +69,10 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left", sa
     """
     if how not in ("left", "inner"):
         raise ValueError("salting supports left and inner joins")
-    per_key = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    total = fact.agg(F.count("*").alias("n")).scalar()
-    hot = per_key.where(F.col("__n") > total * hot_share).select(
+    # counted once for the total and both sides
+    per_key = stored(fact.groupBy(key).agg(F.count("*").alias("__n")), "keys")
+    total = per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).scalar()
+    hot = per_key.where(F.col(key).isNotNull() & (F.col("__n") > total * hot_share)).select(
         F.col(key).alias("__hot"), F.lit(True).alias("__is_hot")
     )
     hot = F.broadcast(hot)
