@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from demandweave.catalog import all_queries
 from demandweave.catalog import etl as E
+from demandweave.functions.guards import ContractError
 from demandweave.operators import distinct_sets as DS
 from demandweave.operators import joins as J
+from demandweave.sources import tables
 
 
 @pytest.fixture
@@ -66,3 +68,37 @@ def test_sparse_bitmaps_are_dealt_by_their_real_size(spark, monkeypatch):
     assert {r["m"]: r["Number"] for r in DS.set_sizes(month, ["m"], ["Number"]).collect()} == {1: 155, 2: 45}
     kept = DS.overlap_sizes(month, "m", 1, "Number").collect()
     assert {r["m"]: (r["size"], r["kept"]) for r in kept} == {1: (155, 0), 2: (45, 0)}
+
+
+@pytest.mark.parametrize("name", ["sales_silver", "purchase_silver"])
+def test_rows_are_told_apart_without_the_calendar(spark, sf, name):
+    keys = [x for x in plan(all_queries()[name](spark, sf)).split("\n") if "Aggregate(keys=[" in x and "QTY" in x]
+    assert keys and not any("day_name" in x for x in keys)
+
+
+@pytest.mark.parametrize("numbers", [["1", "1", "2"], ["1", " 1 ", "2"]])
+def test_enriched_sales_from_clean_and_unclean_keys(spark, sf, numbers):
+    line = spark.createDataFrame(
+        [(n, "m1", "b", 3.0, "5", "JAN-20", i // 2 * 1.0) for i, n in enumerate(numbers)] + [("9", None, None, 1.0, "5", "JAN-20", 0.0)] * 2,
+        "INVNO string, MDCODE string, BATCH string, QTY double, TCODE string, SOURCE_MONTH string, PRATE double").withColumns(
+        {"RATE": F.lit(2.0), "EXP": F.lit("2020-05-01").cast("date")})
+    invoice = spark.createDataFrame(
+        [(n, dt.date(2020, 1, 2), "s", 9.0, 8.0, "JAN-20") for n in dict.fromkeys(numbers)] + [("9", None, "t", 9.0, 8.0, "JAN-20")],
+        "INVNO string, INVDT date, SCODE string, TOT_AMT double, NET_AMT double, SOURCE_MONTH string")
+    person = spark.createDataFrame([("s", "Sam", "JAN-20")], "SCODE string, SNAME string, SOURCE_MONTH string")
+    product = spark.createDataFrame([("m1", "One", "JAN-20"), ("m1", "One", "FEB-20")], "MDCODE string, MDNAME string, SOURCE_MONTH string")
+    dates = E.warehouse.build_dim_date(spark, "2020-01-01", "2020-01-03")
+    got = E.silver.build_sales(line, invoice, person, product, dates, "2020-06-01")
+    want = E.silver.sales_features(E.silver.sales_clean(E.silver.sales_join(line, invoice, person, product, dates)), "2020-06-01")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_new_table_is_written_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tables, "stored", lambda df, hint: kept.append(hint) or df)
+    df = spark.range(20).withColumn("k", F.col("id") % 3)
+    assert tables.upload_dataframe(df, "new_once", bucket_by=(2, ["k"])) == 20 and not kept
+    with pytest.raises(ContractError):
+        tables.upload_dataframe(df.limit(0), "new_empty")
+    assert not tables.table_exists(spark, "new_empty")
