@@ -15,7 +15,7 @@ from ..functions import cleaning as C
 from ..functions.guards import require_no_nulls, require_not_empty, require_unique
 from ..operators import joins, quality, series, warehouse
 from ..plans import monthly
-from ..session import remember, scratch_schema, stored, work_folder
+from ..session import remember, scratch_schema, work_folder
 from ..sources import landing, publish, tables
 from ..sources.fixedwidth import write_binary_table
 from ..streaming import arrivals
@@ -318,13 +318,38 @@ def colocated_sales_lines(spark, sf):
 CORRECTED = 1997
 
 
-def land_lines(spark, sf, root, years, which="true") -> None:
-    """Order lines and invoices of the given years as further files of their snapshot folders."""
+def stage_lines(spark, sf, early) -> dict:
+    """Order lines and invoices, each made and written once: folders per year and per whether they land ``early``, and
+    the columns, by table."""
+    staged = {}
     for name, view in (("INVDET", V.invdet), ("INVOICE", V.invoice_header)):
-        rows = stored(view(spark, sf).where(which).withColumn(
-            "__year", F.year(C.source_month_date(F.col("SOURCE_MONTH")))).drop("SOURCE_MONTH"))
+        rows, path = view(spark, sf), f"{work_folder(spark)}/staged-{uuid.uuid4().hex}"
+        remember(spark, path)
+        year = F.year(C.source_month_date(F.col("SOURCE_MONTH")))
+        rows.withColumns({"__year": year, "__early": early}).drop("SOURCE_MONTH").write.partitionBy("__year", "__early").parquet(path)
+        staged[name] = path, rows.drop("SOURCE_MONTH").schema
+    return staged
+
+
+def land_lines(spark, staged, root, years, early=(True, False)) -> None:
+    """Staged lines and invoices of the given years as further files of their snapshot folders. The files are moved, so
+    nothing is written twice and a folder never shows half a file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, (path, schema) in staged.items():
         for y in years:
-            rows.where(F.col("__year") == y).drop("__year").write.mode("append").parquet(f"{root}/JAN-{y % 100:02}/{name}")
+            to = f"{root}/JAN-{y % 100:02}/{name}"
+            files = []
+            for e in (str(e).lower() for e in early):
+                part = hadoop(f"{path}/__year={y}/__early={e}")
+                # a task's files have one name in all folders
+                files += [(f.getPath(), f"early-{e}-{f.getPath().getName()}") for f in fs.listStatus(part)] if fs.exists(part) else []
+            fs.mkdirs(hadoop(to))
+            for file, own in files:
+                if not fs.rename(file, hadoop(to, own)):
+                    raise OSError(f"{file} cannot be landed in {to}")
+            if not files:  # a year without rows lands as an empty file
+                spark.createDataFrame([], schema).write.mode("append").parquet(to)
 
 
 @query("arrived_months", f"""
@@ -340,10 +365,11 @@ def arrived_months(spark, sf):
     day = F.year("o_orderdate")
     first, last = V.table(spark, sf, "orders").agg(F.min(day), F.max(day)).first()
     early = F.expr(f"SOURCE_MONTH NOT LIKE '%-{CORRECTED % 100}' OR CAST(INVNO AS BIGINT) % 3 <> 0")
-    land_lines(spark, sf, root, range(first, last), early)
+    staged = stage_lines(spark, sf, early)
+    land_lines(spark, staged, root, range(first, last), [True])
     monthly.pick_up_demand(spark, root, store)
-    land_lines(spark, sf, root, [CORRECTED], ~early)
-    land_lines(spark, sf, root, [last])
+    land_lines(spark, staged, root, [CORRECTED], [False])
+    land_lines(spark, staged, root, [last])
     monthly.pick_up_demand(spark, root, store)
     later = len(monthly.pick_up_demand(spark, root, store))
     runs = arrivals.applied(spark, store).groupBy((F.year(C.source_month_date(F.col("month")))).alias("y")).agg(
