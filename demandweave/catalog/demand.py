@@ -10,7 +10,7 @@ from .. import schemas as S
 from ..operators import backtest as BT
 from ..operators import batched, features, quality, series, smoothing
 from ..operators import forecast as FC
-from ..operators.warehouse import _tie_order, first_per_key
+from ..operators.warehouse import _tie_order, build_fact_sales_line, first_per_key
 from ..session import cut_lineage, remember, work_folder
 from . import views as V
 from .etl import dim_date, fact_line
@@ -56,7 +56,9 @@ def invoice_heads(spark, sf):
 
 
 def daily(spark, sf, grain="sup"):
-    return series.prepare_demand(fact_line(spark, sf), invoice_heads(spark, sf), GRAINS[grain])
+    # of the columns that only ride along, the grain's own: others are last in the fact's order and decide nothing here
+    line = build_fact_sales_line(V.invdet(spark, sf), extra=[GRAINS[grain]])
+    return series.prepare_demand(line, invoice_heads(spark, sf), GRAINS[grain])
 
 
 def stored_daily(spark, sf, grain="sup"):

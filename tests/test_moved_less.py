@@ -1,10 +1,11 @@
-"""Lines that land are made and written once."""
+"""Lines that land are made and written once; daily demand carries no columns of other grains."""
 
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from demandweave.catalog import demand as D
 from demandweave.catalog import landed as L
 from demandweave.catalog.registry import QUERIES
 
@@ -46,3 +47,11 @@ def test_staged_files_are_moved_and_an_empty_year_lands(spark, own_tables, tmp_p
     assert count(97) == 2
     left = spark.read.parquet(staged["INVDET"][0]).select("__year").distinct().collect()
     assert {r[0] for r in left} == {1996, 1999}
+
+
+def test_daily_demand_reads_the_columns_of_its_grain(spark, own_tables):
+    plan = lambda grain: D.daily(spark, own_tables, grain)._jdf.queryExecution().executedPlan().toString()
+    assert "p_type" not in plan("sup") and "p_brand" not in plan("sup")
+    assert "p_brand" in plan("brand") and "p_type" not in plan("brand")
+    assert {(r["MDCODE"], r["Demand_Qty"]) for r in D.daily(spark, own_tables, "sup").collect()} == {
+        ("9", 2.0), ("9", 3.0), ("8", 4.0), ("8", 5.0), ("9", 1.0)}
