@@ -6,7 +6,7 @@ are frequent there, then three and four words all of whose pairs are. What is fr
 and candidates are counted over all texts exactly.
 
 Texts are read once: words are stored as their numbers in a batch's list of distinct words. Counting travels as
-packed hashes, each with its count in a task. Bitmaps of fixed size stand for sets of frequent phrases: what they pass
+packed hashes, sorted and each as its distance from the one before, with its count in a task. Bitmaps of fixed size stand for sets of frequent phrases: what they pass
 by chance is counted and dropped, so a full one costs time and loses nothing. The groups that are counted in one place
 hold a bounded number of phrases, as many groups as the number of words asks for.
 
@@ -96,11 +96,28 @@ class Phrases:
 
 def narrow(x: np.ndarray) -> bytes:
     """Whole numbers from 0 on, in as few bytes each as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def widened(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(x) // n] = np.frombuffer(x, np.uint8).reshape(n, -1)
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
+
+
+def first_of_group(group: int, groups: int) -> int:
+    """The smallest hash of a group; groups are equal ranges of hashes."""
+    return -(-(group << 32) // groups) << 32
+
+
+def gaps(hashes: np.ndarray, group: int, groups: int) -> bytes:
+    """Rising hashes of a group, each as its distance from the one before: that of a million takes six bytes."""
+    return narrow(np.diff(hashes, prepend=np.uint64(first_of_group(group, groups))))
+
+
+def from_gaps(x: bytes, n: int, group: int, groups: int) -> np.ndarray:
+    return np.cumsum(widened(x, n).view(np.uint64)) + np.uint64(first_of_group(group, groups))
 
 
 def per_shard(hashes: np.ndarray, shard: int) -> np.ndarray:
@@ -153,7 +170,7 @@ class Collocations:
         """(hash, mark, n, row, at) of the phrases with at least ``least[shard]`` occurrences in a shard; mark is
         their hash in the shard. ``phrases`` gives (hashes, times, places) of a stored batch. With ``place`` the row
         and position of one occurrence come along, else they are 0."""
-        shards = self.shards
+        shards, firsts = self.shards, np.array([first_of_group(b, groups) for b in range(groups)], np.uint64)
 
         def merged(parts):
             hashes, times = (np.concatenate([p[i] for p in parts]) for i in range(2))
@@ -168,22 +185,21 @@ class Collocations:
             return hashes[start], times, at, rows
 
         def packed(held):
-            out = {c: [] for c in ("shard", "bucket", "h", "n", "at", "first_row", "row")}
+            out = {c: [] for c in ("shard", "bucket", "size", "h", "n", "at", "first_row", "row")}
             for shard, parts in held.items():
                 hashes, times, at, rows = merged(parts)
-                bucket = (hashes >> np.uint64(20)) % np.uint64(groups)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(groups + 1, dtype=np.uint64))
+                cuts = np.append(np.searchsorted(hashes, firsts), len(hashes))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = order[cuts[b] : cuts[b + 1]]
+                    own = slice(cuts[b], cuts[b + 1])
                     out["shard"].append(shard)
                     out["bucket"].append(b)
-                    out["h"].append(hashes[own].tobytes())
+                    out["size"].append(cuts[b + 1] - cuts[b])
+                    out["h"].append(gaps(hashes[own], b, groups))
                     out["n"].append(narrow(times[own]))
                     out["at"].append(narrow(at[own]) if place else b"")
                     out["first_row"].append(rows[own].min() if place else 0)
                     out["row"].append(narrow(rows[own] - rows[own].min()) if place else b"")
-            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
         def count(batches):
@@ -205,8 +221,8 @@ class Collocations:
             held = {}
             for batch in batches:
                 for r in each_row(batch):
-                    hashes = np.frombuffer(r["h"], np.uint64)
-                    n = len(hashes)
+                    n = r["size"]
+                    hashes = from_gaps(r["h"], n, r["bucket"], groups)
                     at, row = (widened(r["at"], n), widened(r["row"], n) + r["first_row"]) if place else (None, 0)
                     held.setdefault((r["shard"], r["bucket"]), []).append((hashes, widened(r["n"], n), at, row))
             for shard, bucket in sorted(held):
@@ -218,7 +234,7 @@ class Collocations:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in cols.items()})
             release()
 
-        schema = "shard int, bucket int, h binary, n binary, at binary, first_row long, row binary"
+        schema = "shard int, bucket int, size int, h binary, n binary, at binary, first_row long, row binary"
         sent = in_batches(rows, count, schema)
         to = (F.col("bucket") + F.col("shard") * (groups // shards)) % groups
         return in_batches(sent.repartitionById(groups, to.cast("int")), total, "hash long, mark long, n long, row long, at long")

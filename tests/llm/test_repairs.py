@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from demandweave.llm import collocations as C
 from demandweave.llm import decontaminate, warc
 
 from .test_operators import brute_hits
@@ -42,3 +44,20 @@ def test_dates_are_utc_in_any_session(spark):
             assert [r["d"] for r in rows.collect()] == ["1970-01-01T00:00:01Z", "2024-03-10T07:00:00Z", "1969-12-31T23:59:59Z"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_collocation_hashes_travel_as_gaps():
+    hashes = np.unique(np.random.default_rng(5).integers(0, 1 << 64, 1 << 20, np.uint64))
+    groups = 51
+    firsts = [C.first_of_group(b, groups) for b in range(groups)] + [1 << 64]
+    size = 0
+    for b in range(groups):
+        own = hashes[(hashes >= np.uint64(firsts[b])) & (hashes <= np.uint64(firsts[b + 1] - 1))]
+        packed = C.gaps(own, b, groups)
+        assert np.array_equal(C.from_gaps(packed, len(own), b, groups), own)
+        size += len(packed)
+    assert size <= 6.1 * len(hashes)
+    one = np.array([(1 << 64) - 1], np.uint64)  # alone in its group, and the last hash of all
+    assert C.from_gaps(C.gaps(one, 0, 1), 1, 0, 1).tolist() == one.tolist()
+    for x in ([0], [255, 0], [256], [70_000, 3], [1 << 40, 5]):
+        assert C.widened(C.narrow(np.array(x)), len(x)).tolist() == x
