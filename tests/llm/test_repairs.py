@@ -1,6 +1,9 @@
 """Faults that were found once: passages over several benchmark blocks, line breaks in URLs, dates off UTC."""
 
+import glob
 import random
+import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from demandweave.llm import collocations as C
 from demandweave.llm import decontaminate, warc
 
+from .test_mining import PHRASES, brute_phrases, rows_of
 from .test_operators import brute_hits
 
 
@@ -61,3 +65,49 @@ def test_collocation_hashes_travel_as_gaps():
     assert C.from_gaps(C.gaps(one, 0, 1), 1, 0, 1).tolist() == one.tolist()
     for x in ([0], [255, 0], [256], [70_000, 3], [1 << 40, 5]):
         assert C.widened(C.narrow(np.array(x)), len(x)).tolist() == x
+
+
+def test_collocations_are_looked_for_by_three_bytes():
+    hashes = np.unique(np.random.default_rng(6).integers(0, 1 << 40, 1 << 20, np.uint64))
+    groups, size = 51, 0
+    firsts = [C.first_of_group(b, groups, C.CUT) for b in range(groups)] + [1 << 40]
+    for b in range(groups):
+        own = hashes[(hashes >= np.uint64(firsts[b])) & (hashes < np.uint64(firsts[b + 1]))]
+        packed = C.gaps(own, b, groups, C.CUT)
+        assert np.array_equal(C.from_gaps(packed, len(own), b, groups, C.CUT), own)
+        size += len(packed)
+    assert size <= 3.1 * len(hashes)
+    codes = np.random.default_rng(7).zipf(1.3, 100_000).clip(0, 60_000).astype(np.uint16).tobytes()
+    assert len(C.squeezed(codes)) < 0.7 * len(codes) and C.loosened(C.squeezed(codes)) == codes
+    assert C.loosened(C.squeezed(b"")) == b""
+
+
+@pytest.mark.parametrize("cut", [24, 57, 63])
+def test_collocations_are_exact_where_short_hashes_meet(spark, cut):
+    rng = random.Random(cut)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30))), rng.choice(["en", "de"])) for _ in range(80)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    found = C.Collocations(support=8, cut=cut).top_phrases(docs)
+    assert rows_of(found, *PHRASES) == brute_phrases(rows, 8)
+
+
+def test_words_are_counted_once_and_places_are_batches(spark):
+    docs = spark.createDataFrame([(f"a b c d{i % 2}, e{i}", "en") for i in range(60)], "text string, lang string").repartition(5)
+    rows, often = C.Collocations().frequent(docs)
+    there = {r["row"] for r in rows.collect()}
+    by_place = {r["hash"]: r for r in often.collect()}
+    assert len(by_place) == often.count() == 5 + 4 + 3 + 2  # words, pairs, threes and fours
+    assert sorted(r["n"] for r in by_place.values() if r["row"] is None) == [30, 30, 60, 60, 60]
+    assert {r["row"] for r in by_place.values()} - {None} <= there
+
+
+def test_shuffle_files_go_when_the_counts_are_stored(spark):
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(name, None)
+    kept = C.kept(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "kept")
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 10 and spark.conf.get(name, None) == was
