@@ -1,8 +1,6 @@
 """Faults that were found once: passages over several benchmark blocks, line breaks in URLs, dates off UTC."""
 
-import glob
 import random
-import tempfile
 import time
 
 import numpy as np
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandweave.llm import collocations as C
 from demandweave.llm import decontaminate, warc
+from demandweave.session import stored
 
 from .test_mining import PHRASES, brute_phrases, rows_of
 from .test_operators import brute_hits
@@ -102,7 +101,8 @@ def test_words_are_counted_once_and_places_are_batches(spark):
 
 
 def test_shuffle_files_go_when_the_counts_are_stored(spark):
-    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, was = files(), spark.conf.get(name, None)
     kept = C.kept(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "kept")
@@ -111,3 +111,5 @@ def test_shuffle_files_go_when_the_counts_are_stored(spark):
             break
         time.sleep(0.1)
     assert not left and kept.count() == 10 and spark.conf.get(name, None) == was
+    stored(spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count(), "plain")
+    assert files() - before  # outside of it they stay, for frames that are run again
