@@ -70,7 +70,7 @@ def secret_values(spark, docs, sf_dir):
 def tokens(spark, docs, sf_dir):
     """Token ids of each text, and whether they decode to it again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), path)
     whole = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "n_tokens", "ids", whole.alias("round_trip"))
 

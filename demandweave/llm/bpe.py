@@ -156,32 +156,51 @@ def _loader(spark, path: str):
     return load
 
 
+def _encoded(bpe: ByteBPE, batches, text: str):
+    for batch in small_batches(batches, text):
+        ids = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
+        yield with_columns(
+            batch, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary())
+        )
+
+
+def _decoded(bpe: ByteBPE, batches, ids: str):
+    for batch in small_batches(batches, ids):
+        yield with_columns(
+            batch, decoded=pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
+        )
+
+
+def _with_ids(docs: DataFrame) -> DataFrame:
+    return docs.drop("n_tokens", "ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")})
+
+
+def _with_decoded(encoded: DataFrame) -> DataFrame:
+    return encoded.drop("decoded").withColumn("decoded", F.lit(""))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids`` (binary, little-endian unsigned 32-bit)."""
     load = _loader(docs.sparkSession, tokenizer_path)
-
-    def run(batches):
-        bpe = load()
-        for batch in small_batches(batches, text):
-            ids = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
-            yield with_columns(
-                batch, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary())
-            )
-
-    docs = docs.drop("n_tokens", "ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")})
-    return in_batches(docs, run, docs.schema)
+    docs = _with_ids(docs)
+    return in_batches(docs, lambda batches: _encoded(load(), batches, text), docs.schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (string), the text its ``ids`` stand for; null ids give an empty text."""
     load = _loader(encoded.sparkSession, tokenizer_path)
+    encoded = _with_decoded(encoded)
+    return in_batches(encoded, lambda batches: _decoded(load(), batches, ids), encoded.schema)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    """``docs`` encoded, then decoded from those ids: the columns of both. A task has one worker and one tokenizer
+    for the two, and texts and ids reach it once."""
+    load = _loader(docs.sparkSession, tokenizer_path)
+    docs = _with_decoded(_with_ids(docs))
 
     def run(batches):
         bpe = load()
-        for batch in small_batches(batches, ids):
-            yield with_columns(
-                batch, decoded=pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
-            )
+        return _decoded(bpe, _encoded(bpe, batches, text), "ids")
 
-    encoded = encoded.drop("decoded").withColumn("decoded", F.lit(""))
-    return in_batches(encoded, run, encoded.schema)
+    return in_batches(docs, run, docs.schema)

@@ -16,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from demandweave.session import ship_package
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Rows handled together at most hold so many text bytes (one longer row still goes whole).
 BATCH_BYTES = 1 << 20
+#: Arrow batches go to the workers when they hold so many bytes (one longer row still goes whole): a little less than
+#: whole pieces of BATCH_BYTES, so that no small piece is left over. Spark's own 64 MB are held several times over.
+ARROW_BYTES = 15 * BATCH_BYTES // 4
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -156,7 +159,16 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: columns.get(c, batch.column(c)) for c in batch.schema.names})
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session send Arrow batches of ARROW_BYTES; a lower limit of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if limit > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df`` through a function on iterators of Arrow batches; the workers get this package first."""
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

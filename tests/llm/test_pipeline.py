@@ -5,11 +5,13 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from demandweave.llm import bpe, words
 from demandweave.session import stored
 
 from .test_operators import brute_groups, brute_hits
@@ -96,3 +98,43 @@ def test_rows_that_share_an_id_go_only_for_a_near_copy(spark, sf):
     assert out.columns == docs.columns and sum(r in ((3, three), (3, three + " more")) for r in left) == 1
     want = [(1, one), (1, None), (1, " "), (3, ""), (None, one), (0, two)]
     assert sorted((r for r in left if r[0] != 3 or not r[1]), key=repr) == sorted(want, key=repr)
+
+
+def test_workers_get_small_batches_and_longer_rows_whole(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes], "longest": [max(map(len, b.column("text").to_pylist()))]})
+
+    def sent(limit):
+        spark.conf.set(name, limit)
+        rows = spark.range(0, 6000, 1, 1).selectExpr("repeat(if(id = 100, 'long row ', 'row '), if(id = 100, 1000000, 1000)) as text")
+        got = words.in_batches(rows, sizes, "n long, size long, longest long").collect()
+        assert sum(r["n"] for r in got) == 6000 and max(r["longest"] for r in got) == 9_000_000
+        return max(r["size"] for r in got if r["longest"] < 9_000_000)
+
+    try:
+        for limit in (before, "64m"):
+            assert sent(limit) < 1.1 * words.ARROW_BYTES
+        assert sent("100k") < 120_000 and spark.conf.get(name) == "100k"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_task_of_the_token_stage_has_one_worker(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = corpus_pipeline.tokens(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
+def test_round_trip_is_encoding_then_decoding(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(0, None, 1), (None, "", 2), (1, "it's é\u3042\n\n  x <|endoftext|>", 3), (1, "same text", 4), (1, "same text", 4), (2, "ab cd " * 200_000 + "ab" * 500, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decoded long").repartition(2)
+    for frame in (docs, docs.limit(0)):
+        one, two = bpe.round_trip(frame, path), bpe.decode(bpe.encode(frame, path), path)
+        assert one.schema == two.schema
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert all(r["decoded"] == (r["text"] or "") for r in bpe.round_trip(docs, path).collect())
