@@ -292,11 +292,15 @@ def comparison_splits(spark, sf):
 
 # ================================================================ tables that meet without a shuffle
 def colocated(spark, sf):
-    """Landed lines and invoices, bucketed alike. The width of a line is the contract's, about 300 bytes."""
-    lines = V.invdet(spark, sf)
-    buckets = tables.buckets_for(V.table(spark, sf, "lineitem").count(), 300)
-    return tables.store_colocated({"invdet": lines, "invoice": V.invoice_header(spark, sf)}, ["INVNO", "SOURCE_MONTH"],
-                                  buckets, scratch_schema(spark, "colocated"))
+    """Landed lines and invoices, bucketed alike on the number alone, by which lines lie when they met their order. The
+    width of a line is the contract's, about 300 bytes; a task that makes a bucket or dedupes it sorts it more than once,
+    so a bucket is a quarter of what one task may hold. Spark joins in no fewer tasks than its shuffles have, so there are
+    no fewer buckets: lines are dealt once, to meet their order."""
+    least = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = tables.buckets_for(V.table(spark, sf, "lineitem").count(), 300, tables.BUCKET_BYTES // 4, least)
+    return tables.store_colocated(
+        {"invdet": V.invdet(spark, sf, buckets=buckets), "invoice": V.invoice_header(spark, sf)}, ["INVNO", "SOURCE_MONTH"],
+        buckets, scratch_schema(spark, "colocated"), by=["INVNO"])
 
 
 @query("colocated_demand", "SELECT * FROM daily_part")
@@ -311,7 +315,7 @@ def colocated_sales_lines(spark, sf):
     kept = colocated(spark, sf)
     heads = kept["invoice"].select("INVNO", "SOURCE_MONTH", "INVDT", "CCODE", "SCODE")
     facts = warehouse.build_fact_sales_line(kept["invdet"], extra=LINE_EXTRA)
-    return joins.join_sales_invoice_line(facts, heads.hint("merge"), "inner")
+    return joins.join_sales_invoice_line(facts, heads.hint("merge"), "inner", by_first=True)
 
 
 # ================================================================ months as they land

@@ -51,11 +51,11 @@ def prepare_demand(line: DataFrame, invoice: DataFrame, item: str = "MDCODE",
 
 
 def colocated_demand(line: DataFrame, invoice: DataFrame, item: str = "MDCODE") -> DataFrame:
-    """``prepare_demand`` of landed lines and invoices that are stored bucketed alike on (INVNO, SOURCE_MONTH), keys
-    stripped (``sources.tables.store_colocated``).
+    """``prepare_demand`` of landed lines and invoices that are stored bucketed alike on INVNO, keys stripped
+    (``sources.tables.store_colocated``).
 
-    Both dedupes group by keys that begin with the bucketing's and the join is on them, so all three work bucket by
-    bucket: the only shuffle is that of the sums to (item, day), combined before. The join is a merge whatever the
+    Both dedupes group by keys that begin with the bucketing's and the join is on it, the month a condition, so all three
+    work bucket by bucket: the only shuffle is that of the sums to (item, day), combined before. The join is a merge whatever the
     sides' size, as a broadcast would give up what the storage has paid for.
     """
     keys = ["INVNO", "SOURCE_MONTH"]
@@ -63,7 +63,7 @@ def colocated_demand(line: DataFrame, invoice: DataFrame, item: str = "MDCODE")
     require_columns(invoice, [*keys, "INVDT", "CANCEL_ID"], "sales invoice")
     heads = build_fact(invoice, [*keys, "INVDT", "CANCEL_ID"], keys).where(not_cancelled()).select(*keys, "INVDT")
     lines = build_fact_sales_line(line, extra=[item]).where(not_cancelled()).select(*keys, item, "QTY")
-    joined = lines.join(heads.hint("merge"), keys)
+    joined = merge_dimension(lines, heads.hint("merge"), keys, how="inner", by_first=True)
     return joined.where(F.col(item).isNotNull()).groupBy(
         F.col(item).alias("MDCODE"), F.to_date("INVDT").alias("INVDT")
     ).agg(F.coalesce(F.sum(F.col("QTY").try_cast("double")), F.lit(0.0)).alias("Demand_Qty"))
